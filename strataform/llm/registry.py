@@ -71,3 +71,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda k: F.size(F.filter("secret_spans", lambda s: s["rank"] == k)).cast("long")
     base = F.filter("secret_spans", lambda s: s["rank"] < 3)
     return found.select("doc_id", kind(0).alias("n_assign"), kind(1).alias("n_access"), kind(2).alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+
+
+@query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
