@@ -79,3 +79,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Packing with the public byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
