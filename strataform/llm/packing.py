@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, process_cache
 
 #: Tokens of a window, pieces in a combination at most, rounds of the solver, pieces numbered together.
-WINDOW, DEPTH, ROUNDS, TOGETHER = 1024, 3, 60, 2048
+WINDOW, DEPTH, ROUNDS, TOGETHER = 1024, 3, 12, 2048
 #: Rows of the table of first ranks up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Characters on which all tokenizers' classes of letters, digits and blanks agree.
@@ -83,39 +83,40 @@ def solve(histogram: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) ->
     def columns(idx: np.ndarray) -> np.ndarray:
         m = np.zeros((window + 1, len(idx)))
         for k in range(DEPTH):
-            np.add.at(m, (all_[idx, k], np.arange(len(idx))), 1.0)
+            m[all_[idx, k], np.arange(len(idx))] += 1.0
         m[0] = 0.0
         return m
 
     residual = h.copy()
     for _ in range(rounds):
         gradient = residual[all_].sum(axis=1)
-        order = np.argsort(-gradient, kind="stable")[: 16 * window]
+        gradient[gradient <= 1e-9 * max(1.0, h.max())] = 0.0
+        order = np.argsort(-gradient, kind="stable")[: 8 * window]
         used, add = np.zeros(window + 1, bool), []
         for i, row in zip(order.tolist(), all_[order].tolist(), strict=True):
-            if gradient[i] <= 1e-9 * max(1.0, h.max()):
+            if not gradient[i]:
                 break
             if not any(used[x] for x in row if x):
                 add.append(i)
                 used[row] = True
         trial = np.union1d(active, np.array(add, dtype=np.int64))
-        if not len(trial) or len(trial) == len(active):
+        if len(trial) == len(active):
             break
-        for _ in range(rounds):
+        while len(trial):
             m = columns(trial)
             x = np.linalg.solve(m.T @ m + 1e-6 * np.eye(len(trial)), m.T @ h)
             if (x > 0).all():
                 break
-            trial = trial[x > 0]
+            trial = trial[x > min(0.0, x.min() * 0.1)]  # the clearly negative ones go, then the rest is solved anew
+            trial = trial if len(trial) < len(x) else trial[x > 0]
+        if not len(trial):
+            break
         residual = h - m @ x
-        now = float(residual @ residual)
-        active = trial
+        now, active = float(residual @ residual), trial
         if now < error:
-            best, best_x, gain, error = trial, x, error - now, now
-            if gain < 1e-4 * error:
+            gain, best, best_x, error = error - now, trial, x, now
+            if gain < 0.01 * error:
                 break
-        if error < 1.0:
-            break
     return all_[best], best_x
 
 
