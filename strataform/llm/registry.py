@@ -93,3 +93,10 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 @query
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edit_likeness
+
+    return edit_likeness(table(spark, sf_dir, "documents"))
