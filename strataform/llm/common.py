@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, what):
+    """A broadcast of an object of this package: its class travels with it. Read it with ``shared``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(what))
+
+
+def shared(box):
+    """What ``share`` holds, unpickled once in each Python process."""
+    cache = process_cache()
+    if cache.get("shared", (None,))[0] != box.value:
+        cache["shared"] = box.value, pickle.loads(box.value)
+    return cache["shared"][1]
+
+
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, mod ``modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -100,3 +100,23 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import edit_likeness
 
     return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(docs)))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train(docs.where(~held_out(docs)), labels.where(~held_out(labels)))
+    found = score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(found).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
