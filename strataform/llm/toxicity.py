@@ -1,8 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word bigram models, toxic and ordinary. A class's bigram counts back off to the class's continuation counts, these
-to the continuation counts shared by both classes, these to a uniform floor; so a rare expression scores alike in both.
-The score is a logistic function of the difference of the two log-likelihoods per word.
+Two models, toxic and ordinary, of how a word goes on from the words before it. Their counts are continuation counts, of
+the different words that an expression was seen to follow, so that copies of a text count once. An expression is two
+words, a word, or the beginning of a word (STEM bytes): the longest one whose class counts differ beyond chance (Z)
+counts by class, discounted, with the mass set free given to the counts shared by both classes; every other expression,
+and so every rare one, has the shared counts in both models and cancels. The score is a logistic function of the
+difference of the two log-likelihoods per word.
 
 Training is on a bounded sample: about PER_CLASS labelled documents a class picked by a hash, four fifths for the counts
 and the rest for the logistic function.
@@ -19,84 +22,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_word_hashes, bucket_of, mix, share, shared
-
-#: Sampled documents a class, and the vocabulary of the uniform floor.
-PER_CLASS, FLOOR_WORDS = 3000, 1 << 22
-_START = np.uint64(0x5354415254)
-
-
-def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history, word) of one text's words."""
-    return np.concatenate(([_START], words[:-1])) if len(words) else words, words
-
-
-def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * np.uint64(0x9E3779B97F4A7C15) ^ (w + np.uint64(1)))
-
-
-def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a sorted table, and whether they hold x."""
-    if not len(table):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return at, table[at] == x
-
-
-def _discount(counts: np.ndarray) -> float:
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
-    return one / (one + 2 * two) if one else 0.5
+from .common import as_bytes, bucket_of, mix, share, shared, word_hashes
+
+#: Sampled documents a class, bytes of a word's beginning, standard deviations and count that tell classes apart.
+PER_CLASS, STEM, Z, LEAST = 2000, 4, 4.0, 5
+#: Bytes hashed at once.
+PIECE = 1 << 19
+BIGRAM, WORD, BEGINNING = range(3)
+
+_TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+
+
+def units(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of letters, A-Z as a-z) of one text, and of their beginnings."""
+    text = text.translate(_TABLE)
+    words, stems, at = [], [], 0
+    while at < len(text):
+        end = at + PIECE
+        end = len(text) if end >= len(text) else (text.find(b" ", end) if text.find(b" ", end) >= 0 else len(text))
+        piece = text[at:end]
+        words.append(word_hashes(piece, lower=False))
+        raw = np.frombuffer(b" " + piece + b" " * STEM, dtype=np.uint8)
+        start = np.flatnonzero((raw[1:] != 32) & (raw[:-1] == 32)) + 1
+        stem, on = np.zeros(len(start), dtype=np.uint64), np.ones(len(start), dtype=bool)
+        for i in range(STEM):
+            on &= raw[start + i] != 32
+            stem = (stem << np.uint64(8)) | np.where(on, raw[start + i], 0).astype(np.uint64)
+        stems.append(mix(stem))
+        at = end
+    none = np.empty(0, np.uint64)
+    return (np.concatenate(words), np.concatenate(stems)) if words else (none, none)
+
+
+def expressions(words: np.ndarray, stems: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the three expressions that end at each word, and what each follows."""
+    before = np.concatenate(([np.uint64(1)], words[:-1]))
+    second = np.concatenate(([np.uint64(1)], before[:-1]))
+    return [mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words), words, stems], [second, before, before]
 
 
 class Model:
-    """Differences of the classes' log probabilities: of the seen pairs, and A(history) + B(word) of all others."""
-
-    def __init__(self, v: np.ndarray, w: np.ndarray, n: np.ndarray, toxic: np.ndarray):
-        self.words = np.unique(np.concatenate([v, w, [_START]])) if len(w) else np.empty(0, np.uint64)
-        size = len(self.words)
-        vi, wi = np.searchsorted(self.words, v), np.searchsorted(self.words, w)
-        # in how many different (class, history) a word follows
-        common = np.bincount(wi, minlength=size).astype(float)
-        d = _discount(common[common > 0])
-        total = max(common.sum(), 1.0)
-        base = np.maximum(common - d, 0) / total + d * (common > 0).sum() / total / FLOOR_WORDS
-        log_a, log_b, parts = [], [], []
-        for c in (False, True):
-            own = toxic == c
-            follow = np.bincount(wi[own], minlength=size).astype(float)
-            total = max(follow.sum(), 1.0)
-            d = _discount(follow[follow > 0])
-            uni = np.maximum(follow - d, 0) / total + d * (follow > 0).sum() / total * base
-            d = _discount(n[own])
-            history = np.bincount(vi[own], weights=n[own], minlength=size)
-            kinds = np.bincount(vi[own], minlength=size)
-            lam = np.where(history > 0, d * kinds / np.maximum(history, 1), 1.0)
-            log_a.append(np.log(lam))
-            log_b.append(np.log(np.maximum(uni, 1e-30)))
-            parts.append((own, d, history, lam, uni))
-        self.a, self.b = log_a[1] - log_a[0], log_b[1] - log_b[0]
-        key = _pair_key(v, w)
-        self.keys, first = np.unique(key, return_index=True)
-        p = []
-        for own, d, history, lam, uni in parts:
-            count = np.zeros(len(self.keys))
-            count[np.searchsorted(self.keys, key[own])] = n[own]
-            h, x = vi[first], wi[first]
-            p.append(np.maximum(count - d, 0) / np.maximum(history[h], 1) + lam[h] * uni[x])
-        self.pair = (np.log(p[1]) - np.log(p[0])).astype(np.float32) if len(self.keys) else np.empty(0, np.float32)
+    """Log-likelihood differences of the expressions that tell the classes apart, and the logistic function."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.tables = tables  # (sorted keys, differences) by kind
         self.slope, self.offset = 0.0, -np.inf
 
-    def difference(self, words: np.ndarray) -> float:
+    def difference(self, text: bytes) -> float:
         """Toxic minus ordinary log-likelihood, per word."""
-        if not len(words) or not len(self.words):
+        words, stems = units(text)
+        if not len(words):
             return 0.0
-        v, w = _pairs(words)
-        at, known = _find(self.words, v)
-        out = np.where(known, self.a[at], 0.0)
-        at, known = _find(self.words, w)
-        out += np.where(known, self.b[at], 0.0)
-        at, known = _find(self.keys, _pair_key(v, w))
-        return float(np.where(known, self.pair[at], out).mean())
+        out = np.zeros(len(words))
+        for (keys, values), x in reversed(list(zip(self.tables, expressions(words, stems)[0], strict=True))):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                out = np.where(keys[at] == x, values[at], out)
+        return float(out.mean())
 
     def calibrate(self, x: np.ndarray, toxic: np.ndarray) -> None:
         """Logistic regression of the class on the difference, classes weighing alike, by Newton steps."""
@@ -117,20 +99,17 @@ class Model:
 
 
 def _count(batches):
-    """(toxic, test, v, w, n) of the sampled texts; test rows carry one text's whole word list instead."""
-    names = ["toxic", "v", "w", "n", "words"]
+    """(toxic, kind, key, follows), each once a batch."""
     for batch in batches:
-        test, toxic = batch.column("test").to_pylist(), batch.column("toxic").to_pylist()
-        words = batch_word_hashes(as_bytes(batch.column("text")))
-        rows = [(t, None, None, None, x.tobytes()) for t, e, x in zip(toxic, test, words, strict=True) if e]
         for c in (0, 1):
-            own = [_pairs(x) for t, e, x in zip(toxic, test, words, strict=True) if not e and t == c and len(x)]
-            if own:
-                both = np.stack([np.concatenate(x) for x in zip(*own, strict=True)], axis=1)
-                pair, n = np.unique(both.view("V16").ravel(), return_counts=True)
-                pair = pair.view(np.uint64).reshape(-1, 2).view(np.int64)
-                rows += zip([c] * len(n), pair[:, 0].tolist(), pair[:, 1].tolist(), n.tolist(), [None] * len(n), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=names)
+            texts = [x for x, t in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True) if t == c]
+            found = [expressions(*units(x)) for x in texts]
+            for kind in range(3):
+                if found:
+                    both = np.stack([np.concatenate([f[i][kind] for f in found]) for i in (0, 1)], axis=1)
+                    both = np.unique(np.ascontiguousarray(both).view("V16").ravel()).view(np.int64).reshape(-1, 2) if len(both) else both.astype(np.int64)
+                    fixed = [pa.array(np.full(len(both), v, np.int32)) for v in (c, kind)]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["toxic", "kind", "key", "follows"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -141,15 +120,39 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     some = labels.where(at < F.when(F.col("toxic") == 1, per_class / counts.get(1, 1)).otherwise(per_class / counts.get(0, 1)))
     some = some.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(5)) == 0)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # some: about 2 * per_class rows
-    rows = found.repartition(F.col("doc_id")).mapInArrow(_count, "toxic int, v long, w long, n long, words binary")
-    pairs = rows.where("words is null").groupBy("toxic", "v", "w").agg(F.sum("n").alias("n")).toArrow()
-    tests = rows.where("words is not null").select("toxic", "words").toArrow()
-    v, w = (pairs[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("v", "w"))
-    order = np.lexsort((w, v, pairs["toxic"].to_numpy()))
-    model = Model(v[order], w[order], pairs["n"].to_numpy()[order].astype(np.int64), pairs["toxic"].to_numpy()[order] == 1)
+
+    types = found.where("not test").mapInArrow(_count, "toxic int, kind int, key long, follows long").distinct()
+    by = types.groupBy("kind", "key").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).persist()
+    sums = {r["kind"]: r for r in by.groupBy("kind").agg(*(f(x).alias(f"{g}{x}") for x in "ab" for g, f in (("n", F.sum), ("t", lambda x: F.count_if(F.col(x) > 0)), ("one", lambda x: F.count_if(F.col(x) == 1)), ("two", lambda x: F.count_if(F.col(x) == 2))))).collect()}
+    tables = []
+    for kind in range(3):
+        if kind not in sums or not (r := sums[kind])["na"] or not r["nb"]:
+            tables.append((np.empty(0, np.uint64), np.empty(0)))
+            continue
+        q = r["na"] / (r["na"] + r["nb"])
+        n = F.col("a") + F.col("b")
+        apart = by.where((F.col("kind") == kind) & (n >= LEAST) & (F.abs(F.col("a") - n * q) >= Z * F.sqrt(n * q * (1 - q)))).select("key", "a", "b").toArrow()
+        key = apart["key"].to_numpy().astype(np.int64).view(np.uint64)
+        both = (apart["a"].to_numpy() + apart["b"].to_numpy()) / (r["na"] + r["nb"])
+        logs = []
+        for x in "ab":
+            d = r[f"one{x}"] / max(r[f"one{x}"] + 2 * r[f"two{x}"], 1) or 0.5
+            logs.append(np.log(np.maximum(apart[x].to_numpy() - d, 0) / r[f"n{x}"] + d * r[f"t{x}"] / r[f"n{x}"] * both))
+        order = np.argsort(key)
+        tables.append((key[order], (logs[0] - logs[1])[order]))
+    by.unpersist()
+    model = Model(tables)
+    box = share(docs.sparkSession, model)
+
+    def differ(batches):
+        m = shared(box)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([m.difference(x) for x in as_bytes(batch.column("text"))], pa.float64())], names=["toxic", "x"])
+
+    tests = found.where("test").mapInArrow(differ, "toxic int, x double").toArrow().sort_by([("toxic", "ascending"), ("x", "ascending")])
     toxic = tests["toxic"].to_numpy() == 1
     if toxic.any() and not toxic.all():
-        model.calibrate(np.array([model.difference(np.frombuffer(x, np.uint64)) for x in tests["words"].to_pylist()]), toxic)
+        model.calibrate(tests["x"].to_numpy(), toxic)
     return model
 
 
@@ -161,10 +164,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared(box)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = [m.score(m.difference(x)) for x in batch_word_hashes(as_bytes(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "toxic_score"])
+            found = [m.score(m.difference(x)) for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxic_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, toxic_score double")
