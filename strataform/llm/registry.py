@@ -75,9 +75,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
+    from .common import materialize
+    from .mixing import mix, sized
 
-    found = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = mix(materialize(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")))
     return found.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
@@ -120,3 +121,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(~held_out(docs)), labels.where(~held_out(labels)))
     found = score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(found).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of
+    from .ctw import score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, bucket_of(docs["doc_id"], 5) == 1)
+
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
