@@ -1,20 +1,55 @@
-"""A training corpus from raw documents: language, near duplicates, secrets, mixture, packing."""
+"""A training corpus from raw documents: language, near duplicates, secrets, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strataform.llm import language, mixing, ngram_join, secrets
 from strataform.llm.common import materialize
-from strataform.llm.ngram_join import keep_one
+from strataform.llm.registry import pack_documents
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go; ``lang`` becomes the predicted one."""
+    model = language.train(docs.where(~language.held_out(docs)))
+    found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    """One document of each group that five-word shingles link at a similarity of 0.8 stays."""
+    return ngram_join.keep_one(docs, width=5, num=80, den=100)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secrets.redact(docs, secrets.train(secrets.default_samples(docs)))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: of each document what the mix takes, one row for each pass."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in the training sequences."""
+    return pack_documents(docs)
 
 
-STAGES = [("n-gram Jaccard join", near_duplicates)]
+STAGES = [
+    ("language ID", known_language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
 
-#: The mixture and the language models have no SQL form; tests hold the stages against brute force.
+#: Language models, the mixture and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
