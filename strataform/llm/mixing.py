@@ -16,26 +16,34 @@ is a few numbers for each source and for each of at most MAX_SHARDS shards. The
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, as_bytes
 
 #: Words in a block, slots in a shard at least, shards at most, parts in which each source's documents are numbered.
 BLOCK, SHARD_SLOTS, MAX_SHARDS, PARTS = 32, 1024, 4096, 256
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 20240229
 
 
-def word_count(text: Column) -> Column:
-    """Number of words. Blanks cut a text apart; an empty piece at either end is no word."""
-    flat = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    # a word starts after a blank: count the blanks left once runs of them are gone
-    single = F.regexp_replace(flat, " {2,}", " ")
-    return F.when(text.isNull() | (flat == ""), 0).otherwise(F.length(single) - F.length(F.replace(single, F.lit(" "), F.lit(""))) + 1).cast("long")
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` and mix_size, its number of words, and mix_tie, which orders rows of one id and size."""
+
+    def run(batches):
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(map(zlib.crc32, texts), pa.int64())], names=[*batch.schema.names, "mix_size", "mix_tie"])
+
+    return docs.mapInArrow(run, _ddl(docs) + ", mix_size long, mix_tie long")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -113,13 +121,12 @@ def draw(shares: list[float], room: list[int], slots: int, shard_slots: int, see
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``docs`` and mix_size, mix_source_size, mix_target, mix_taken, mix_pieces.
+    """``docs`` (as ``sized`` gives them; the text itself isn't needed) and mix_source_size, mix_target, mix_taken, mix_pieces.
 
     mix_pieces: array of (shard, slot, start, length), the words of the document that the mix takes and where they go;
     a slot of a shard is filled by the pieces of one block.
     """
-    base = docs.withColumn("mix_size", word_count(F.col("text").cast("string")))
-    base = base.withColumn("mix_part", F.pmod(F.xxhash64("doc_id", "mix_size", "source"), F.lit(PARTS)).cast("int"))
+    base = docs.withColumn("mix_part", F.pmod(F.xxhash64("doc_id", "mix_size", "source"), F.lit(PARTS)).cast("int"))
     parts = base.groupBy("source", "mix_part").agg(F.sum("mix_size").alias("part_size"))
     sums = parts.groupBy("source").agg(F.sum("part_size").alias("size")).collect()  # a row for each source
     sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
@@ -139,7 +146,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     known = spark.createDataFrame([(r["source"], i, sizes[i], goal[i]) for i, r in enumerate(sums)], "mix_key string, mix_source int, mix_source_size long, mix_target double")
     parts = parts.withColumn("mix_before", F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = parts.select(F.col("source").alias("part_source"), F.col("mix_part").alias("part_no"), "mix_before")
-    order = Window.partitionBy("source", "mix_part").orderBy("doc_id", "mix_size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source", "mix_part").orderBy("doc_id", "mix_size", "mix_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("mix_at", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
     placed = placed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("mix_key"))).drop("mix_key")
     same = F.col("source").eqNullSafe(F.col("part_source")) & (F.col("mix_part") == F.col("part_no"))
@@ -147,8 +154,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
 
     pieces = _taker(plan, before, block, seed)
     fields = placed.schema.names + ["mix_taken", "mix_pieces"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields) + ", mix_taken long, mix_pieces array<struct<shard:int,slot:int,start:long,length:int>>"
-    return placed.mapInArrow(pieces, schema).select(*[f for f in fields if f not in ("mix_at", "mix_source")])
+    schema = _ddl(placed) + ", mix_taken long, mix_pieces array<struct<shard:int,slot:int,start:long,length:int>>"
+    return placed.mapInArrow(pieces, schema).select(*[f for f in fields if f not in ("mix_at", "mix_source", "mix_tie")])
 
 
 def _taker(plan: list[dict], before: list[list[int]], block: int, seed: int):
@@ -215,5 +222,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 columns["n_chars"] = pa.array([len(x) for x in texts], pa.int64()).cast(part.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    found = mix(docs, **options)
+    found = mix(sized(docs), **options)
     return found.where("mix_taken > 0").select(*names, "mix_pieces", "mix_size").mapInArrow(run, docs.schema)
