@@ -12,7 +12,7 @@ ZONES = ("GMT", "UTC", "EST", "EDT", "PST", "PDT", "CST", "CDT", "MST", "MDT", "
 #: Texts without a zone that are understood (fixed values).
 NAIVE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd'T'HH:mm:ss", "yyyy-MM-dd")
 #: Texts with a zone that are understood.
-ZONED_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XX", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "EEE, d MMM yyyy HH:mm:ss z")
+ZONED_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XX", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", "d MMM yyyy HH:mm:ss z")
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 
 UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1}
@@ -47,7 +47,7 @@ def _shape(fmt: str) -> str:
 
 
 def zoned(s: Column) -> Column:
-    t = F.regexp_replace(F.trim(s), "Z\\z", "+00:00")
+    t = F.regexp_replace(F.regexp_replace(F.trim(s), "Z\\z", "+00:00"), r"\A[A-Za-z]{3}, ", "")
     return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in ZONED_FORMATS))
 
 

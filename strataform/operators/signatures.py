@@ -7,6 +7,7 @@ A leaf is its kind, an array ``[...]`` of its elements' signatures without repea
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,13 +27,15 @@ def union(signatures) -> str:
 
 
 def signature(value) -> str:
-    """The signature of a parsed JSON value. Numbers with a fraction or exponent are floats."""
+    """The signature of a value. Decimals, as of numbers with a fraction, are floats."""
     if value is None:
         return "null"
     if isinstance(value, bool):
         return "bool"
     if isinstance(value, int):
         return "i64" if -(2**63) <= value < 2**63 else "u64" if 0 <= value < 2**64 else "f64"
+    if isinstance(value, Decimal):
+        return "u64" if value == int(value) and 2**63 <= value < 2**64 else "f64"
     if isinstance(value, float):
         return "f64"
     if isinstance(value, str):
@@ -42,8 +45,8 @@ def signature(value) -> str:
     return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{signature(v)}" for k, v in sorted(value.items())) + "}"
 
 
-def _nested(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else signature(json.loads(t)))
+def _nested(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if x is None else signature(x.toPython()))
 
 
 def element_signature(v: Column) -> Column:
@@ -54,7 +57,7 @@ def element_signature(v: Column) -> Column:
     leaf = kind_of(schema, F.when(schema.startswith("DECIMAL"), F.try_variant_get(v, "$", "decimal(38,0)")))
     container = schema.startswith("OBJECT") | schema.startswith("ARRAY")
     nested = F.pandas_udf(_nested, "string")
-    return F.when(container, nested(F.when(container, F.to_json(v)))).otherwise(leaf)
+    return F.when(container, nested(F.when(container, v))).otherwise(leaf)
 
 
 def parse(text: str):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,7 @@ def statistics(docs: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame,
     all_values, signatures = values[0], stats.signature_table(found[0])
     for v, x in zip(values[1:], found[1:], strict=True):
         all_values, signatures = all_values.union(v), signatures.union(stats.signature_table(x))
+    all_values = all_values.persist(StorageLevel.MEMORY_AND_DISK)  # both tables read it
     return stats.value_table(all_values), stats.bucket_table(all_values).unionByName(signatures)
 
 

@@ -2,5 +2,290 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import formats
+from .functions.times import TimeInterpreter, ulid, uuid_v7, within
+from .operators import stats
+from .operators.signatures import element_signature
+from .operators.walk import levels, values_of, walk
+from .plans.analyze import analyze
+from .plans.report import epoch_guess
+from .plans.shape import is_map, tuple_length
+from .sniff.sniff import sniff_table
+from .sources.documents import at, from_columns, from_json
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their items as documents, numbered by key."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", F.col("l_quantity").cast("int").alias("l_quantity")))).alias("items"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").join(items, "o_orderkey", "left")
+    return from_columns(orders.withColumn("ord", F.col("o_orderkey")), "ord")
+
+
+@query("""
+SELECT '.' || ltrim(substr(fullkey, 2), '.') AS path,
+       CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'f64'
+                 WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' ELSE 'i64' END AS kind,
+       count(*) AS n, min(event_id) AS first, max(event_id) AS last,
+       min(CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(t.value AS DOUBLE) END) AS lo,
+       max(CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(t.value AS DOUBLE) END) AS hi
+FROM events, json_tree(CAST(props AS JSON)) AS t GROUP BY 1, 2
+""")
+def path_kinds_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = from_json(table(spark, sf_dir, "events"), "props", "event_id")
+    return walk(docs).groupBy("path", "kind").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"), F.min("num").alias("lo"), F.max("num").alias("hi"))
+
+
+_ITEMS = """
+WITH items AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_quantity AS INT) AS l_quantity,
+                      row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, CAST(l_quantity AS INT)) - 1 AS i
+               FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+"""
+
+
+@query(_ITEMS + """
+SELECT '.' AS path, 'object' AS kind, count(*) AS n FROM orders
+UNION ALL SELECT '.o_orderkey', 'i64', count(*) FROM orders
+UNION ALL SELECT '.o_orderstatus', 'string', count(*) FROM orders
+UNION ALL SELECT '.o_totalprice', 'f64', count(*) FROM orders
+UNION ALL SELECT '.items', 'array', count(DISTINCT l_orderkey) FROM items
+UNION ALL SELECT '.items[' || i || ']', 'object', count(*) FROM items GROUP BY i
+UNION ALL SELECT '.items[' || i || '].l_linenumber', 'i64', count(*) FROM items GROUP BY i
+UNION ALL SELECT '.items[' || i || '].l_returnflag', 'string', count(*) FROM items GROUP BY i
+UNION ALL SELECT '.items[' || i || '].l_quantity', 'i64', count(*) FROM items GROUP BY i
+""")
+def path_kinds_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk(order_docs(spark, sf_dir)).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT '.value' AS path, count(*) AS n, min(value) AS lo, max(value) AS hi, round(sum(value), 3) AS total,
+       count(*) FILTER (value < 0) AS n_neg, count(*) FILTER (value = 0) AS n_zero, count(*) FILTER (value > 0) AS n_pos,
+       count(*) FILTER (value = floor(value)) AS n_whole
+FROM events WHERE value IS NOT NULL
+""")
+def numeric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = from_columns(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
+    found = stats.value_table(walk(docs)).where("n_num > 0")
+    return found.groupBy("path").agg(F.sum("n").alias("n"), F.min("min").alias("lo"), F.max("max").alias("hi"), F.round(F.sum("sum"), 3).alias("total"), F.sum("n_neg").alias("n_neg"), F.sum("n_zero").alias("n_zero"), F.sum("n_pos").alias("n_pos"), F.sum("n_whole").alias("n_whole"))
+
+
+@query("""
+SELECT 'ms' AS field, CASE WHEN min(epoch_ms(ts)) >= 9e11 AND max(epoch_ms(ts)) <= 3e12 THEN 'epoch millis' END AS guess FROM events
+UNION ALL SELECT 's', CASE WHEN min(epoch_ms(ts)) >= 9e11 AND max(epoch_ms(ts)) <= 3e12 THEN 'epoch seconds' END FROM events
+UNION ALL SELECT 'user', NULL
+""")
+def epoch_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    docs = from_columns(table(spark, sf_dir, "events").select("event_id", ms.alias("ms"), F.floor(ms / 1000).alias("s"), F.col("user_id").alias("user")), "event_id")
+    found = analyze(docs).root.fields()
+    return spark.createDataFrame([(c.step, epoch_guess(c.number())) for c in found], "field string, guess string")
+
+
+_TEXTS = """
+WITH texts AS (SELECT c_name AS s FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT url FROM pages UNION ALL SELECT o_orderstatus FROM orders
+               UNION ALL SELECT CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') FROM events UNION ALL SELECT strftime(ts, '%Y-%m-%d') FROM events
+               UNION ALL SELECT '10.0.' || (user_id % 256) || '.' || (event_id % 256) FROM events UNION ALL SELECT strftime(ts, '%H:%M:%S') FROM events
+               UNION ALL SELECT event_type || '@' || event_type || '.org' FROM events UNION ALL SELECT md5(event_type) FROM events)
+"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    e = t("events")
+    parts = [
+        t("customer").select("c_name"), t("part").select("p_brand"), t("pages").select("url"), t("orders").select("o_orderstatus"), t("orders").select(F.col("o_orderkey").cast("string")),
+        e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), e.select(F.date_format("ts", "yyyy-MM-dd")), e.select(F.concat(F.lit("10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 256).cast("string"))),
+        e.select(F.date_format("ts", "HH:mm:ss")), e.select(F.concat("event_type", F.lit("@"), "event_type", F.lit(".org"))), e.select(F.md5(F.col("event_type").cast("binary"))),
+    ]
+    out = parts[0].toDF("s")
+    for p in parts[1:]:
+        out = out.union(p.toDF("s"))
+    return out
+
+
+@query(_TEXTS + r"""
+SELECT CASE
+  WHEN regexp_matches(s, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') THEN 'uuid'
+  WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}') THEN 'iso-timestamp'
+  WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'iso-date'
+  WHEN regexp_matches(s, '^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$') THEN 'ipv4'
+  WHEN regexp_matches(s, '^[0-9a-fA-F:]{2,39}$') AND length(s) - length(replace(s, ':', '')) >= 2 THEN 'ipv6'
+  WHEN strpos(s, '@') > 1 AND strpos(s, '@') < length(s) AND strpos(s, ' ') = 0 THEN 'email'
+  WHEN starts_with(s, 'http://') OR starts_with(s, 'https://') THEN 'url'
+  WHEN regexp_matches(s, '^[0-9]+$') THEN 'digits' WHEN regexp_matches(s, '^[A-Za-z]+$') THEN 'alpha'
+  WHEN regexp_matches(s, '^[A-Za-z0-9]+$') THEN 'alnum' ELSE 'other' END AS format, count(*) AS n
+FROM texts WHERE s IS NOT NULL GROUP BY 1
+""")
+def string_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).where("s is not null").groupBy(formats.detect_format(F.col("s")).alias("format")).agg(F.count("*").alias("n"))
+
+
+@query(_TEXTS + r"""
+, k AS (SELECT regexp_replace(regexp_replace(regexp_replace(s, '[0-9]+', '9', 'g'), '\p{L}+', 'A', 'g'), '\s+', ' ', 'g') AS k FROM texts WHERE s IS NOT NULL)
+SELECT CASE WHEN length(k) > 16 THEN substr(k, 1, 16) || '…' ELSE k END AS skeleton, count(*) AS n FROM k GROUP BY 1
+""")
+def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).where("s is not null").groupBy(formats.skeleton(F.col("s")).alias("skeleton")).agg(F.count("*").alias("n"))
+
+
+@query(_TEXTS + "SELECT CASE WHEN strlen(s) < 2 THEN 0 ELSE least(31, floor(log2(strlen(s)))) END::INT AS bucket, count(*) AS n FROM texts WHERE s IS NOT NULL GROUP BY 1")
+def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).where("s is not null").groupBy(formats.length_bucket(F.octet_length("s")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT ceil(ln(o_totalprice) / ln(1.02 / 0.98)) AS i, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1),
+r AS (SELECT i, sum(n) OVER (ORDER BY i) AS upto, sum(n) OVER () AS total FROM b)
+SELECT q, round(min(exp((i - 0.5) * ln(1.02 / 0.98))), 6) AS value FROM r, (VALUES (0.5::DOUBLE), (0.9), (0.99)) AS v(q) WHERE upto >= greatest(1, ceil(q * total)) GROUP BY q
+""")
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stats.quantiles(table(spark, sf_dir, "orders").where("o_totalprice > 0"), "o_totalprice", [0.5, 0.9, 0.99])
+    return found.select("q", F.round("value", 6).alias("value"))
+
+
+def _day_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("n"))
+    docs = users.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct(F.col("user_id").cast("string"), F.struct("n")))).alias("m"))
+    return from_json(docs.select(F.datediff("day", F.lit("1970-01-01")).alias("ord"), F.to_json("m").alias("doc")), "doc", "ord")
+
+
+@query("""
+WITH u AS (SELECT CAST(ts AS DATE) AS d, user_id FROM events GROUP BY 1, 2), k AS (SELECT count(DISTINCT user_id) AS keys, count(*) AS pairs, count(DISTINCT d) AS docs FROM u)
+SELECT 'users by day' AS docs, keys > 64 OR (keys >= 16 AND keys > 4 * greatest(pairs / docs, 1)) AS is_map FROM k
+UNION ALL SELECT 'events', false
+""")
+def object_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = from_columns(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "event_id")
+    return spark.createDataFrame([(name, is_map(analyze(d).root)[0]) for name, d in (("users by day", _day_maps(spark, sf_dir)), ("events", events))], "docs string, is_map boolean")
+
+
+@query("""
+SELECT field, n, n < (SELECT count(*) FROM customer) AS nullable FROM (
+  SELECT 'c_custkey' AS field, count(*) AS n FROM customer UNION ALL SELECT 'owed', count(*) FROM customer WHERE c_acctbal < 0)
+""")
+def field_nullability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = from_columns(table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")).alias("owed"), F.col("c_custkey").alias("ord")), "ord")
+    values = walk(docs)
+    total = values.where("parent is null").agg(F.count("*").alias("total"))
+    found = values.where("parent = '.'").groupBy(F.col("step").alias("field")).agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(total), F.lit(True)).select("field", "n", (F.col("n") < F.col("total")).alias("nullable"))  # total: one row
+
+
+@query("""
+WITH l AS (SELECT len(embedding) AS k, count(*) AS n FROM embeddings GROUP BY 1), m AS (SELECT k, n, sum(n) OVER () AS total FROM l ORDER BY n DESC, k DESC LIMIT 1),
+i AS (SELECT c AS k, count(*) AS n FROM (SELECT count(*) AS c FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey) GROUP BY 1), mi AS (SELECT k, n, sum(n) OVER () AS total FROM i ORDER BY n DESC, k DESC LIMIT 1)
+SELECT 'embedding' AS field, CASE WHEN (SELECT max(k) FROM l) <= 32 AND k BETWEEN 1 AND 16 AND n >= 0.9 * total THEN k ELSE 0 END AS tuple_length FROM m
+UNION ALL SELECT 'items', CASE WHEN (SELECT max(k) FROM i) <= 32 AND k BETWEEN 1 AND 16 AND n >= 0.9 * total THEN k ELSE 0 END FROM mi
+UNION ALL SELECT 'pair', 2
+""")
+def array_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = from_columns(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.array(F.col("vec_id"), F.col("label").cast("long")).alias("pair")), "vec_id")
+    found = [*analyze(vectors).root.fields(), *analyze(order_docs(spark, sf_dir)).root.fields()]
+    return spark.createDataFrame([(c.step, tuple_length(c)[0] or 0) for c in found if "array" in c.kinds], "field string, tuple_length int")
+
+
+@query("""
+SELECT CASE event_type WHEN 'purchase' THEN '{"id":i64,"price":f64}' WHEN 'error' THEN '{"code":string}' WHEN 'view' THEN 'i64' ELSE '[i64|string]' END AS signature, count(*) AS n
+FROM events GROUP BY 1
+""")
+def element_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "purchase", F.format_string('{"price": %s, "id": %d}', F.col("value").cast("decimal(20,4)").cast("string"), "event_id")).when(F.col("event_type") == "error", F.lit('{"code": "E"}')).when(F.col("event_type") == "view", F.col("event_id").cast("string")).otherwise(F.lit('["x", 1, "y"]'))
+    docs = from_json(e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(text), ","), F.lit("]")).alias("doc")), "doc", "user_id")
+    first = levels(docs)[0]
+    return first.where("pos is not null").groupBy(element_signature(F.col("member")).alias("signature")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-02-01 00:00:00'")
+def time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.withColumn("at", TimeInterpreter("ms")(F.unix_millis(F.col("ts").cast("timestamp"))))
+    return rows.where(within(F.col("at"), datetime(2024, 1, 10), datetime(2024, 2, 1))).select("event_id", "ts")
+
+
+@query("""
+SELECT count(*) AS n, count(ts) AS n_read, sum(floor(epoch(ts)))::BIGINT AS total FROM events
+""")
+def text_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    read = TimeInterpreter("text")(text)
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count(read).alias("n_read"), F.sum(F.unix_seconds(read)).alias("total"))
+
+
+@query(_ITEMS + "SELECT count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM items WHERE i = 0")
+def at_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = walk(at(order_docs(spark, sf_dir), ".items[0]"))
+    return values.agg(F.count_if(F.col("path") == ".").alias("n"), F.sum(F.when(F.col("path") == ".l_quantity", F.col("num"))).cast("long").alias("quantity"))
+
+
+@query("SELECT event_id, 1700000000000 + event_id AS ms FROM events")
+def uuidv7_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.lower(F.lpad(F.hex(F.col("event_id") + 1700000000000), 12, "0"))
+    text = F.concat_ws("-", F.substring(ms, 1, 8), F.substring(ms, 9, 4), F.lit("7abc"), F.lit("8123"), F.lit("0123456789ab"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(uuid_v7(text)).alias("ms"))
+
+
+@query("SELECT event_id, 1700000000000 + event_id AS ms FROM events")
+def ulid_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id") + 1700000000000
+    digit = lambda i: F.substring(F.lit("0123456789ABCDEFGHJKMNPQRSTVWXYZ"), (F.shiftright(n, 5 * (9 - i)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    text = F.concat(*map(digit, range(10)), F.lit("0123456789ABCDEF"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(ulid(text)).alias("ms"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN embedding IS NULL THEN 'null' ELSE 'array' END AS kind FROM embeddings UNION ALL SELECT 'object' FROM embeddings UNION ALL SELECT 'f64' FROM (SELECT unnest(embedding) FROM embeddings)) GROUP BY 1")
+def leaf_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = from_columns(table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 1e-9).alias("e")), "vec_id")
+    found = levels(docs)
+    out = values_of(found[0])
+    for x in found[1:]:
+        out = out.union(values_of(x))
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def shape_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on orders with their items, a row for each line."""
+    lines = analyze(order_docs(spark, sf_dir)).report().split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+@query()
+def shape_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Spark types found for events and orders."""
+    events = table(spark, sf_dir, "events").withColumn("props", F.parse_json("props")).select("event_id", "user_id", "event_type", "value", F.to_json("props").alias("props"))
+    found = {"events": from_columns(events, "event_id"), "orders": order_docs(spark, sf_dir), "users by day": _day_maps(spark, sf_dir)}
+    return spark.createDataFrame([(name, analyze(d).spark_type().simpleString()) for name, d in found.items()], "docs string, type string")
+
+
+@query()
+def syntax_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and best syntax of pages, documents and event lines as files."""
+    t = lambda name: table(spark, sf_dir, name)
+    lines = lambda df, text, kind: df.groupBy((F.monotonically_increasing_id() / 200).cast("long").alias("f")).agg(F.array_join(F.collect_list(text), "\n").alias("content")).select(F.lit(kind).alias("source"), "content")
+    e = t("events")
+    files = t("pages").select(F.lit("pages").alias("source"), F.col("html").alias("content")).union(t("documents").select(F.lit("documents"), "text")).union(lines(e, F.to_json(F.struct("event_id", "user_id", "event_type")), "jsonl")).union(lines(e, F.concat_ws(",", "event_id", "user_id", "event_type"), "csv"))
+    return sniff_table(files.select("source", F.col("content").cast("binary").alias("content"))).groupBy("source", "encoding", "best").agg(F.count("*").alias("n"))

@@ -1,0 +1,76 @@
+"""Evidence: how well a measure meets an expectation, from -1 (refuted) to 1 (met), and its weight in bits."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+
+def _clamp(x: float) -> float:
+    return max(-1.0, min(1.0, x))
+
+
+def band(x: float, lo: float, hi: float) -> float:
+    """Inside is 1; outside falls with the ratio to the nearer edge."""
+    if lo <= x <= hi:
+        return 1.0
+    if x < lo:
+        return _clamp(2 * x / lo - 1)
+    return _clamp(2 * hi / x - 1)
+
+
+def balance(a: int, b: int) -> float:
+    """1 if two counts are equal, -1 if one is zero, 0 if both are."""
+    return 2 * min(a, b) / max(a, b) - 1 if a or b else 0.0
+
+
+def atleast(x: float, t: float) -> float:
+    return _clamp(2 * x / t - 1)
+
+
+def atmost(x: float, t: float) -> float:
+    return 1.0 if x <= t else _clamp(2 * t / x - 1)
+
+
+def frac(x: float) -> float:
+    return _clamp(2 * x - 1)
+
+
+def yes_no(x: bool) -> float:
+    return 1.0 if x else -1.0
+
+
+def purity(share: float, tolerance: float) -> float:
+    return _clamp(1 - (1 - share) / tolerance)
+
+
+def confidence(bits: float) -> float:
+    return 1 / (1 + 2.0**-bits)
+
+
+@dataclass(frozen=True)
+class Evidence:
+    feature: str
+    satisfaction: float
+    weight: float
+
+    @property
+    def bits(self) -> float:
+        return self.satisfaction * self.weight
+
+
+@dataclass
+class Scorer:
+    evidence: list[Evidence] = field(default_factory=list)
+
+    def add(self, feature: str, weight: float, satisfaction: float, against: float | None = None) -> None:
+        """``against``: the weight of a refutation where it differs."""
+        s = _clamp(satisfaction)
+        self.evidence.append(Evidence(feature, s, weight if s >= 0 or against is None else against))
+
+    def refute(self, feature: str, weight: float, satisfaction: float) -> None:
+        """Only counts against."""
+        self.add(feature, 0.0, satisfaction, weight)
+
+    @property
+    def bits(self) -> float:
+        return sum(e.bits for e in self.evidence)

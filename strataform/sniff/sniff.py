@@ -1,0 +1,154 @@
+"""Encoding and syntax of unidentified bytes: of one input, of a stream of chunks, of a table of files."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .profile import HEAD, PREFIX, WINDOW, WINDOWS, Alphabet, Profile, alphabet, decide, fold, profile, segments
+from .syntax import FLOOR, Candidate, rank
+
+
+@dataclass
+class Report:
+    alphabet: Alphabet
+    profile: Profile
+    candidates: list[Candidate]  # over the floor, best first; none means unknown
+    rejected: list[Candidate]
+    bytes_total: int
+
+    @property
+    def best(self) -> Candidate | None:
+        return self.candidates[0] if self.candidates else None
+
+    def describe(self, verbose: bool = False) -> str:
+        out = [f"{self.alphabet.encoding}, {self.bytes_total} bytes, {self.profile.units} profiled: {self.best.syntax if self.best else 'unknown'}"]
+        for c in self.candidates + (self.rejected if verbose else []):
+            out.append(f"  {c.syntax}  {c.confidence:.3f}  {c.bits:+.2f} bits")
+            out += [f"    {e.feature}  {e.satisfaction:+.2f} of {e.weight:g}" for e in c.evidence if verbose]
+        return "\n".join(out)
+
+
+def _report(a: Alphabet, parts: list[bytes], total: int, floor: float) -> Report:
+    p = profile(parts)
+    found = rank(p, a)
+    return Report(a, p, [c for c in found if c.confidence >= floor], [c for c in found if c.confidence < floor], total)
+
+
+def sniff(data: bytes, floor: float = FLOOR) -> Report:
+    """Judge one input; of a long one the start and some windows are profiled."""
+    a = alphabet(data)
+    return _report(a, segments(fold(data, a.encoding, a.mark)), len(data), floor)
+
+
+class Stream:
+    """The same of chunks, wherever they are cut: profiled are the start, then windows after gaps that double.
+
+    At most PREFIX + WINDOWS * WINDOW bytes are kept.
+    """
+
+    def __init__(self, prefix: int = PREFIX, window: int = WINDOW, windows: int = WINDOWS, floor: float = FLOOR):
+        self.floor, self.total, self.counts, self.odd_nulls = floor, 0, np.zeros(256, dtype=np.int64), 0
+        self.head, self.alphabet, self.held, self.at = b"", None, b"", 0
+        self.plan, at, gap = [(0, prefix)], prefix, window
+        for _ in range(windows):
+            at += gap
+            self.plan.append((at, window))
+            at, gap = at + window, gap * 2
+        self.parts: list[bytes | None] = [None] * len(self.plan)  # bytes of each planned part so far
+        self.aligned = [i == 0 for i in range(len(self.plan))]
+
+    @property
+    def is_satisfied(self) -> bool:
+        return self.at >= sum(self.plan[-1]) + self.plan[-1][1]
+
+    def push(self, chunk: bytes) -> None:
+        if not chunk:
+            return
+        raw = np.frombuffer(chunk, dtype=np.uint8)
+        self.counts += np.bincount(raw, minlength=256)
+        self.odd_nulls += int((raw[(self.total + 1) % 2 :: 2] == 0).sum())
+        self.total += len(chunk)
+        if self.alphabet is None:
+            self.head += chunk
+            if len(self.head) < HEAD:
+                return
+            self.alphabet = alphabet(self.head[:HEAD])
+            chunk, self.head = self.head[self.alphabet.mark :], self.head[:HEAD]
+        self._admit(chunk)
+
+    def _admit(self, chunk: bytes) -> None:
+        data = self.held + chunk
+        if self.alphabet.encoding.startswith("utf-16"):
+            cut = len(data) // 2 * 2
+            data, self.held = data[:cut], data[cut:]
+            data = fold(data, self.alphabet.encoding)
+        else:
+            self.held = b""
+        for i, (start, size) in enumerate(self.plan):
+            # a window may move on by its own size to the start of a line
+            room = size if i == 0 else 2 * size
+            lo, hi = max(start - self.at, 0), min(start + room - self.at, len(data))
+            if lo < hi:
+                self.parts[i] = (self.parts[i] or b"") + data[lo:hi]
+        self.at += len(data)
+
+    def report(self) -> Report:
+        """What the bytes so far say; more may follow."""
+        a = self.alphabet
+        if a is None:
+            a = alphabet(self.head)
+            return _report(a, segments(fold(self.head, a.encoding, a.mark)), self.total, self.floor)
+        a = decide(self.counts, self.total, self.odd_nulls, self.head)
+        parts = []
+        for i, part in enumerate(self.parts):
+            if part:
+                line = part.find(b"\n") if i else -1
+                part = part[line + 1 :] if 0 <= line < self.plan[i][1] else part
+                parts.append(part[: self.plan[i][1]])
+        return _report(a, [p for p in parts if p], self.total, self.floor)
+
+    finish = report
+
+
+def sniff_reader(reader, size: int = 64 << 10, **options) -> Report:
+    """Read until enough is known."""
+    s = Stream(**options)
+    while not s.is_satisfied and (chunk := reader.read(size)):
+        s.push(chunk)
+    return s.report()
+
+
+_SCHEMA = "encoding string, text_confidence double, entropy double, bytes_total long, best string, candidates array<struct<syntax:string,bits:double,confidence:double,evidence:array<struct<feature:string,satisfaction:double,weight:double>>>>"
+
+
+def sniff_table(files: DataFrame, content: str = "content", floor: float = FLOOR) -> DataFrame:
+    """``files`` without their content, with what each is: encoding, best syntax (null: unknown) and all candidates."""
+    keep = [c for c in files.columns if c != content]
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for data in batch.column(content).to_pylist():
+                r = sniff(data.encode() if isinstance(data, str) else data or b"", floor)
+                all_ = [{"syntax": c.syntax, "bits": c.bits, "confidence": c.confidence, "evidence": [{"feature": e.feature, "satisfaction": e.satisfaction, "weight": e.weight} for e in c.evidence]} for c in r.candidates + r.rejected]
+                rows.append({"encoding": r.alphabet.encoding, "text_confidence": r.alphabet.confidence, "entropy": r.alphabet.entropy, "bytes_total": r.bytes_total, "best": r.best.syntax if r.best else None, "candidates": all_})
+            evidence = pa.list_(pa.struct([("feature", pa.string()), ("satisfaction", pa.float64()), ("weight", pa.float64())]))
+            found = pa.Table.from_pylist(rows, schema=pa.schema([("encoding", pa.string()), ("text_confidence", pa.float64()), ("entropy", pa.float64()), ("bytes_total", pa.int64()), ("best", pa.string()), ("candidates", pa.list_(pa.struct([("syntax", pa.string()), ("bits", pa.float64()), ("confidence", pa.float64()), ("evidence", evidence)])))]))
+            columns = [batch.column(c) for c in keep] + [found.column(c).combine_chunks() for c in found.column_names]
+            yield pa.RecordBatch.from_arrays(columns, names=keep + found.column_names)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != content)
+    return files.mapInArrow(run, f"{kept}, {_SCHEMA}" if kept else _SCHEMA)
+
+
+def sniff_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """The files under a directory."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    return sniff_table(reader.load(path).select(F.col("path"), "modificationTime", "length", "content"))

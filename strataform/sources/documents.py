@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,10 @@ _DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
 def numbered(df: DataFrame, name: str = "ord") -> DataFrame:
     """``df`` with a gapless number from 0 in the order of its rows.
 
-    Two passes over a plan whose partitions don't change between them: counts by partition, then an offset to each row.
+    Two passes over rows that are kept, so that their partitions stay what they are: counts by partition, then an offset
+    to each row.
     """
-    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_id", 33)
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a partition
     at, offsets = 0, []
