@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, as texts can be long; a setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def tidy(run):
+    """``run`` over batches, after which a Python worker gives unused memory back: workers live on for other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def share(spark: SparkSession, what):
     """A broadcast of an object of this package: its class travels with it. Read it with ``shared``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(what))

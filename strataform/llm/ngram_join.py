@@ -29,17 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_word_hashes, components, materialize, mix, shingles
+from .common import as_bytes, batch_word_hashes, components, lean, materialize, mix, shingles, tidy
 
 #: Sets that meet in one cell at most, and the rows up to which a list of keys is broadcast.
 CELL, BROADCAST_ROWS = 1024, 1_000_000
 
 
 def size_levels(most: int, num: int, den: int) -> list[int]:
-    """First sizes of the levels up to ``most`` and one beyond; a set links only within its level and the next ones to it."""
+    """First sizes of the levels up to ``most`` and two beyond; a set links only within its level and the next ones to it."""
     out = [1]
     while len(out) < 3 or out[-3] <= most:
-        out.append(out[-1] * den // num + 1)
+        out.append(out[-1] * den * den // (num * num) + 1)
     return out
 
 
@@ -49,7 +49,8 @@ def differing(level: int, starts: list[int], num: int, den: int) -> int:
 
 
 def spare(d: int) -> int:
-    return 1 + d // 4
+    """Ranges beyond d + 1, and so the lists that a set may leave out."""
+    return 1 + d // 8
 
 
 def range_keys(s: np.ndarray, level: int, d: int) -> np.ndarray:
@@ -63,10 +64,6 @@ def range_keys(s: np.ndarray, level: int, d: int) -> np.ndarray:
     return mix((total[at[1:]] - total[at[:-1]]) ^ mix(i + np.uint64(level << 32)))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
 
@@ -75,37 +72,47 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _describe(width: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("k0", pa.int32()), ("s0", pa.list_(pa.int64())), ("k1", pa.int32()), ("s1", pa.list_(pa.int64()))])
+def _describe(width: int):
+    """(doc_id, tkey, n, h) of each text: the size of its set and the set's key."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingles(w, width) for w in batch_word_hashes(as_bytes(part.column("text")))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "tkey", "n", "h"])
+
+    return run
+
+
+def _lists(width: int, num: int, den: int):
+    """(h, key) of each set's ranges: those of its own level with an even key, those of the next with an odd one.
+
+    Of equal sets in one partition the first is enough.
+    """
 
     def run(batches):
         seen: set[int] = set()
         starts = size_levels(1, num, den)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for words in batch_word_hashes(as_bytes(part.column("text"))):
+                owners, keys = [], []
+                for words in batch_word_hashes(as_bytes(batch.column("text").slice(at, 512))):
                     s = shingles(words, width)
                     n = len(s)
-                    if not n:
-                        rows.append((0, None, 0, None, 0, None))
-                        continue
-                    h = set_key(s)
-                    if h in seen:  # its lists are there already
-                        rows.append((n, h, 0, None, 0, None))
+                    if not n or (h := set_key(s)) in seen:
                         continue
                     seen.add(h)
                     if starts[-2] <= n:
                         starts = size_levels(n, num, den)
                     level = int(np.searchsorted(starts, n, side="right")) - 1
-                    found = []
-                    for x in (level, level + 1):
-                        d = differing(x, starts, num, den)
-                        found += [spare(d), _signed(range_keys(s, x, d)) if d else None]
-                    rows.append((n, h, *found))
-                n, h, k0, s0, k1, s1 = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), *(pa.array(x, t) for x, t in zip((n, h, k0, s0, k1, s1), schema.types[2:], strict=True))], schema=schema)
+                    for upper in range(1 + (n * den // num >= starts[level + 1])):
+                        if d := differing(level + upper, starts, num, den):
+                            key = range_keys(s, level + upper, d)
+                            keys.append(key & ~np.uint64(1) | np.uint64(upper))
+                            owners.append(np.full(len(key), h, dtype=np.int64))
+                for k in range(0, len(keys), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners[k : k + 64])), pa.array(np.concatenate(keys[k : k + 64]).view(np.int64))], names=["h", "key"])
 
     return run
 
@@ -205,14 +212,20 @@ def ngram_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     """
     if not 0 < num <= den or width < 1:
         raise ValueError("0 < num <= den and width >= 1 are needed")
+    lean(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", text_key(F.col("text")))
-    t = materialize(base.mapInArrow(_describe(width, num, den), "doc_id long, tkey long, n long, h long, k0 int, s0 array<long>, k1 int, s1 array<long>"))
+    t = materialize(base.mapInArrow(tidy(_describe(width)), "doc_id long, tkey long, n long, h long"))
     classes = t.where("h is not null").groupBy("h").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "tkey", "doc_id")).alias("first"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.max("n").alias("n"))
 
-    lists = t.where("s0 is not null").select("h", F.lit(0).alias("level"), F.col("k0").alias("k"), F.explode("s0").alias("key"))
-    lists = lists.union(t.where("s1 is not null").select("h", F.lit(1), "k1", F.explode("s1")))
-    lists = lists.withColumn("length", F.count("*").over(Window.partitionBy("key"))).where("length > 1")
-    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("h", "level").orderBy(F.desc("length"), "key"))).where("rank > k")
+    # most lists hold one set; what is left is kept, the sets' sizes tell how many lists each leaves out
+    lists = base.select("text").mapInArrow(tidy(_lists(width, num, den)), "h long, key long")
+    lists = materialize(lists.withColumn("length", F.count("*").over(Window.partitionBy("key"))).where("length > 1"))
+    starts = size_levels(t.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0], num, den)
+    spares = F.array(*(F.lit(spare(differing(x, starts, num, den))) for x in range(len(starts) - 1)))
+    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n"))) - 1 + F.col("key").bitwiseAND(F.lit(1)).cast("int")
+    upper = F.col("key").bitwiseAND(F.lit(1))
+    lists = lists.join(classes.select("h", "n"), "h").withColumn("k", F.get(spares, level)).withColumn("upper", upper)
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("h", "upper").orderBy(F.desc("length"), "key"))).where("rank > k")
     chain = lists.select(F.col("h").alias("a"), F.lag("h").over(Window.partitionBy("key").orderBy("h")).alias("b")).where("a <> b")
     near = materialize(components(chain).withColumnRenamed("node", "h").withColumnRenamed("label", "comp"))
 
@@ -222,7 +235,7 @@ def ngram_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     pick = nodes.drop("n")
     texts = base.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ckey"), "tkey", "text")
     found = texts.join(F.broadcast(pick) if total[0] <= BROADCAST_ROWS else pick, ["ckey", "tkey"]).select("text", "h", "comp", "size", "copies")
-    found = found.mapInArrow(_texts(width), "h long, comp long, size long, copies long, content binary")
+    found = found.mapInArrow(tidy(_texts(width)), "h long, comp long, size long, copies long, content binary")
 
     buckets = max(1, -(-total[0] // (2 * cell)), -(-total[1] // 1_000_000))
     blocks = F.ceil(F.col("size") / cell)
