@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_word_hashes, materialize, shingles
+from .common import batch_word_hashes, lean, materialize, shingles, tidy
 
 #: Hashes kept, and the words of a shingle.
 K, WIDTH = 128, 5
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
                 found = sketches(texts, k, width)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(map(encode, found), pa.string()), pa.array([distinct(a, k) for a in found], pa.float64())], names=["doc_id", "n_chars", "fingerprint", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string, n_shingles double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_chars long, fingerprint string, n_shingles double")
 
 
 def _edited(k: int, width: int):
@@ -132,6 +132,7 @@ def edit_likeness(docs: DataFrame, k: int = K, width: int = WIDTH, run: int = RU
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document.
     Documents go by runs of ids; each run gets a copy of the first document of the run that follows.
     """
+    lean(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("run", F.coalesce(F.floor(F.col("doc_id") / run), F.lit(-(2**62))).cast("long"))
     # the first document of each run, by id and then text, and the run that waits for it
@@ -150,4 +151,4 @@ def edit_likeness(docs: DataFrame, k: int = K, width: int = WIDTH, run: int = RU
     both = base.select("run", "doc_id", "text", F.lit(False).alias("stop")).union(stops.select("waits", "doc_id", "text", F.lit(True)))
     # null ids count as the least: their run has the least number
     both = both.repartition("run").sortWithinPartitions("run", "stop", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return both.mapInArrow(_edited(k, width), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return both.mapInArrow(tidy(_edited(k, width)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, share, shared
+from .common import bucket_of, lean, share, shared, tidy
 
 #: Families of some languages by code (fixed values).
 FAMILIES = {
@@ -129,6 +129,7 @@ class Model:
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model:
     """Learn from rows (text, lang)."""
+    lean(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     per = min(per_language, max(2, total // max(1, len(counts))))
@@ -145,7 +146,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TO
                     rows.append((lang, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["lang", "at", "x"])
 
-    found = some.mapInArrow(run, "lang string, at binary, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    found = some.mapInArrow(tidy(run), "lang string, at binary, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.zeros((found.num_rows, FEATURES), dtype=np.float32)
     for i, (at, v) in enumerate(zip(found["at"].to_pylist(), found["x"].to_pylist(), strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f4")
@@ -155,6 +156,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TO
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` and lang_pred, lang_score; columns of these names are replaced."""
     docs = docs.drop("lang_pred", "lang_score")
+    lean(docs.sparkSession)
     box = share(docs.sparkSession, model)
 
     def run(batches):
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, lang_pred string, lang_score double")
 
 
 def held_out(docs: DataFrame):

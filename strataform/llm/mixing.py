@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes
+from .common import SPACES, as_bytes, lean, tidy
 
 #: Words in a block, slots in a shard at least, shards at most, parts in which each source's documents are numbered.
 BLOCK, SHARD_SLOTS, MAX_SHARDS, PARTS = 32, 1024, 4096, 256
@@ -39,7 +39,8 @@ def sized(docs: DataFrame) -> DataFrame:
             texts = as_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(map(zlib.crc32, texts), pa.int64())], names=[*batch.schema.names, "mix_size", "mix_tie"])
 
-    return docs.mapInArrow(run, _ddl(docs) + ", mix_size long, mix_tie long")
+    lean(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), _ddl(docs) + ", mix_size long, mix_tie long")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -155,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     pieces = _taker(plan, before, block, seed)
     fields = placed.schema.names + ["mix_taken", "mix_pieces"]
     schema = _ddl(placed) + ", mix_taken long, mix_pieces array<struct<shard:int,slot:int,start:long,length:int>>"
-    return placed.mapInArrow(pieces, schema).select(*[f for f in fields if f not in ("mix_at", "mix_source", "mix_tie")])
+    return placed.mapInArrow(tidy(pieces), schema).select(*[f for f in fields if f not in ("mix_at", "mix_source", "mix_tie")])
 
 
 def _taker(plan: list[dict], before: list[list[int]], block: int, seed: int):
@@ -223,4 +224,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     found = mix(sized(docs), **options)
-    return found.where("mix_taken > 0").select(*names, "mix_pieces", "mix_size").mapInArrow(run, docs.schema)
+    return found.where("mix_taken > 0").select(*names, "mix_pieces", "mix_size").mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, process_cache
+from .common import lean, materialize, process_cache, tidy
 
 #: Tokens of a window, pieces in a combination at most, rounds of the solver, pieces numbered together.
 WINDOW, DEPTH, ROUNDS, TOGETHER = 1024, 3, 12, 2048
@@ -44,19 +44,24 @@ def tokenizer(path: str, ranks: str | None, pattern: str | None) -> Callable[[li
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         fast = None
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as f:
                 fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
-        cache[key] = Tokenizer.from_file(path), fast, re.compile(PLAIN)
-    slow, fast, other = cache[key]
+        cache[key] = fast, re.compile(PLAIN)
+    fast, other = cache[key]
+
+    def exact(text: str) -> list[int]:
+        if ("exact", path) not in cache:  # large, so only if a text needs it
+            from tokenizers import Tokenizer
+
+            cache["exact", path] = Tokenizer.from_file(path)
+        return cache["exact", path].encode(text, add_special_tokens=False).ids
 
     def run(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(fast.encode_ordinary(t) if fast and not other.search(t) else slow.encode(t, add_special_tokens=False).ids, dtype="<u4") for t in texts]
+        return [np.array(fast.encode_ordinary(t) if fast and not other.search(t) else exact(t), dtype="<u4") for t in texts]
 
     return run
 
@@ -211,8 +216,9 @@ def _placed(plan: Plan):
 
 def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, end_id: int = 0) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    lean(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(base.mapInArrow(_pieces(window, path, ranks, pattern, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"))
+    pieces = materialize(base.mapInArrow(tidy(_pieces(window, path, ranks, pattern, end_id)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"))
     parts = max(64, pieces.count() // TOGETHER // 8)
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
@@ -224,4 +230,4 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, pattern: str | No
     ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")))
     ranked = ranked.join(F.broadcast(first) if window * parts <= BROADCAST_ROWS else first, ["length", "part"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("before") + F.col("row") - 1).alias("rank"))
-    return ranked.mapInArrow(_placed(plan), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(_placed(plan)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

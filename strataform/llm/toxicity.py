@@ -11,7 +11,7 @@ Training is on a bounded sample: about PER_CLASS labelled documents a class pick
 and the rest for the logistic function.
 
 Defined cases: a document without words (null included) gets the score of difference 0; of several labels of one id the
-largest counts, null labels none; without samples of both classes every score is 0; repeated rows are rows like others;
+largest counts, null labels none; without samples of both classes every score is next to 0; repeated rows are rows like others;
 other columns are kept; an empty table gives no rows.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bucket_of, mix, share, shared, word_hashes
+from .common import as_bytes, bucket_of, lean, mix, share, shared, tidy, word_hashes
 
 #: Sampled documents a class, bytes of a word's beginning, standard deviations and count that tell classes apart.
 PER_CLASS, STEM, Z, LEAST = 2000, 4, 4.0, 5
@@ -95,7 +95,7 @@ class Model:
         self.slope, self.offset = float(t[0] / scale), float(t[1])
 
     def score(self, difference: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -700, 700))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -50, 50))))
 
 
 def _count(batches):
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     some = some.withColumn("test", F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(5)) == 0)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # some: about 2 * per_class rows
 
-    types = found.where("not test").mapInArrow(_count, "toxic int, kind int, key long, follows long").distinct()
+    types = found.where("not test").mapInArrow(tidy(_count), "toxic int, kind int, key long, follows long").distinct()
     by = types.groupBy("kind", "key").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).persist()
     sums = {r["kind"]: r for r in by.groupBy("kind").agg(*(f(x).alias(f"{g}{x}") for x in "ab" for g, f in (("n", F.sum), ("t", lambda x: F.count_if(F.col(x) > 0)), ("one", lambda x: F.count_if(F.col(x) == 1)), ("two", lambda x: F.count_if(F.col(x) == 2))))).collect()}
     tables = []
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([m.difference(x) for x in as_bytes(batch.column("text"))], pa.float64())], names=["toxic", "x"])
 
-    tests = found.where("test").mapInArrow(differ, "toxic int, x double").toArrow().sort_by([("toxic", "ascending"), ("x", "ascending")])
+    tests = found.where("test").mapInArrow(tidy(differ), "toxic int, x double").toArrow().sort_by([("toxic", "ascending"), ("x", "ascending")])
     toxic = tests["toxic"].to_numpy() == 1
     if toxic.any() and not toxic.all():
         model.calibrate(tests["x"].to_numpy(), toxic)
@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` and toxic_score; a column of this name is replaced."""
     docs = docs.drop("toxic_score")
+    lean(docs.sparkSession)
     box = share(docs.sparkSession, model)
 
     def run(batches):
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxic_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, toxic_score double")
+    return docs.mapInArrow(tidy(run), f"{schema}, toxic_score double")
 
 
 def held_out(docs: DataFrame):
