@@ -65,7 +65,8 @@ def range_keys(s: np.ndarray, level: int, d: int) -> np.ndarray:
 
 
 def set_key(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+    """An even number, so that a set's lists can carry the level they are of in its lowest bit."""
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) & ~1
 
 
 def text_key(text: Column) -> Column:
@@ -86,7 +87,9 @@ def _describe(width: int):
 
 
 def _lists(width: int, num: int, den: int):
-    """(h, key) of each set's ranges: those of its own level with an even key, those of the next with an odd one.
+    """(tagged, key) of each set's ranges: the set's key, one more for the ranges of the next level than for its own.
+
+    The tag is the set's, not the list's: a list holds the sets of its level and those that reach it from below.
 
     Of equal sets in one partition the first is enough.
     """
@@ -109,10 +112,10 @@ def _lists(width: int, num: int, den: int):
                     for upper in range(1 + (n * den // num >= starts[level + 1])):
                         if d := differing(level + upper, starts, num, den):
                             key = range_keys(s, level + upper, d)
-                            keys.append(key & ~np.uint64(1) | np.uint64(upper))
-                            owners.append(np.full(len(key), h, dtype=np.int64))
+                            keys.append(key)
+                            owners.append(np.full(len(key), h | upper, dtype=np.int64))
                 for k in range(0, len(keys), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners[k : k + 64])), pa.array(np.concatenate(keys[k : k + 64]).view(np.int64))], names=["h", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners[k : k + 64])), pa.array(np.concatenate(keys[k : k + 64]).view(np.int64))], names=["tagged", "key"])
 
     return run
 
@@ -218,13 +221,13 @@ def ngram_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     classes = t.where("h is not null").groupBy("h").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "tkey", "doc_id")).alias("first"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.max("n").alias("n"))
 
     # most lists hold one set; what is left is kept, the sets' sizes tell how many lists each leaves out
-    lists = base.select("text").mapInArrow(tidy(_lists(width, num, den)), "h long, key long")
+    lists = base.select("text").mapInArrow(tidy(_lists(width, num, den)), "tagged long, key long")
     lists = materialize(lists.withColumn("length", F.count("*").over(Window.partitionBy("key"))).where("length > 1"))
     starts = size_levels(t.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0], num, den)
     spares = F.array(*(F.lit(spare(differing(x, starts, num, den))) for x in range(len(starts) - 1)))
-    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n"))) - 1 + F.col("key").bitwiseAND(F.lit(1)).cast("int")
-    upper = F.col("key").bitwiseAND(F.lit(1))
-    lists = lists.join(classes.select("h", "n"), "h").withColumn("k", F.get(spares, level)).withColumn("upper", upper)
+    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n"))) - 1 + F.col("upper")
+    lists = lists.select(F.col("tagged").bitwiseAND(F.lit(-2).cast("long")).alias("h"), F.col("tagged").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("upper"), "key", "length")
+    lists = lists.join(classes.select("h", "n"), "h").withColumn("k", F.get(spares, level))
     lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("h", "upper").orderBy(F.desc("length"), "key"))).where("rank > k")
     chain = lists.select(F.col("h").alias("a"), F.lag("h").over(Window.partitionBy("key").orderBy("h")).alias("b")).where("a <> b")
     near = materialize(components(chain).withColumnRenamed("node", "h").withColumnRenamed("label", "comp"))

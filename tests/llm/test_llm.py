@@ -210,6 +210,22 @@ def test_ngram_join_keeps_one(docs, rows):
     assert ngram_join.keep_one(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_ngram_join_links_across_levels(spark, k, num):
+    starts = [s for s in ngram_join.size_levels(200, num, 100) if s <= 200]
+    sizes = {(a, b) for s in starts for b in range(s, s + s // 10 + 1) for a in (s - 1, -(-num * b // 100)) if 0 < a < s and 100 * a >= num * b}
+    assert len({s for s in starts for a, b in sizes if a < s <= b}) >= 5
+    data = []
+    for at, (a, b) in enumerate(sorted(sizes)):
+        text = [f"w{at}x{i}" for i in range(b + k - 1)]
+        data += [(2 * at, " ".join(text[: a + k - 1])), (2 * at + 1, " ".join(text))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    found = ngram_join.ngram_classes(df, k, num, 100).collect()
+    want = linked(df.collect(), k, num)
+    assert all(links == 1 for *_, links in want)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=repr) == want
+
+
 def test_divide_skip_against_sets():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
