@@ -1,7 +1,8 @@
 """Secret scans in DataFrame functions only: fixed patterns, and character Markov models of random and ordinary strings.
 
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are counted from
-labelled samples. A token of at least MIN_TOKEN characters outside the pattern matches is reported as ``random`` if the
+labelled samples. A token of at least MIN_TOKEN characters outside the pattern matches (also what a match leaves of a
+longer one, without the sign that joins them) is reported as ``random`` if the
 log-likelihood ratio of the two models, per character, reaches THRESHOLD.
 
 Defined cases: null text is empty and has no spans; rows stay as they are, repeated or not; other columns are kept by
@@ -47,6 +48,20 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     return F.when(text.rlike(pattern), placed).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,match:string>>"))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with a NUL for every character of ``spans`` (sorted, they may overlap) and the signs that join them on."""
+    done = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.repeat(F.lit("\0"), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(spans) > 0, F.regexp_replace(done, r"(?<=\x00)[+/_=-]|[+/_=-](?=\x00)", "\0")).otherwise(text)
+
+
 def _symbol(text: Column, at: Column) -> Column:
     return F.instr(F.lit(TOKEN_CHARS), F.substring(text, at, F.lit(1)))
 
@@ -96,8 +111,9 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(_spans(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 6)
     base = F.concat(assign, _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
-    out = docs.withColumn("secret_base", base).withColumn("secret_tokens", _spans(text, f"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}", "random"))
-    free = F.filter("secret_tokens", lambda t: ~F.exists("secret_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & (score(t["match"], model) >= threshold))
+    out = docs.withColumn("secret_base", F.array_sort(base)).withColumn("secret_rest", _blanked(text, F.col("secret_base")))
+    out = out.withColumn("secret_tokens", _spans(F.col("secret_rest"), f"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}", "random"))
+    free = F.filter("secret_tokens", lambda t: score(t["match"], model) >= threshold)
     spans = F.transform(F.array_sort(F.concat("secret_base", free)), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     return out.select(*docs.columns, spans.alias("secret_spans"))
 
