@@ -164,8 +164,8 @@ class InvertedLists:
         long, short = order[:aside], order[aside:]
         lists = [(self.keys[first[i] : first[i] + length[i]] - at[i] * self.n).tolist() for i in short if length[i]]
         count = needed - aside
-        met = [(d, c) for d, c in ((d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*lists))) if c >= count] if aside else []
-        if not aside or not met:
+        met = [(d, c) for d, c in ((d, sum(1 for _ in g)) for d, g in groupby(heapq.merge(*lists))) if c >= count]
+        if not met:
             return none, none
         doc, overlap = np.array(met, dtype=np.int64).T
         fits = (self.sizes[doc] >= least) & (self.sizes[doc] * self.num <= len(s) * self.den)

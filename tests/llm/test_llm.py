@@ -236,6 +236,14 @@ def test_divide_skip_against_sets():
         assert set(lists.search(s)[0].tolist()) == want, i
 
 
+def test_ngram_join_of_single_shingles(spark):
+    df = spark.createDataFrame(list(enumerate(["a", "a b", "c b", "b", "d e f", "d", "d e", "a"])), "doc_id long, text string")
+    found = ngram_join.ngram_classes(df, 1, 50, 100).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=repr) == linked(df.collect(), 1, 50)
+    lists = ngram_join.InvertedLists([np.array(x, np.uint64) for x in ([1], [1, 2], [2, 3])], 50, 100)
+    assert [lists.search(np.array([k], np.uint64))[0].tolist() for k in (1, 2, 4)] == [[0, 1], [1, 2], []]
+
+
 # ---- 5 mixing
 
 
