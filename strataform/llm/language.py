@@ -4,10 +4,10 @@ Features: hashed byte n-grams of the whole text (A-Z as a-z, anything but letter
 counts, scaled to length one. One linear support vector machine separates each pair of families, one each pair of
 languages of a family; the family, then the language, with most votes wins.
 
-Training is on a bounded sample: per language about PER_LANGUAGE labelled rows picked by a hash, TOTAL in all.
+Training is on a bounded sample: per language the PER_LANGUAGE different labelled texts least by a hash, TOTAL in all.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, and so is everything if nothing was learned;
-rows with null text or language teach nothing; repeated rows are rows like others; other columns are kept; an empty
+rows with null text or language teach nothing; copies of a text teach once for each language; other columns are kept; an empty
 table gives no rows. A language outside FAMILIES is a family of its own.
 """
 
@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, lean, share, shared, tidy
@@ -131,22 +131,25 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TO
     """Learn from rows (text, lang)."""
     lean(labelled.sparkSession)
     labelled = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    per = min(per_language, max(2, total // max(1, len(counts))))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(per / n)) for k, n in counts.items()), F.lit(0.0)) if counts else F.lit(0.0)
-    some = labelled.where(F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30) < share)
+    labelled = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text", F.lit("language")))
+    per = min(per_language, max(2, total // max(1, labelled.select("lang").distinct().count())))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = labelled.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= per).drop("rank")
+    some = labelled.join(F.broadcast(picked), ["lang", "h"])
 
     def run(batches):
+        seen = set()
         for batch in batches:
             rows = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if has_letter(text):
+            for text, lang, h in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                if has_letter(text) and (lang, h) not in seen:
+                    seen.add((lang, h))
                     x = features(text)
                     at = np.flatnonzero(x)
-                    rows.append((lang, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["lang", "at", "x"])
+                    rows.append((lang, h, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "h", "at", "x"])
 
-    found = some.mapInArrow(tidy(run), "lang string, at binary, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    found = some.mapInArrow(tidy(run), "lang string, h long, at binary, x binary").dropDuplicates(["lang", "h"]).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.zeros((found.num_rows, FEATURES), dtype=np.float32)
     for i, (at, v) in enumerate(zip(found["at"].to_pylist(), found["x"].to_pylist(), strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f4")

@@ -135,6 +135,17 @@ def test_language(spark):
     assert language.identify(df.where("false"), model).count() == 0
 
 
+def test_language_learns_from_copies(spark, monkeypatch):
+    texts = [(f"{prose(i, 20)} {k}", k) for k in ("de", "en") for i in range(3)]
+    df = spark.createDataFrame(texts, "text string, lang string").crossJoin(spark.range(400).select("id")).select("text", "lang")
+    df = df.union(spark.createDataFrame([(f"{i} {prose(i, 9)}", "fr") for i in range(300)], "text string, lang string"))
+    drawn = []
+    model = language.Model
+    monkeypatch.setattr(language, "Model", lambda langs, x: drawn.append(Counter(langs)) or model(langs, x))
+    found = language.train(df, per_language=10)
+    assert drawn == [{"de": 3, "en": 3, "fr": 10}] and sorted(sum(found.members.values(), [])) == ["de", "en", "fr"]
+
+
 # ---- 3 neighbours
 
 
