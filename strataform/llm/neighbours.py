@@ -7,7 +7,8 @@ floor(r / substrings): probing these buckets of every index retrieves every code
 ranked by exact cosines.
 
 The radius is set for each query: K-th best cosine within the sample, as the angle's expected distance plus MARGIN
-standard deviations; any nearer neighbour is then found with that probability at least.
+standard deviations; any nearer neighbour is then found with that probability at least. Queries with fewer than K found
+over all blocks are asked again with a radius of all bits.
 
 Index and queries meet in a grid of blocks of bounded size, each index block with its own tables; every row is indexed
 and only each query's K best of a block go on.
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Neighbours, vectors sampled, rotations, rounds of learning, standard deviations of margin, rows of a block.
 K, SAMPLE, ROTATIONS, ROUNDS, MARGIN = 5, 4096, 4, 20, 2.0
 INDEX_BLOCK, QUERY_BLOCK = 2048, 2048
@@ -96,7 +99,7 @@ def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.linalg.norm(a) / np.linalg.norm(b, axis=1)
 
 
-def _search(codes_: Codes, k: int):
+def _search(codes_: Codes, k: int, widest: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["is_query"].to_numpy()
         ids = pdf["vec_id"].to_numpy()
@@ -107,7 +110,8 @@ def _search(codes_: Codes, k: int):
             codes = codes_.encode(unit)
             own, index = np.flatnonzero(~is_query), MultiIndex(codes[~is_query])
             queries = np.flatnonzero(is_query)
-            for q, r in zip(queries.tolist(), codes_.radius(unit[queries], k).tolist(), strict=True):
+            radius = np.full(len(queries), codes_.bits) if widest else codes_.radius(unit[queries], k)
+            for q, r in zip(queries.tolist(), radius.tolist(), strict=True):
                 rows = own[index.within(codes[q], r)]
                 rows = rows[ids[rows] != ids[q]]
                 if len(rows):
@@ -134,9 +138,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
     rows, asked = rows.where(F.size("v") == dim), usable(queries).where(F.size("v") == dim).distinct()
     some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30) < 1.2 * sample / n).select("vec_id", "v").limit(2 * sample).toPandas().sort_values("vec_id", kind="stable").head(sample)
     codes = Codes(np.array(some["v"].tolist(), dtype=np.float64).reshape(-1, dim))
-    blocks, asks = -(-n // index_block), max(1, -(-asked.count() // query_block))
+    blocks = -(-n // index_block)
     grid = lambda d, own, other, first, is_query: d.select(F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"), "vec_id", "v", F.lit(is_query).alias("is_query")).select(*(F.col(c).alias(a) for c, a in zip(first, ("i", "j"), strict=True)), "vec_id", "v", "is_query")
-    cells = grid(rows, blocks, asks, ("own", "other"), False).union(grid(asked, asks, blocks, ("other", "own"), True))
-    found = cells.groupBy("i", "j").applyInPandas(_search(codes, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(asked: DataFrame, count: int, widest: bool) -> DataFrame:
+        asks = max(1, -(-count // query_block))
+        cells = grid(rows, blocks, asks, ("own", "other"), False).union(grid(asked, asks, blocks, ("other", "own"), True))
+        found = cells.groupBy("i", "j").applyInPandas(_search(codes, k, widest), "query_id long, vec_id long, score double")
+        return materialize(found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    found = search(asked, asked.count(), False)
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = materialize(asked.join(full, "vec_id", "left_anti"))
+    if not (left := short.count()):
+        return found
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").select(found.columns).union(search(short, left, True))

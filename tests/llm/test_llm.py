@@ -174,6 +174,13 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), df).count() == 0
 
 
+def test_neighbours_are_k_for_every_query(spark):
+    v = 5 + np.random.default_rng(8).standard_normal((150, 8))  # angles between vectors tell little of centred codes
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in neighbours.nearest(df, df, index_block=64, query_block=64).collect())
+    assert got == {i: 5 for i in range(150)}
+
+
 def test_multi_index_finds_every_code_of_a_radius():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (500, 8), dtype=np.uint8)
