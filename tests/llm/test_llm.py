@@ -384,6 +384,48 @@ def test_toxicity(spark):
     assert toxicity.score(df.where("false"), model).count() == 0
 
 
+def test_toxicity_models_are_kneser_ney():
+    """Probabilities by dictionaries: bigram, word, beginning, beginnings of both classes, even."""
+    texts = {1: ["abcd abce abcf zz"] * 6 + ["abcd zz yy"] * 9, 0: ["zz abcd"] * 5 + ["yy zz abxx", "qqqq"] * 4}
+    pair, seen = [defaultdict(int), defaultdict(int)], [set(), set()]
+    for c in (0, 1):
+        for t in texts[1 - c]:  # the first of each pair is the toxic class
+            for a, b in {*zip([None, *t.split()], t.split(), strict=False)}:
+                pair[c][a, b] += 1
+                seen[c].add((a, b))
+    word = [Counter(b for _, b in x) for x in seen]
+    stem = [Counter(b[:4] for _, b in x) for x in seen]
+    word.append(Counter(b for _, b in seen[0] | seen[1]))
+    stem.append(Counter(b[:4] for _, b in seen[0] | seen[1]))
+    cut = lambda n, k: min(n, toxicity.DEVIATIONS[k] * n**0.5)
+
+    def back(counts, k):
+        return max(sum(cut(n, k) for n in x.values()) / sum(x.values()) if x else 1.0 for x in counts)
+
+    def share(x, key, k):
+        left = sum(n - cut(n, k) for n in x.values())
+        return (x[key] - cut(x[key], k)) / left if left else 0.0
+
+    def p(c, a, b):
+        s = b[:4]
+        total = sum(stem[2].values())
+        both = (stem[2][s] - cut(stem[2][s], 2) + sum(cut(n, 2) for n in stem[2].values()) / (len(stem[2]) + 1)) / total
+        lam = [back(stem[:2], 2), back(word[:2], 1), back([Counter({y: n for (x, y), n in pair[i].items() if x == a}) for i in (0, 1)], 0)]
+        q = (1 - lam[0]) * share(stem[c], s, 2) + lam[0] * both
+        q = (1 - lam[1]) * share(word[c], b, 1) + lam[1] * q * (word[2][b] + 0.5) / (stem[2][s] + 1)
+        return (1 - lam[2]) * share(Counter({y: n for (x, y), n in pair[c].items() if x == a}), b, 0) + lam[2] * q
+
+    every = sorted({x for s in seen for x in s}, key=str)
+    h = {w: [int(v[0]) for v in toxicity.units(w.encode())] for w in {b for _, b in every}}
+    arrays = [np.array(v, dtype=np.uint64) for v in zip(*((toxicity.START if a is None else h[a][0], *h[b]) for a, b in every), strict=True)]
+    model = toxicity.Model(*arrays, tuple(np.array([pair[c].get(x, 0) for x in every]) for c in (0, 1)))
+    for t in ("abcd zz", "zz abcd abce", "new abcx yy", "qqqq"):
+        got = model.logs(*toxicity.units(t.encode()))
+        for c in (0, 1):
+            want = [p(c, a, b) for a, b in zip([None, *t.split()], t.split(), strict=False)]
+            assert np.exp(got[c]) == pytest.approx(want, rel=2e-3)  # what is discounted is kept in parts of 1024
+
+
 # ---- 9 context trees
 
 
