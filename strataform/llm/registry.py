@@ -27,6 +27,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(table(spark, sf_dir, "documents"), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+ORACLE["op4_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id,
+  (SELECT count(*) FROM links WHERE links.a = d.rid)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (rid) JOIN reach USING (rid) JOIN d o ON o.rid = reach.other GROUP BY d.rid, d.doc_id
+"""
+
+
 @query
 def op10_chat_format_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
@@ -138,3 +154,83 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+# ---- what SQL can express of operators whose whole result it can't: the same results, fewer columns
+
+
+@query
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op5."""
+    found = op5_mix_sources(spark, sf_dir)
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
+ORACLE["mixture_targets"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS weight FROM d GROUP BY source),
+-- sources reach three times their size in the order of size / weight: after k of them the others share what is left
+o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source) AS k FROM s),
+lead AS (SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+           sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM o),
+cut AS (SELECT min(k) AS k FROM lead WHERE rest / weights <= 3 * source_size / weight),
+level AS (SELECT rest / weights AS each FROM lead JOIN cut USING (k))
+SELECT doc_id, size, source_size, round(CASE WHEN o.k < (SELECT k FROM cut) THEN 3.0 * source_size ELSE weight * (SELECT each FROM level) END::DOUBLE, 3) AS target, true AS within
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
+"""
+
+
+@query
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits of op6."""
+    return op6_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256", F.col("near_edited").between(0, 1).alias("within"))
+
+
+ORACLE["edited_texts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM d)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 2) || left(following, length(t) // 2)) AS edited_sha256, true AS within FROM n
+"""
+
+
+@query
+def secret_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of the fixed patterns of op7."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
+_ASSIGN = r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ORACLE["secret_patterns"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT doc_id, 'assign' AS kind, regexp_extract_all(text, '(?i){_ASSIGN}') AS found, regexp_split_to_array(text, '(?i){_ASSIGN}') AS gaps FROM t
+  UNION ALL SELECT doc_id, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+') FROM t
+  UNION ALL SELECT doc_id, 'hex', regexp_extract_all(text, '[0-9a-f]{{24,}}'), regexp_split_to_array(text, '[0-9a-f]{{24,}}') FROM t),
+u AS (SELECT doc_id, kind, unnest(range(1, len(found) + 1)) AS i, found, gaps FROM m WHERE len(found) > 0),
+x AS (SELECT doc_id, kind, i, found[i] AS word, sum(length(gaps[i])) OVER w + sum(length(found[i])) OVER w AS stop FROM u WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+y AS (SELECT doc_id, kind, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS rank, stop - length(word) AS start, stop FROM x
+      WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(word, '(?i){_ASSIGN}', 2)) >= 6 WHEN 'access' THEN length(word) >= 20 ELSE length(word) >= 24 END)
+SELECT t.doc_id, count(*) FILTER (rank = 0)::BIGINT AS n_assign, count(*) FILTER (rank = 1)::BIGINT AS n_access, count(*) FILTER (rank = 2)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank), '')) AS base_sha256
+FROM t LEFT JOIN y USING (doc_id) GROUP BY t.doc_id
+"""
+
+
+@query
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word counts and base scores of op9."""
+    return op9_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, c: list_reduce([xor(a, c)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+ORACLE["unigram_scores"] = rf"""
+WITH d AS (SELECT doc_id, {_CRC32} % 5 = 1 AS held_out,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [' '] AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 3) AS base_score
+FROM t LEFT JOIN c USING (word), s GROUP BY doc_id, held_out
+"""
