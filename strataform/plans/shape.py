@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.paths import child, quote
 from ..operators.signatures import parse as parse_signature
 from ..operators.walk import SCALARS
+from ..sources.storage import forget, materialize, together
 
 #: Caps and thresholds (fixed values).
 RECORD_CAP, POSITION_CAP, ARMS_CAP = 64, 32, 16
@@ -44,11 +45,12 @@ def route(values: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
     Level by level: of a path's keys the first ``record_cap`` by (first document, key) keep their field, others go to
     ``.*``; elements keep their position unless an array there is longer than ``position_cap``, then all go to ``[*]``.
+    Each level is written before the next begins, so that no plan is longer than one level's.
     """
-    paths = values.groupBy("path", "parent", "step", "is_index").agg(F.min("first").alias("first")).persist()
-    longest = values.where("kind = 'array'").groupBy("path").agg(F.max("max_size").alias("max_size")).persist()
-    done = paths.where("parent is null").select("path", F.col("path").alias("to"), F.lit(None).cast("string").alias("parent_to"), "step", "is_index")
-    level = done
+    paths = materialize(values.groupBy("path", "parent", "step", "is_index").agg(F.min("first").alias("first")))
+    longest = materialize(values.where("kind = 'array'").groupBy("path").agg(F.max("max_size").alias("max_size")))
+    level = materialize(paths.where("parent is null").select("path", F.col("path").alias("to"), F.lit(None).cast("string").alias("parent_to"), "step", "is_index"))
+    done = [level]
     while True:
         up = level.select(F.col("path").alias("parent"), F.col("to").alias("parent_to"))
         below = paths.join(up, "parent").join(longest.withColumnRenamed("path", "parent"), "parent", "left")
@@ -63,17 +65,18 @@ def route(values: DataFrame, policy: Policy = Policy()) -> DataFrame:
         size = F.max("max_size").over(Window.partitionBy("parent_to"))
         arrays = below.where("is_index").withColumn("max_size", size)
         pick = lambda d, ok: d.select("path", F.when(ok, child(F.col("parent_to"), F.when(~F.col("is_index"), F.col("step")), F.col("step"))).otherwise(F.concat(F.when(F.col("is_index") | (F.col("parent_to") != "."), F.col("parent_to")).otherwise(""), F.when(F.col("is_index"), "[*]").otherwise(".*"))).alias("to"), "parent_to", F.when(ok, F.col("step")).alias("step"), "is_index")
-        level = pick(below.where("not is_index").join(kept, ["parent_to", "step"], "left"), F.col("kept").isNotNull()).union(pick(arrays, F.col("max_size") <= policy.position_cap)).persist()
+        level = materialize(pick(below.where("not is_index").join(kept, ["parent_to", "step"], "left"), F.col("kept").isNotNull()).union(pick(arrays, F.col("max_size") <= policy.position_cap)))
         if level.isEmpty():
-            return done
-        done = done.union(level)
+            forget(paths, longest, level)
+            return together(done)
+        done.append(level)
 
 
 def routed(values: DataFrame, buckets: DataFrame, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
     """The statistics at routed paths, merged."""
     from ..operators.stats import merge
 
-    where = route(values, policy).persist()
+    where = route(values, policy)
     v = values.drop("parent", "step", "is_index").join(where, "path").drop("path").withColumnRenamed("to", "path").withColumnRenamed("parent_to", "parent")
     b = buckets.join(where.select("path", "to"), "path").drop("path").withColumnRenamed("to", "path")
     return merge((v, b))

@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataform.generate.documents import chaos
 from strataform.operators import stats
 from strataform.plans.analyze import Analyzer, analyze, outcome_of, statistics
 from strataform.plans.shape import Policy
@@ -61,6 +63,14 @@ def test_both_ways_of_routing(spark):
         assert outcome_of(*parts, policy, driver_rows=0).report() == outcome_of(*parts, policy).report()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_both_ways_of_routing_random(spark, seed):
+    r = random.Random(seed)
+    parts = statistics(docs(spark, [chaos(r, 3, 4) for _ in range(25)]))
+    policy = Policy(record_cap=r.randint(1, 6), position_cap=r.randint(0, 4), pool=r.choice(["routed", "all"]))
+    assert outcome_of(*parts, policy, driver_rows=0).report() == outcome_of(*parts, policy).report()
+
+
 def test_nested_maps(spark):
     values = [{f"a{i}{j}": {f"b{i}{j}{k}": {"on": True, "n": k} for k in range(8)} for j in range(10)} for i in range(20)]
     assert shape(spark, values) == "map<map<{n: i64, on: bool}>>"
