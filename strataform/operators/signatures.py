@@ -7,10 +7,11 @@ A leaf is its kind, an array ``[...]`` of its elements' signatures without repea
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Order of signatures in a union: leaves as listed, then arrays, then objects (fixed values).
@@ -49,15 +50,61 @@ def _nested(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else signature(x.toPython()))
 
 
+#: Variant types whose values all have one signature; an array's type merges what its elements are.
+_LEAVES = {"VOID": "null", "BOOLEAN": "bool", "BIGINT": "i64", "DOUBLE": "f64", "FLOAT": "f64"}
+_PART = re.compile(r"OBJECT<|>|, |`((?:[^`]|``)*)`: |([^:<>,`]+): |([A-Z][A-Z_]*(?:\([0-9,]*\))?)")
+
+
+def signature_of_type(text: str) -> str:
+    """The signature that follows from the type of a value without arrays, as ``schema_of_variant`` writes it."""
+    fields: list[list[tuple[str, str]]] = [[]]
+    names: list[str] = []
+    for m in _PART.finditer(text):
+        token = m[0]
+        if token == "OBJECT<":
+            fields.append([])
+        elif token == ">":
+            inner = "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{v}" for k, v in sorted(fields.pop())) + "}"
+            fields[-1].append((names.pop() if names else "", inner))
+        elif m[3]:
+            leaf = "f64" if token.startswith("DECIMAL") else _LEAVES.get(token, "string")
+            fields[-1].append((names.pop() if names else "", leaf))
+        elif token != ", ":
+            names.append(m[1].replace("``", "`") if m[1] is not None else m[2])
+    return fields[0][0][1]
+
+
+def _of_type(text: pd.Series) -> pd.Series:
+    known = {t: signature_of_type(t) for t in text.dropna().unique()}
+    return pd.Series([known.get(t) for t in text], index=text.index, dtype=object)
+
+
+def type_tells(schema: Column) -> Column:
+    """Whether a container's type says all of its signature: it holds no array and no decimal that may be a u64."""
+    return ~schema.rlike(r"ARRAY<|DECIMAL\((19|20),0\)")
+
+
 def element_signature(v: Column) -> Column:
-    """The signature of a variant: leaves by their type in the JVM, containers from their JSON in batches."""
+    """The signature of a variant: leaves by their type in the JVM, containers by their type or, with arrays, their JSON."""
     from .walk import kind_of
 
     schema = F.schema_of_variant(v)
     leaf = kind_of(schema, F.when(schema.startswith("DECIMAL"), F.try_variant_get(v, "$", "decimal(38,0)")))
     container = schema.startswith("OBJECT") | schema.startswith("ARRAY")
-    nested = F.pandas_udf(_nested, "string")
-    return F.when(container, nested(F.when(container, v))).otherwise(leaf)
+    told = container & type_tells(schema)
+    of_type, nested = F.pandas_udf(_of_type, "string"), F.pandas_udf(_nested, "string")
+    return F.when(told, of_type(F.when(told, schema))).when(container, nested(F.when(container & ~type_tells(schema), v))).otherwise(leaf)
+
+
+def signature_counts(elements: DataFrame) -> DataFrame:
+    """(path, bucket, n) of elements (path, member): values whose type tells their signature are counted by type first."""
+    schema = F.schema_of_variant("member")
+    rows = elements.select("path", "member", schema.alias("schema"))
+    told = F.col("schema").startswith("OBJECT") & type_tells(F.col("schema"))
+    by_type = rows.where(told).groupBy("path", "schema").agg(F.count("*").alias("n"))
+    by_type = by_type.select("path", F.pandas_udf(_of_type, "string")("schema").alias("bucket"), "n")
+    others = rows.where(~told).select("path", element_signature(F.col("member")).alias("bucket")).groupBy("path", "bucket").agg(F.count("*").alias("n"))
+    return by_type.union(others).groupBy("path", "bucket").agg(F.sum("n").alias("n"))
 
 
 def parse(text: str):

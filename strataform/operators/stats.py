@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import detect_format, length_bucket, skeleton
-from .signatures import element_signature
+from .signatures import signature_counts
 
 #: Relative error of the sketches.
 ACCURACY = 0.02
@@ -94,8 +94,8 @@ def bucket_table(values: DataFrame) -> DataFrame:
 
 def signature_table(exploded: DataFrame) -> DataFrame:
     """Counts of the signatures of the elements of each array."""
-    elements = exploded.where("pos is not null and key is null").select("path", element_signature(F.col("member")).alias("bucket"))
-    return elements.groupBy("path", F.lit("signature").alias("measure"), "bucket").agg(F.count("*").alias("n"))
+    found = signature_counts(exploded.where("pos is not null and key is null").select("path", "member"))
+    return found.select("path", F.lit("signature").alias("measure"), "bucket", "n")
 
 
 def merge(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -66,3 +66,14 @@ def test_path_matching_and_escapes():
     assert paths.matches(paths.parse(".a.*[*]"), paths.parse(".a.b[3]"))
     assert not paths.matches(paths.parse(".a[*]"), paths.parse(".a.b"))
     assert paths.parse('."a\\nb\\t\\u{1f600}"')[0].key == "a\nb\t\U0001f600"
+
+
+def test_signatures_of_types(spark):
+    from pyspark.sql import functions as F
+
+    from strataform.operators.signatures import element_signature, signature
+
+    docs = ['{"a": 1, "b c": {"x`y": null, "d: e": "t"}}', '{"a": 1.5, "z": {}}', '{"k, l": true, "<": 18446744073709551615}', '{"a": [1, null]}', '[{"a": 1}, {"b": 2}]', "{}", "[]", '{"e": 1e300, "o": {"p": {"q": 1}}}', "7"]
+    rows = spark.createDataFrame([(d,) for d in docs], "t string").select("t", F.parse_json("t").alias("v"))
+    for r in rows.select("t", "v", element_signature(F.col("v")).alias("s")).collect():
+        assert r["s"] == signature(r["v"].toPython()), r["t"]
