@@ -1,8 +1,8 @@
 """Mixing sources to target weights, by blocks of words.
 
 The words of a source, its documents in a fixed order, are cut into blocks of ``block`` words. Each output shard draws
-how many of its slots come from each source: the whole part of slots times share, the rest by a multinomial draw over
-the fractions. Slot k of a source takes block ``perm(k mod blocks)`` of that source, a pseudorandom permutation for each
+how many of its slots come from each source by a multinomial over what the sources have left of their targets; the last
+shard takes what is left, so that all together meet the targets. Slot k of a source takes block ``perm(k mod blocks)`` of that source, a pseudorandom permutation for each
 pass over it. Blocks and slots are joined by index from the blocks' side: the inverse permutation gives the slots that
 take a block, so no slot table is shuffled.
 
@@ -10,7 +10,8 @@ Targets: sources by code point, null last, weigh ``weights`` in turn and share t
 ``cap`` times its source, the excess goes to the others by weight until none is above.
 
 Defined cases: null or wordless text has size 0 and takes nothing; null ids and repeated rows are documents like others;
-other columns are kept (names with the prefix ``mix_`` are its own); an empty table gives no rows. What the driver holds
+other columns are kept, but in ``sized`` and ``mix`` those with the prefix ``mix_``, which are its own, are replaced; an
+empty table gives no rows. What the driver holds
 is a few numbers for each source and for each of at most MAX_SHARDS shards. The same rows give the same mix.
 """
 
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes, lean, tidy
+from .common import SPACES, as_bytes, lean, materialize, tidy
 
-#: Words in a block, slots in a shard at least, shards at most, parts in which each source's documents are numbered.
-BLOCK, SHARD_SLOTS, MAX_SHARDS, PARTS = 32, 1024, 4096, 256
+#: Words in a block, slots in a shard at least, shards at most, documents of a source that one task numbers, about.
+BLOCK, SHARD_SLOTS, MAX_SHARDS, PART_DOCS = 32, 1024, 4096, 4096
+#: Sources up to which what is known of each is broadcast.
+BROADCAST_SOURCES = 100_000
 WEIGHTS, CAP, SEED = (1, 2, 3), 3, 20240229
 
 
@@ -40,6 +43,7 @@ def sized(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(map(zlib.crc32, texts), pa.int64())], names=[*batch.schema.names, "mix_size", "mix_tie"])
 
     lean(docs.sparkSession)
+    docs = docs.select(*(c for c in docs.columns if not c.lower().startswith("mix_")))
     return docs.mapInArrow(tidy(run), _ddl(docs) + ", mix_size long, mix_tie long")
 
 
@@ -97,61 +101,55 @@ class Permutation:
         return self._walk(y, (~3, ~2, ~1, ~0))
 
 
-def draw(shares: list[float], room: list[int], slots: int, shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard. ``room``: slots a source may fill in all."""
+def draw(goal: list[int], shard_slots: int, seed: int) -> np.ndarray:
+    """Slots of each source in each shard, ``goal`` in all."""
+    left = np.array(goal, dtype=np.int64)
+    slots = int(left.sum())
     n = max(1, -(-slots // shard_slots))
-    out = np.zeros((n, len(shares)), dtype=np.int64)
-    rng, left, used = np.random.default_rng(seed), np.array(room, dtype=np.int64), np.zeros(len(shares))
-    p = np.array(shares, dtype=float)
-    for i in range(n):
-        size = min(shard_slots, slots - i * shard_slots)
-        done = (i * shard_slots + size) / max(slots, 1)
-        want = np.maximum(0.0, p * slots * done - used)  # what is due by the end of this shard
-        if want.sum() <= 0 or size <= 0:
-            break
-        want *= size / want.sum()
-        base = np.floor(want + 1e-9).astype(np.int64)
-        rest, fraction = size - int(base.sum()), np.maximum(want - base, 0)
-        if rest > 0 and fraction.sum() > 0:
-            base += rng.multinomial(rest, fraction / fraction.sum())
-        base = np.minimum(base, left)
-        left -= base
-        used += base
-        out[i] = base
+    out, rng = np.zeros((n, len(goal)), dtype=np.int64), np.random.default_rng(seed)
+    for i in range(n - 1):
+        size = shard_slots
+        while size:  # what a source doesn't have any more is drawn again from the others
+            take = np.minimum(rng.multinomial(size, left / left.sum()), left)
+            out[i] += take
+            left -= take
+            size -= int(take.sum())
+    out[-1] += left
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED, stats: DataFrame | None = None) -> DataFrame:
     """``docs`` (as ``sized`` gives them; the text itself isn't needed) and mix_source_size, mix_target, mix_taken, mix_pieces.
 
     mix_pieces: array of (shard, slot, start, length), the words of the document that the mix takes and where they go;
-    a slot of a shard is filled by the pieces of one block.
+    a slot of a shard is filled by the pieces of one block. ``stats``: the same rows without their texts, where they are
+    at hand already.
     """
-    base = docs.withColumn("mix_part", F.pmod(F.xxhash64("doc_id", "mix_size", "source"), F.lit(PARTS)).cast("int"))
-    parts = base.groupBy("source", "mix_part").agg(F.sum("mix_size").alias("part_size"))
-    sums = parts.groupBy("source").agg(F.sum("part_size").alias("size")).collect()  # a row for each source
+    counts = docs if stats is None else stats
+    sums = counts.groupBy("source").agg(F.sum("mix_size").alias("size"), F.count("*").alias("docs")).collect()  # a row for each source
     sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["size"] for r in sums]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], cap)
     blocks = [-(-s // block) for s in sizes]
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(r["source"], i, sizes[i], goal[i], 1 + r["docs"] // PART_DOCS) for i, r in enumerate(sums)], "mix_key string, mix_source int, mix_source_size long, mix_target double, mix_parts long")
+    known = F.broadcast(known) if len(sums) <= BROADCAST_SOURCES else known
+    # the documents of a source are numbered in parts, so that none of them is one task
+    parted = lambda d: d.join(known, F.col("source").eqNullSafe(F.col("mix_key"))).withColumn("mix_part", F.pmod(F.xxhash64("doc_id", "mix_size", "source"), F.col("mix_parts"))).drop("mix_key", "mix_parts")
+    parts = parted(counts.select("doc_id", "source", "mix_size")).groupBy("mix_source", "mix_part").agg(F.sum("mix_size").alias("part_size"))
     total = sum(goal)
     # in blocks of the source's own mean size, as its last one may be short
     slots_of = [g * b / s if s else 0.0 for g, b, s in zip(goal, blocks, sizes, strict=True)]
-    slots = round(sum(slots_of))
-    shard_slots = max(SHARD_SLOTS, -(-slots // MAX_SHARDS))
-    drawn = draw([x / max(sum(slots_of), 1e-9) for x in slots_of], [cap * b for b in blocks], slots, shard_slots, seed) if total else np.zeros((1, len(sums)), dtype=np.int64)
+    wanted = [min(round(x), cap * b) for x, b in zip(slots_of, blocks, strict=True)]
+    shard_slots = max(SHARD_SLOTS, -(-sum(wanted) // MAX_SHARDS))
+    drawn = draw(wanted, shard_slots, seed) if total else np.zeros((1, len(sums)), dtype=np.int64)
     plan = [{"blocks": blocks[i], "first": np.concatenate(([0], np.cumsum(drawn[:, i]))).tolist()} for i in range(len(sums))]
     before = np.concatenate((np.zeros((len(drawn), 1), np.int64), np.cumsum(drawn, axis=1)), axis=1).tolist()  # slots of a shard go by source
 
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(r["source"], i, sizes[i], goal[i]) for i, r in enumerate(sums)], "mix_key string, mix_source int, mix_source_size long, mix_target double")
-    parts = parts.withColumn("mix_before", F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = parts.select(F.col("source").alias("part_source"), F.col("mix_part").alias("part_no"), "mix_before")
-    order = Window.partitionBy("source", "mix_part").orderBy("doc_id", "mix_size", "mix_tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("mix_at", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    placed = placed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("mix_key"))).drop("mix_key")
-    same = F.col("source").eqNullSafe(F.col("part_source")) & (F.col("mix_part") == F.col("part_no"))
-    placed = placed.join(F.broadcast(parts) if len(sums) <= 1000 else parts, same).withColumn("mix_at", F.col("mix_at") + F.col("mix_before")).drop("part_source", "part_no", "mix_before", "mix_part")
+    parts = parts.withColumn("mix_before", F.coalesce(F.sum("part_size").over(Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("part_size")
+    order = Window.partitionBy("mix_source", "mix_part").orderBy("doc_id", "mix_size", "mix_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parted(docs).withColumn("mix_at", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
+    placed = placed.join(parts, ["mix_source", "mix_part"]).withColumn("mix_at", F.col("mix_at") + F.col("mix_before")).drop("mix_before", "mix_part")
 
     pieces = _taker(plan, before, block, seed)
     fields = placed.schema.names + ["mix_taken", "mix_pieces"]
@@ -190,19 +188,36 @@ def _taker(plan: list[dict], before: list[list[int]], block: int, seed: int):
     return run
 
 
+def _offsets(text: bytes) -> np.ndarray:
+    """Where each word begins, 0 for the first, and the end of the text."""
+    is_space = np.zeros(256, dtype=bool)
+    is_space[list(SPACES)] = True
+    word = np.concatenate(([False], ~is_space[np.frombuffer(text, dtype=np.uint8)]))
+    starts = np.flatnonzero(word[1:] & ~word[:-1])
+    starts[:1] = 0
+    return np.append(starts, len(text))
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the columns that the mix doesn't read under other names, and the names."""
+    used = {c: c for c in ("doc_id", "source", "text")}
+    names = [used.get(c, f"kept_{i}") for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: of each document the words taken, in order, one row for each pass; columns as given.
 
-    A pass that takes all words keeps the text as it is, else the words are joined by single blanks. n_chars follows.
+    The words keep the signs that follow them, so line breaks and indents stay. n_chars follows the text.
     """
-    names = docs.columns
+    apart, names = _apart(docs)
+    length = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
 
     def run(batches):
-        table = bytes.maketrans(SPACES, b" " * len(SPACES))
         for batch in batches:
             rows, texts = [], []
             column = batch.column("text").to_pylist()
-            for i, (pieces, size) in enumerate(zip(batch.column("mix_pieces").to_pylist(), batch.column("mix_size").to_pylist(), strict=True)):
+            for i, pieces in enumerate(batch.column("mix_pieces").to_pylist()):
                 passes: list[list[tuple[int, int]]] = []
                 seen: dict[int, int] = {}
                 for p in pieces:
@@ -210,18 +225,41 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                     if k == len(passes):
                         passes.append([])
                     passes[k].append((p["start"], p["length"]))
+                raw = column[i].encode("utf-8", "surrogatepass")
+                at = _offsets(raw)
                 for taken in passes:
                     rows.append(i)
-                    if sum(x for _, x in taken) == size:
-                        texts.append(column[i])
-                    else:
-                        words = [w for w in column[i].encode("utf-8", "surrogatepass").translate(table).split(b" ") if w]
-                        texts.append(b" ".join(w for s, x in sorted(taken) for w in words[s : s + x]).decode("utf-8", "surrogatepass"))
+                    texts.append(b"".join(raw[at[s] : at[s + n]] for s, n in sorted(taken)).decode("utf-8", "surrogatepass"))
             part = batch.select(names).take(pa.array(rows, pa.int64()))
             columns = {c: part.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in names:
-                columns["n_chars"] = pa.array([len(x) for x in texts], pa.int64()).cast(part.schema.field("n_chars").type)
+            if length:
+                columns[length] = pa.array([len(x) for x in texts], pa.int64()).cast(part.schema.field(length).type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    found = mix(sized(docs), **options)
-    return found.where("mix_taken > 0").select(*names, "mix_pieces", "mix_size").mapInArrow(tidy(run), docs.schema)
+    rows = sized(apart)
+    found = mix(rows, stats=materialize(rows.select("doc_id", "source", "mix_size")), **options)
+    return found.where("mix_taken > 0").select(*names, "mix_pieces").mapInArrow(tidy(run), apart.schema).toDF(*docs.columns)
+
+
+def mixed_shards(docs: DataFrame, **options) -> DataFrame:
+    """The mix as shards: (shard, slot, doc_id, source, start, text), a row for each piece, shards whole and in order.
+
+    The pieces of a slot are the words of one block, from the document they begin in on.
+    """
+    schema = "shard int, slot int, doc_id long, source string, start long, text string"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, text, source, pieces in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source", "mix_pieces")), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                at = _offsets(raw)
+                rows += [(p["shard"], p["slot"], i, source, p["start"], raw[at[p["start"]] : at[p["start"] + p["length"]]].decode("utf-8", "surrogatepass")) for p in pieces]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "slot", "doc_id", "source", "start", "text"])
+
+    rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")))
+    found = mix(rows, stats=materialize(rows.select("doc_id", "source", "mix_size")), **options)
+    pieces = found.where("mix_taken > 0").select("doc_id", "text", "source", "mix_pieces").mapInArrow(tidy(run), schema)
+    return pieces.repartition("shard").sortWithinPartitions("shard", "slot", "doc_id", "start")
