@@ -126,6 +126,20 @@ def _edited(k: int, width: int):
     return run
 
 
+def _before(rows: DataFrame, key: str, value: str, parts: int = 64) -> DataFrame:
+    """(key, before): the ``value`` of the row with the next smaller key. ``rows``: a written table of different keys.
+
+    Keys are dealt into ranges of about equal size, each in order in one task; what lies before a range is looked up.
+    """
+    cuts = sorted(set(rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    part = F.size(F.filter(F.array(*(F.lit(int(c)).cast("long") for c in cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    dealt = rows.withColumn("part", part)
+    ends = dealt.groupBy("part").agg(F.max_by(value, key).alias("end"))
+    ends = ends.select((F.col("part")).alias("part"), F.lag("end").over(Window.orderBy("part")).alias("end"))  # at most ``parts`` rows
+    found = dealt.withColumn("own", F.lag(value).over(Window.partitionBy("part").orderBy(key))).join(F.broadcast(ends), "part")
+    return found.select(key, F.coalesce("own", "end").alias("before"))
+
+
 def edit_likeness(docs: DataFrame, k: int = K, width: int = WIDTH, run: int = RUN) -> DataFrame:
     """Each document against its edited text and its next document by id (after the last: the first).
 
@@ -141,7 +155,7 @@ def edit_likeness(docs: DataFrame, k: int = K, width: int = WIDTH, run: int = RU
     order = firsts.select("run", "first").withColumn("block", F.floor(F.col("run") / 1024))
     # the run before each run: within a block of runs, else the last run of the last block that has any
     lasts = order.groupBy("block").agg(F.max("run").alias("last"))
-    lasts = lasts.select(F.col("block"), F.lag("last").over(Window.orderBy("block")).alias("before"))
+    lasts = _before(materialize(lasts), "block", "last")
     order = order.withColumn("own", F.lag("run").over(Window.partitionBy("block").orderBy("run"))).join(lasts, "block")
     last = firsts.agg(F.max("run").alias("run")).first()["run"]
     order = order.select(F.coalesce("own", "before", F.lit(last)).alias("waits"), "run", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
