@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import SPACES, as_bytes, lean, materialize, tidy
 
@@ -118,12 +119,12 @@ def draw(goal: list[int], shard_slots: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED, stats: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = SEED, stats: DataFrame | None = None, then=None, schema: str | StructType | None = None) -> DataFrame:
     """``docs`` (as ``sized`` gives them; the text itself isn't needed) and mix_source_size, mix_target, mix_taken, mix_pieces.
 
     mix_pieces: array of (shard, slot, start, length), the words of the document that the mix takes and where they go;
     a slot of a shard is filled by the pieces of one block. ``stats``: the same rows without their texts, where they are
-    at hand already.
+    at hand already. ``then``: what is done with the batches in the same Python worker, and the ``schema`` that it gives.
     """
     counts = docs if stats is None else stats
     sums = counts.groupBy("source").agg(F.sum("mix_size").alias("size"), F.count("*").alias("docs")).collect()  # a row for each source
@@ -152,9 +153,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, b
     placed = placed.join(parts, ["mix_source", "mix_part"]).withColumn("mix_at", F.col("mix_at") + F.col("mix_before")).drop("mix_before", "mix_part")
 
     pieces = _taker(plan, before, block, seed)
+    if then:
+        return placed.mapInArrow(tidy(lambda batches: then(pieces(batches))), schema)
     fields = placed.schema.names + ["mix_taken", "mix_pieces"]
-    schema = _ddl(placed) + ", mix_taken long, mix_pieces array<struct<shard:int,slot:int,start:long,length:int>>"
-    return placed.mapInArrow(tidy(pieces), schema).select(*[f for f in fields if f not in ("mix_at", "mix_source", "mix_tie")])
+    own = _ddl(placed) + ", mix_taken long, mix_pieces array<struct<shard:int,slot:int,start:long,length:int>>"
+    return placed.mapInArrow(tidy(pieces), own).select(*[f for f in fields if f not in ("mix_at", "mix_source", "mix_tie")])
 
 
 def _taker(plan: list[dict], before: list[list[int]], block: int, seed: int):
@@ -218,6 +221,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             rows, texts = [], []
             column = batch.column("text").to_pylist()
             for i, pieces in enumerate(batch.column("mix_pieces").to_pylist()):
+                if not pieces:
+                    continue
                 passes: list[list[tuple[int, int]]] = []
                 seen: dict[int, int] = {}
                 for p in pieces:
@@ -237,8 +242,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     rows = sized(apart)
-    found = mix(rows, stats=materialize(rows.select("doc_id", "source", "mix_size")), **options)
-    return found.where("mix_taken > 0").select(*names, "mix_pieces").mapInArrow(tidy(run), apart.schema).toDF(*docs.columns)
+    return mix(rows, stats=materialize(rows.select("doc_id", "source", "mix_size")), then=run, schema=apart.schema, **options).toDF(*docs.columns)
 
 
 def mixed_shards(docs: DataFrame, **options) -> DataFrame:
@@ -252,7 +256,7 @@ def mixed_shards(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             rows = []
             for i, text, source, pieces in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "source", "mix_pieces")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+                raw = (text or "").encode("utf-8", "surrogatepass")
                 at = _offsets(raw)
                 rows += [(p["shard"], p["slot"], i, source, p["start"], raw[at[p["start"]] : at[p["start"] + p["length"]]].decode("utf-8", "surrogatepass")) for p in pieces]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
@@ -260,6 +264,5 @@ def mixed_shards(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "slot", "doc_id", "source", "start", "text"])
 
     rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")))
-    found = mix(rows, stats=materialize(rows.select("doc_id", "source", "mix_size")), **options)
-    pieces = found.where("mix_taken > 0").select("doc_id", "text", "source", "mix_pieces").mapInArrow(tidy(run), schema)
+    pieces = mix(rows, stats=materialize(rows.select("doc_id", "source", "mix_size")), then=run, schema=schema, **options)
     return pieces.repartition("shard").sortWithinPartitions("shard", "slot", "doc_id", "start")
