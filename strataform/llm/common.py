@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import pickle
 import sys
-import tempfile
 import uuid
 
 import numpy as np
@@ -34,11 +34,10 @@ def process_cache() -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir, or where that is unset one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="strataform-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/strataform-checkpoints")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -48,7 +47,31 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.strataform_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing still to be computed reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.strataform_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let go of what finished steps hold: Spark's cleaner drops shuffle files and broadcasts once the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``df`` has such a column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lean(spark: SparkSession) -> None:
@@ -58,14 +81,19 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+def release() -> None:
+    """Give unused memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """``run`` over batches, after which a Python worker gives unused memory back: workers live on for other stages."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return wrapped
 
@@ -189,28 +217,47 @@ def as_bytes(column) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") if x else b"" for x in column.to_pylist()]
 
 
+#: A node with more edges than one in HUBS of all is a hub: at most 2 * HUBS of them, so what is broadcast is bounded.
+#: Up to so many edges in all none of them is too many for a task.
+HUBS, FEW_EDGES = 1000, 50_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """``edges`` (u, v), about ``count``, joined to ``least`` (u, m, deg) by u; the edges of hubs stay where they are."""
+    if count <= FEW_EDGES:
+        return edges.join(least, "u").select("u", "v", "m")
+    hub = count // HUBS
+    hubs = F.broadcast(least.where(F.col("deg") > hub))
+    of_hubs = edges.join(hubs, "u").select("u", "v", "m")
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("deg") <= hub), "u").select("u", "v", "m")
+    return of_hubs.union(others)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, label), label the least node.
 
     Null edges are ignored, loops and repeats are allowed, no edges give no rows. Every step keeps at most as
-    many edges as it got; each is written to the shared folder. Only counts come to the driver.
+    many edges as it got; each is written to the shared folder, and the one before it deleted. Only counts come to the
+    driver. Nodes with many edges are joined by a broadcast of bounded size, so that none of them is one task.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, last = materialize(e), None
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    count, last = e.count(), None
     for _ in range(rounds):
         # large star: each larger neighbour of u goes to the least of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg"))
+        large = _with_least(both.where("v > u"), least, count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours go to the least of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(now) == last:
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
+        small = _with_least(large, low, count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(e)
+        e = now
+        reclaim(e.sparkSession)
+        total = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
+        if total == last:
             break
-        last = tuple(now)
+        count, last = total[0], total
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v"), F.col("v")).distinct()) if spark else e
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, lean, share, shared, tidy
+from .common import bucket_of, lean, reclaim, share, shared, tidy
 
 #: Families of some languages by code (fixed values).
 FAMILIES = {
@@ -153,7 +153,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TO
     x = np.zeros((found.num_rows, FEATURES), dtype=np.float32)
     for i, (at, v) in enumerate(zip(found["at"].to_pylist(), found["x"].to_pylist(), strict=True)):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f4")
-    return Model(found["lang"].to_pylist(), x)
+    model = Model(found["lang"].to_pylist(), x)
+    del found, x
+    reclaim(labelled.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

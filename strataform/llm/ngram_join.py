@@ -8,7 +8,8 @@ Every document becomes the set of its distinct shingles. Two documents link when
    ranges of the hash space at least k + 1 hold the same elements in both. The inverted lists are keyed by the content
    of a range. As in DivideSkip each set leaves out its k longest lists (the order of lists is the same for all, so
    one common list is left to both). Sets that share a remaining list are neighbours; connected neighbours meet in
-   one cell, or in a grid of cells of bounded size if they are many.
+   one cell. Where they are more than a cell holds, they are routed again by other ranges, more of them; those that are
+   still connected by both meet in a grid of cells of bounded size.
 3. In a cell, inverted lists of the shingles; for each set the short lists are merged with a heap, the L long ones are
    probed by binary search only for sets found T - L times, and those that reach the overlap are links.
 
@@ -29,10 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_word_hashes, components, lean, materialize, mix, shingles, tidy
+from .common import as_bytes, batch_word_hashes, components, forget, free_name, lean, materialize, mix, reclaim, shingles, tidy
 
 #: Sets that meet in one cell at most, and the rows up to which a list of keys is broadcast.
 CELL, BROADCAST_ROWS = 1024, 1_000_000
+#: Rows of lists that a task sorts, about.
+PART_ROWS = 500_000
+#: How often sets are routed again where too many are connected.
+AGAIN = 2
 
 
 def size_levels(most: int, num: int, den: int) -> list[int]:
@@ -48,20 +53,22 @@ def differing(level: int, starts: list[int], num: int, den: int) -> int:
     return 2 * (starts[level + 1] - 1) * (den - num) // (den + num)
 
 
-def spare(d: int) -> int:
-    """Ranges beyond d + 1, and so the lists that a set may leave out."""
-    return 1 + d // 8
+def spare(d: int, again: int = 0) -> int:
+    """Ranges beyond d + 1, and so the lists that a set may leave out; more when sets are routed again."""
+    return 1 + (d if again else d // 2)
 
 
-def range_keys(s: np.ndarray, level: int, d: int) -> np.ndarray:
-    """The keys of the m ranges of one sorted set at one level."""
-    m = d + 1 + spare(d)
+def range_keys(s: np.ndarray, level: int, d: int, again: int = 0, within: int = 0) -> np.ndarray:
+    """The keys of the m ranges of one sorted set at one level; ``within``: a group beyond which no key is shared."""
+    m = d + 1 + spare(d, again)
+    if again:
+        s = np.sort(mix(s ^ mix(np.array([again], dtype=np.uint64))))
     cuts = np.array([(i << 64) // m for i in range(1, m)], dtype=np.uint64)
     at = np.concatenate(([0], np.searchsorted(s, cuts), [len(s)]))
     total = np.zeros(len(s) + 1, dtype=np.uint64)
     np.cumsum(mix(s), out=total[1:])
     i = np.arange(m, dtype=np.uint64)
-    return mix((total[at[1:]] - total[at[:-1]]) ^ mix(i + np.uint64(level << 32)))
+    return mix((total[at[1:]] - total[at[:-1]]) ^ mix(i + np.uint64(level << 32)) ^ np.uint64(within & (1 << 64) - 1))
 
 
 def set_key(s: np.ndarray) -> int:
@@ -86,24 +93,27 @@ def _describe(width: int):
     return run
 
 
-def _lists(width: int, num: int, den: int):
+def _lists(width: int, num: int, den: int, again: int = 0):
     """(tagged, key) of each set's ranges: the set's key, one more for the ranges of the next level than for its own.
 
     The tag is the set's, not the list's: a list holds the sets of its level and those that reach it from below.
 
-    Of equal sets in one partition the first is enough.
+    Of equal sets in one batch the first is enough. When sets are routed ``again``, a row carries its set's key and group.
     """
 
     def run(batches):
-        seen: set[int] = set()
         starts = size_levels(1, num, den)
         for batch in batches:
+            seen: set[int] = set()
             for at in range(0, batch.num_rows, 512):
                 owners, keys = [], []
-                for words in batch_word_hashes(as_bytes(batch.column("text").slice(at, 512))):
+                part = batch.slice(at, 512)
+                groups = part.column("comp").to_pylist() if again else [0] * part.num_rows
+                wanted = part.column("h").to_pylist() if again else [None] * part.num_rows
+                for words, group, want in zip(batch_word_hashes(as_bytes(part.column("text"))), groups, wanted, strict=True):
                     s = shingles(words, width)
                     n = len(s)
-                    if not n or (h := set_key(s)) in seen:
+                    if not n or (h := set_key(s)) in seen or want not in (None, h):
                         continue
                     seen.add(h)
                     if starts[-2] <= n:
@@ -111,7 +121,7 @@ def _lists(width: int, num: int, den: int):
                     level = int(np.searchsorted(starts, n, side="right")) - 1
                     for upper in range(1 + (n * den // num >= starts[level + 1])):
                         if d := differing(level + upper, starts, num, den):
-                            key = range_keys(s, level + upper, d)
+                            key = range_keys(s, level + upper, d, again, group)
                             keys.append(key)
                             owners.append(np.full(len(key), h | upper, dtype=np.int64))
                 for k in range(0, len(keys), 64):
@@ -208,6 +218,32 @@ def _cell(num: int, den: int):
     return run
 
 
+def _near(lists: DataFrame, sizes: DataFrame, starts: list[int], num: int, den: int, again: int = 0) -> DataFrame:
+    """(h, comp): the sets that share a list which neither leaves out, and the least set connected with each."""
+    key = Window.partitionBy("key")
+    # each set has about as many keys, of both levels, as its elements times this
+    keys = (sizes.agg(F.sum("n")).first()[0] or 0) * 2.2 * 2 * (den - num) / (den + num) * (2.0 if again else 1.5)
+    lists = lists.repartition(max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(keys / PART_ROWS)), "key")
+    # most lists hold one set; of repeated rows (copies of a text in several parts) one stays
+    lists = lists.withColumn("before", F.lag("tagged").over(key.orderBy("tagged"))).where("before is null or before <> tagged")
+    lists = kept = materialize(lists.select("tagged", "key", F.count("*").over(key).alias("length")).where("length > 1"))
+    reclaim(kept.sparkSession)
+    spares = F.array(*(F.lit(spare(differing(x, starts, num, den), again)) for x in range(len(starts) - 1)))
+    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n"))) - 1 + F.col("upper")
+    lists = lists.select(F.col("tagged").bitwiseAND(F.lit(-2).cast("long")).alias("h"), F.col("tagged").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("upper"), "key", "length")
+    # the sets' sizes tell how many lists each leaves out, the longest ones
+    lists = lists.join(sizes, "h").withColumn("k", F.get(spares, level))
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("h", "upper").orderBy(F.desc("length"), "key"))).where("rank > k")
+    star = lists.select(F.col("h").alias("a"), F.min("h").over(key).alias("b")).where("a <> b").distinct()
+    # a set and the least ones of its lists all go to the least of these: about an edge a set, however many lists they share
+    star = star.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    star = star.select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b")
+    near = components(star).withColumnRenamed("node", "h").withColumnRenamed("label", "comp")
+    forget(kept)
+    reclaim(kept.sparkSession)
+    return near
+
+
 def ngram_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, cell: int = CELL) -> DataFrame:
     """One row for each document: doc_id, tkey (a key of the text), n_shingles, component_id, n_links, set_key.
 
@@ -218,29 +254,29 @@ def ngram_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     lean(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tkey", text_key(F.col("text")))
     t = materialize(base.mapInArrow(tidy(_describe(width)), "doc_id long, tkey long, n long, h long"))
-    classes = t.where("h is not null").groupBy("h").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "tkey", "doc_id")).alias("first"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.max("n").alias("n"))
-
-    # most lists hold one set; what is left is kept, the sets' sizes tell how many lists each leaves out
-    lists = base.select("text").mapInArrow(tidy(_lists(width, num, den)), "tagged long, key long")
-    lists = materialize(lists.withColumn("length", F.count("*").over(Window.partitionBy("key"))).where("length > 1"))
+    classes = materialize(t.where("h is not null").groupBy("h").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "tkey", "doc_id")).alias("first"), F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.max("n").alias("n")))
     starts = size_levels(t.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0], num, den)
-    spares = F.array(*(F.lit(spare(differing(x, starts, num, den))) for x in range(len(starts) - 1)))
-    level = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("n"))) - 1 + F.col("upper")
-    lists = lists.select(F.col("tagged").bitwiseAND(F.lit(-2).cast("long")).alias("h"), F.col("tagged").bitwiseAND(F.lit(1).cast("long")).cast("int").alias("upper"), "key", "length")
-    lists = lists.join(classes.select("h", "n"), "h").withColumn("k", F.get(spares, level))
-    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("h", "upper").orderBy(F.desc("length"), "key"))).where("rank > k")
-    chain = lists.select(F.col("h").alias("a"), F.lag("h").over(Window.partitionBy("key").orderBy("h")).alias("b")).where("a <> b")
-    near = materialize(components(chain).withColumnRenamed("node", "h").withColumnRenamed("label", "comp"))
-
-    sizes = near.groupBy("comp").agg(F.count("*").alias("size"))
-    nodes = materialize(near.join(sizes, "comp").join(classes, "h").select("h", "comp", "size", "copies", "n", F.col("first.key").alias("ckey"), F.col("first.tkey").alias("tkey")))
-    total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-    pick = nodes.drop("n")
     texts = base.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("ckey"), "tkey", "text")
-    found = texts.join(F.broadcast(pick) if total[0] <= BROADCAST_ROWS else pick, ["ckey", "tkey"]).select("text", "h", "comp", "size", "copies")
+    pick = lambda few, n: texts.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, ["ckey", "tkey"])
+    sized = lambda d: d.join(d.groupBy("comp").agg(F.count("*").alias("size")), "comp")
+
+    near = _near(base.select("text").mapInArrow(tidy(_lists(width, num, den)), "tagged long, key long"), classes.select("h", "n"), starts, num, den)
+    nodes = materialize(sized(near).join(classes, "h").select("h", "comp", "size", "copies", "n", F.col("first.key").alias("ckey"), F.col("first.tkey").alias("tkey")))
+    for again in range(1, AGAIN + 1):
+        many = nodes.where(F.col("size") > cell)
+        if not (n := many.count()):
+            break
+        lists = pick(many.select("h", "comp", "ckey", "tkey"), n).select("text", "h", "comp").mapInArrow(tidy(_lists(width, num, den, again)), "tagged long, key long")
+        near = _near(lists, many.select("h", "n"), starts, num, den, again)
+        parted = materialize(nodes.where(F.col("size") <= cell).unionByName(sized(near).join(nodes.drop("comp", "size"), "h").select(nodes.columns)))
+        forget(nodes)
+        nodes = parted
+    total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    found = pick(nodes.drop("n"), total[0]).select("text", "h", "comp", "size", "copies")
     found = found.mapInArrow(tidy(_texts(width)), "h long, comp long, size long, copies long, content binary")
 
-    buckets = max(1, -(-total[0] // (2 * cell)), -(-total[1] // 1_000_000))
+    reclaim(docs.sparkSession)
+    buckets = max(1, -(-total[0] // max(1, cell // 4)), -(-total[1] // 100_000))
     blocks = F.ceil(F.col("size") / cell)
     block = F.pmod(F.xxhash64("h", F.lit(1)), blocks)
     grid = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.col("comp").alias("at"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), F.when(block == j, 2).when(block < j, 0).otherwise(1).alias("side"), F.lit(True).alias("many")))
@@ -255,29 +291,32 @@ def ngram_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     named = labels.join(classes.select("h", "min_doc"), "h")
     names = named.groupBy("label").agg(F.min("min_doc").alias("component_id"))
     of_class = classes.join(labels.join(names, "label").drop("label").join(degrees, "h"), "h", "left").select("h", F.coalesce("component_id", "min_doc").alias("component_id"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
-    full = t.select("doc_id", "tkey", "n", "h")
-    some = full.where("h is not null").join(of_class, "h").select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", "n_links", F.col("h").alias("set_key"))
-    none = full.where("h is null").select("doc_id", "tkey", F.lit(0).cast("long"), "doc_id", F.lit(0).cast("long"), F.lit(None).cast("long"))
-    return some.union(none)
+    some = t.where("h is not null").join(of_class, "h").select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", "n_links", F.col("h").alias("set_key"))
+    none = t.where("h is null").select("doc_id", "tkey", F.lit(0).cast("long"), "doc_id", F.lit(0).cast("long"), F.lit(None).cast("long"))
+    out = materialize(some.union(none))
+    forget(t, classes, nodes, linked)
+    reclaim(docs.sparkSession)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near copies: of each component one row stays, the one of the least id (then text key).
 
-    Wordless documents link with nothing and all stay; of repeated rows one stays. Columns as given.
+    Wordless documents link with nothing and all stay; of repeated rows one stays. Columns as given, whatever their names.
     """
-    found = materialize(ngram_classes(docs, width, num, den))
+    found = ngram_classes(docs, width, num, den)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    rows = found.where("set_key is not null").select(key.alias("_k"), "tkey", F.coalesce("component_id", F.lit(2**63 - 1)).alias("c"))
+    k, t = free_name(docs, "near_key"), free_name(docs, "near_text")
     # rows of one component that all lack an id are told apart by the class
-    rows = rows if not found.where("set_key is not null and component_id is null").limit(1).count() else found.where("set_key is not null").select(key.alias("_k"), "tkey", F.coalesce("component_id", "set_key").alias("c"))
-    first = rows.groupBy("c").agg(F.min(F.struct("_k", "tkey")).alias("first"))
-    each = rows.groupBy("_k", "tkey", "c").agg(F.count("*").alias("_rows"))
-    marked = each.join(first, "c").select("_k", F.col("tkey").alias("_t"), "_rows", (F.col("first._k").eqNullSafe(F.col("_k")) & (F.col("first.tkey") == F.col("tkey"))).alias("_first"))
-    gone, again = materialize(marked.where("not _first").select("_k", "_t")), materialize(marked.where("_first and _rows > 1").select("_k", "_t"))
+    rows = found.where("set_key is not null").select(key.alias(k), F.col("tkey").alias(t), F.coalesce("component_id", "set_key").alias("c"), F.col("component_id").isNull().alias("unnamed"))
+    first = rows.groupBy("c", "unnamed").agg(F.min(F.struct(k, t)).alias("first"))
+    each = rows.groupBy(k, t, "c", "unnamed").agg(F.count("*").alias("rows"))
+    marked = each.join(first, ["c", "unnamed"]).select(k, t, "rows", (F.col("first") == F.struct(k, t)).alias("is_first"))
+    gone, again = materialize(marked.where("not is_first").select(k, t)), materialize(marked.where("is_first and rows > 1").select(k, t))
+    forget(found)
     small = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
-    keyed = docs.withColumn("_k", key).withColumn("_t", text_key(F.col("text").cast("string")))
-    stay = keyed.join(small(gone), ["_k", "_t"], "left_anti")
+    keyed = docs.withColumn(k, key).withColumn(t, text_key(F.col("text").cast("string")))
+    stay = keyed.join(small(gone), [k, t], "left_anti")
     repeats = small(again)
-    out = stay.join(repeats, ["_k", "_t"], "left_anti").union(stay.join(repeats, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]))
+    out = stay.join(repeats, [k, t], "left_anti").unionByName(stay.join(repeats, [k, t], "left_semi").dropDuplicates([k, t]))
     return out.select(*docs.columns)
