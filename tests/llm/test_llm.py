@@ -297,6 +297,40 @@ def test_mixing(docs, rows):
     assert mixing.mix(mixing.sized(docs.where("false"))).count() == 0
 
 
+def test_mixing_keeps_signs_and_names(spark):
+    text = "  one\ttwo\n\n    three  four\r\nfive six \n"
+    df = spark.createDataFrame([(i, text if i % 2 else prose(i, 50), "a" if i % 3 else "b", 7, 8) for i in range(30)], "doc_id long, text string, source string, mix_size int, kept_0 int")
+    got = mixing.mixed_documents(df, block=4).collect()
+    assert {r["mix_size"] for r in got} == {7} and {r["kept_0"] for r in got} == {8}
+    pairs = re.findall(r"(?=\b(\w+)(\s+)(\w+))", text)
+    assert len(pairs) == 5 and any("one" in r["text"] for r in got)
+    for r in got:
+        for one, between, other in pairs:
+            assert not re.search(rf"{one}\s+{other}", r["text"]) or one + between + other in r["text"]
+    assert mixing.mix(mixing.sized(df)).count() == 30
+
+
+def test_mixed_shards(spark, docs, rows):
+    got = mixing.mixed_shards(docs, block=8).collect()
+    want = mixing.mix(mixing.sized(docs), block=8).collect()
+    assert sum(len(words(r["text"])) for r in got) == sum(r["mix_taken"] for r in want)
+    slots = defaultdict(int)
+    for r in got:
+        slots[r["shard"], r["slot"]] += len(words(r["text"]))
+    assert max(slots.values()) <= 8
+    for shard in {a for a, _ in slots}:  # no slot is left out
+        own = sorted(b for a, b in slots if a == shard)
+        assert own == list(range(len(own)))
+
+
+def test_shard_draws():
+    goal = [5000, 3000, 70, 0]
+    out = mixing.draw(goal, 512, 3)
+    assert out.sum(axis=0).tolist() == goal and (out.sum(axis=1)[:-1] == 512).all() and (out >= 0).all()
+    assert (out == mixing.draw(goal, 512, 3)).all() and (mixing.draw([0, 0], 512, 3) == 0).all()
+    assert len(set(out[:-1, 0].tolist())) > 3  # drawn, not dealt evenly
+
+
 # ---- 6 fingerprints
 
 
@@ -315,6 +349,28 @@ def test_fingerprints(docs, rows):
     rows_by = {r["doc_id"]: r["text"] for r in rows}
     assert len({own[200 + i, len(rows_by[200])] for i in range(9)}) == 1
     assert fingerprint.edit_likeness(docs.where("false")).count() == 0
+    far = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id") * 1_000_003 * 4096)  # ids far apart: a block each
+    assert {(r["doc_id"], r["edited_sha256"]) for r in fingerprint.edit_likeness(far).collect()} == {(r["doc_id"] * 1_000_003 * 4096, r["edited_sha256"]) for r in fingerprint.edit_likeness(docs.where("doc_id is not null")).collect()}
+
+
+def test_likenesses_follow_the_sketches(spark, docs, rows):
+    """Fingerprints and both likenesses by sets of Python ints."""
+    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprint.edit_likeness(docs, run=16).collect()}
+    order = sorted((r for r in rows if r["doc_id"] is not None), key=lambda r: r["doc_id"])
+    least = lambda t: sorted(set(common.shingles(common.word_hashes(t.encode()), 5).tolist()))[: fingerprint.K]
+
+    def like(a, b):
+        union = sorted({*a, *b})[: fingerprint.K]
+        return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
+
+    for r, n in zip(order, order[1:], strict=False):
+        t, u = r["text"] or "", n["text"] or ""
+        if [x["doc_id"] for x in order].count(r["doc_id"]) > 1 or [x["doc_id"] for x in order].count(n["doc_id"]) > 1:
+            continue
+        e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        have = got[r["doc_id"], len(t)]
+        assert fingerprint.decode(have["fingerprint"]).tolist() == least(t) and fingerprint.decode(have["edited_fingerprint"]).tolist() == least(e)
+        assert have["near_edited"] == pytest.approx(like(least(t), least(e))) and have["near_next"] == pytest.approx(like(least(t), least(u)))
 
 
 def test_sketches():
@@ -365,6 +421,42 @@ def test_secrets_beside_a_pattern(spark):
     assert all(key not in r["text"] for r in secrets.redact(df, model).collect())
 
 
+def test_secrets_with_other_names_and_many_matches(spark):
+    plain = spark.createDataFrame([(i, prose(i, 80)) for i in range(40)], "doc_id long, text string")
+    model = secrets.train(secrets.default_samples(plain, 400))
+    many = " ".join(f"é token={i:08d}" for i in range(3000))
+    token = "".join(random.Random(4).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=26_400))
+    df = spark.createDataFrame([(1, many, 5, 6), (2, token, 5, 6)], "doc_id long, text string, secret_spans int, found_spans int")
+    got = {r["doc_id"]: r["secret_spans"] for r in secrets.scan(df, model).select("doc_id", "secret_spans").collect()}
+    assert [(s["start"], s["end"]) for s in got[1]] == [m.span() for m in re.finditer("token=[0-9]+", many)]
+    assert [(s["start"], s["end"]) for s in got[2]] == [(0, 26_400)]
+    clean = {r["doc_id"]: r for r in secrets.redact(df, model).collect()}
+    assert clean[1]["text"] == " ".join(["é [SECRET]"] * 3000) and clean[2]["text"] == "[SECRET]"
+    assert {(r["secret_spans"], r["found_spans"]) for r in clean.values()} == {(5, 6)}
+
+
+def test_random_scores_follow_the_models(spark):
+    plain = spark.createDataFrame([(i, prose(i, 80) + " token=" + hashlib.md5(bytes([i])).hexdigest()) for i in range(40)], "doc_id long, text string")
+    samples = secrets.default_samples(plain, 400)
+    assert not [r for r in samples.where("label = 0").collect() if re.search("[0-9a-f]{24}", r["text"]) and re.search("[a-f]", r["text"])]
+    model = secrets.train(samples)
+    n = secrets.SYMBOLS
+    counts = [[[secrets.SMOOTH] * n for _ in range(n)] for _ in range(2)]
+    for r in samples.collect():
+        before = 0
+        for c in r["text"]:
+            now = secrets.TOKEN_CHARS.find(c) + 1
+            counts[r["label"]][before][now] += 1
+            before = now
+    ratio = lambda a, b: np.log(counts[1][a][b] / sum(counts[1][a])) - np.log(counts[0][a][b] / sum(counts[0][a]))
+    assert np.abs(np.array(model) - [ratio(a, b) for a in range(n) for b in range(n)]).max() < 1e-5
+    tokens = ["zonra_suka_losta_nera_taver_kalo", "wJalrXUtnFEMI/K7MDENGbPxRfiCYzEXq9", "0123456789abcdef0123", "A" * 20]
+    got = {r["t"]: r["s"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.score(F.col("t"), model).alias("s")).collect()}
+    for t in tokens:
+        k = [secrets.TOKEN_CHARS.find(c) + 1 for c in t]
+        assert got[t] == pytest.approx(sum(ratio(a, b) for a, b in zip([0, *k], k, strict=False)) / len(t), abs=1e-5)
+
+
 # ---- 8 toxicity
 
 
