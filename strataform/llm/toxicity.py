@@ -93,11 +93,16 @@ class Model:
         """``counts`` of each different (word before, word, its beginning) in the toxic and the ordinary texts."""
         self.slope, self.offset = 0.0, -np.inf
         seen = [c > 0 for c in counts]
-        _, key = self._keys(before, words)
+        # of each word before, in each class: how often, and what is discounted of it; where nothing is left in one of the
+        # classes both back off wholly, and pairs of which nothing is left add nothing, so neither is kept
+        after = _grouped(before, *counts, *(1024 * discount(c, PAIR) for c in counts))
+        n = [c[:-1] for c in after.columns]
+        some = (1024 * n[0] > n[2]) & (1024 * n[1] > n[3])
+        self.after = Table(after.keys[some], *(c[some] for c in n))
+        left = np.any([c > discount(c, PAIR) for c in counts], axis=0) & np.isin(before, self.after.keys)
+        _, key = self._keys(before[left], words[left])
         by = np.argsort(key)
-        self.pairs = Table(key[by], *(c[by] for c in counts))
-        # of each word before, in each class: how often, and what is discounted of it
-        self.after = _grouped(before, *counts, *(1024 * discount(c, PAIR) for c in counts))
+        self.pairs = Table(key[by], *(c[left][by] for c in counts))
         self.words = _grouped(words, *seen, np.ones(len(words)))  # continuation counts: toxic, ordinary, of both
         self.stems = _grouped(stems, *seen, np.ones(len(stems)))
         self.freed = {}  # of each continuation count: sum, and what is discounted of it
