@@ -9,8 +9,9 @@ over its words is one estimate from both classes. Every word of a text counts, w
 The share that goes to a lower order is the larger one of both classes, so that a class with fewer texts isn't told
 apart by its backing off more often. As in modified Kneser-Ney the discount depends on the count: min(count, DEVIATIONS
 of its order * sqrt(count)), a multiple of the count's sampling error. So what is rare in both classes is left to the
-shared counts and hardly tells the classes apart: with the one discount of the plain form, chance counts of rare words
-outweigh the rest (AUC 0.73 against 0.997 on documents held out). A language or subject that has another share of the
+shared counts and hardly tells the classes apart; in the plain form, with one discount, each class's own share of the
+lower order and no median taken away, chance counts outweigh the rest (AUC 0.73 against 0.997 on documents held out). A
+language or subject that has another share of the
 toxic texts than of the ordinary ones adds the same to every word of a text, so the text's median difference, up to
 COMMON, is taken away. The score is a logistic function of the difference of the two log-likelihoods per word that is
 left.
