@@ -7,7 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import lgamma, log10
 
 import numpy as np
 import pytest
@@ -521,56 +521,95 @@ def test_toxicity_models_are_kneser_ney():
 # ---- 9 context trees
 
 
-def brute_ctw(train, text, table, cost):
-    """Direct recursion over (contexts, bits)."""
-    counts = defaultdict(lambda: [0, 0])
-    seqs = [[0, 0, 0, *table[np.frombuffer(t, np.uint8)].tolist(), 0] for t in train]
-    kids = defaultdict(set)
-    for s in seqs:
-        for i in range(3, len(s)):
-            for d in range(4):
-                c = tuple(s[i - d : i][::-1])
+def brute_units(text):
+    """(context, latest byte first; byte) of a text and its end."""
+    s, out = b"\xff" + text + b"\xff", []
+    for i in range(1, len(s)):
+        context = b""
+        while len(context) < ctw.DEPTH and not (context and context[-1:] in b" \t\n\x0b\x0c\r\xff"):
+            context += s[i - 1 - len(context) : i - len(context)]
+        out.append((context, s[i]))
+    return out
+
+
+def brute_ctw(train):
+    """Direct recursion over (contexts, bits): a function from text to log10 P."""
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t in train:
+        for context, x in brute_units(t):
+            for d in range(len(context) + 1):
                 if d:
-                    kids[c[:-1]].add(c)
-                for b in range(6):
-                    counts[c, b, s[i] >> (6 - b)][s[i] >> (5 - b) & 1] += 1
+                    kids[context[: d - 1]].add(context[:d])
+                for b in range(8):
+                    counts[context[:d], b, x >> (8 - b)][x >> (7 - b) & 1] += 1
     memo = {}
 
     def logs(c, b, p):
         key = (c, b, p)
         if key not in memo:
-            own = float(ctw.log_kt(*map(np.float64, counts[key])))
-            memo[key] = (own, own) if len(c) == 3 else (own, float(np.logaddexp(own, sum(logs(k, b, p)[1] for k in kids[c])) - np.log(2)))
+            n = counts.get(key, [0, 0])
+            own = lgamma(n[0] + 0.5) + lgamma(n[1] + 0.5) - 2 * lgamma(0.5) - lgamma(sum(n) + 1)
+            leaf = len(c) == ctw.DEPTH or c[-1:] and c[-1] in b" \t\n\x0b\x0c\r\xff"
+            memo[key] = (own, own) if leaf else (own, float(np.logaddexp(own, sum(logs(k, b, p)[1] for k in kids.get(c, ()))) - np.log(2)))
         return memo[key]
 
-    def one(c, ctx, b, p):
-        n = counts[c, b, p]
+    def one(d, context, b, p):
+        n = counts.get((context[:d], b, p), [0, 0])
         kt = (n[1] + 0.5) / (sum(n) + 1)
-        if len(c) == 3:
+        if d == len(context):
             return kt
-        own, mixed = logs(c, b, p)
+        own, mixed = logs(context[:d], b, p)
         a = np.exp(own - np.log(2) - mixed)
-        return a * kt + (1 - a) * one(ctx[: len(c) + 1], ctx, b, p)
-
-    s, total = [0, 0, 0, *table[np.frombuffer(text, np.uint8)].tolist(), 0], float(cost[np.frombuffer(text, np.uint8)].sum())
-    for i in range(3, len(s)):
-        ctx = tuple(s[i - 3 : i][::-1])
-        for b in range(6):
-            q = one((), ctx, b, s[i] >> (6 - b))
-            total += log10(q if s[i] >> (5 - b) & 1 else 1 - q)
+        return a * kt + (1 - a) * one(d + 1, context, b, p)
+
+    def total(text):
+        out = 0.0
+        for context, x in brute_units(text):
+            for b in range(8):
+                q = one(0, context, b, x >> (8 - b))
+                out += log10(q if x >> (7 - b) & 1 else 1 - q)
+        return out
+
     return total
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 50, 10**6])
+def test_context_trees_in_blocks(block):
+    """Wherever the sorted contexts are cut into blocks, the tree is the same."""
+    train = [b"the cat and the hat", b"a  bat\nthat sat", b"", b"x" * 200 + b"y", b"that that that that"]
+    brute = brute_ctw(train)
+    tests = [*train, b"the bat \xc3\xa9", b"zzzz hat", b"x" * 90]
+    n = Counter(u for t in train for u in brute_units(t))
+    seen = sorted({(c.ljust(ctw.DEPTH, b"\0"), x, n[c, x]) for t in tests for c, x in brute_units(t)})
+    hi, lo = (np.array([int.from_bytes(c[i : i + 8], "big") for c, _, _ in seen], dtype=np.uint64) for i in (0, 8))
+    byte, count = np.array([x for _, x, _ in seen]), np.array([k for _, _, k in seen])
+    parts = [(slice(i, i + block), *ctw.weigh_block(hi[i : i + block], lo[i : i + block], byte[i : i + block], count[i : i + block])) for i in range(0, len(seen), block)]
+    nodes = defaultdict(lambda: np.zeros(3))
+    for *_, found in parts:
+        for d, h, w, b, *more in zip(*found, strict=True):
+            nodes[int(d), int(h), int(w), int(b)] += more
+    key = [np.array(x, dtype=t) for x, t in zip(zip(*nodes, strict=True), (np.int64, np.uint64, np.uint64, np.int64), strict=True)]
+    names, tree = ctw.open_tree(*key, *np.array(list(nodes.values())).T)
+    value = {}
+    for s, opened, p, _ in parts:
+        for (c, x, _), v in zip(seen[s], ctw.unit_values(hi[s], lo[s], byte[s], opened, p, names, tree), strict=True):
+            value[c, x] = v
+    for t in tests:
+        assert sum(value[c.ljust(ctw.DEPTH, b"\0"), x] for c, x in brute_units(t)) == pytest.approx(brute(t), rel=1e-5)
+    for t in tests:  # pieces give each byte of a text once, in its context
+        units = []
+        for _, owner, first, end, raw in ctw.pieces([b"other", t]):
+            _, h, w, x = ctw.units(raw, first[owner == 1], end[owner == 1])
+            units += [(int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"), int(c)) for a, b, c in zip(h, w, x, strict=True)]
+        assert units == [(c.ljust(ctw.DEPTH, b"\0"), x) for c, x in brute_units(t)]
+
+
 def test_context_trees(spark, docs, rows):
     got = ctw.score(docs, common.bucket_of(docs["doc_id"], 5) == 1).collect()
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
     train = [r["text"] or "" for r in rows if not out(r["doc_id"])]
     c = Counter(w for t in train for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
-    histogram = np.zeros(256, dtype=np.int64)
-    for t in train:
-        histogram += np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)
-    table, cost = ctw.symbols_of(histogram)
     want = defaultdict(list)
     for r in rows:
         w = [*words(r["text"]), None]
@@ -579,11 +618,23 @@ def test_context_trees(spark, docs, rows):
         assert any(r["n_tokens"] == a and r["n_known"] == b and abs(r["base_score"] - s) < 1e-6 * max(1, abs(s)) for a, b, s, _ in want[r["doc_id"]]), r
         assert r["train_tokens"] == n and r["held_out"] == out(r["doc_id"]) and r["score"] <= 0
     assert len(got) == len(rows)
+    brute = brute_ctw([t.encode() for t in train])
     for i in (3, 300, 303):
-        text = want[i][0][3].encode()
-        assert next(r["score"] for r in got if r["doc_id"] == i) == pytest.approx(brute_ctw([t.encode() for t in train], text, table, cost), rel=1e-4, abs=1e-3)
+        assert next(r["score"] for r in got if r["doc_id"] == i) == pytest.approx(brute(want[i][0][3].encode()), rel=1e-5, abs=1e-5)
     assert ctw.score(docs.where("false"), F.lit(False)).count() == 0
-    assert ctw.text_scores([b"ab" * 700_000], table, cost, np.full(1 << 24, -1.0, np.float32))[0] == pytest.approx(-1_400_001 + 700_000 * float(cost[97] + cost[98]))
+    alone = ctw.score(docs.where("doc_id = 3"), F.lit(True)).first()  # nothing to learn from
+    assert alone["score"] == pytest.approx(-log10(2) * 8 * (len(want[3][0][3].encode()) + 1)) and alone["train_tokens"] == 0
+
+
+def test_context_trees_with_little_broadcast(spark, docs, monkeypatch):
+    """What is not broadcast comes by joins, and small blocks leave many nodes open: the same scores."""
+    wanted = {(r["doc_id"], r["n_tokens"]): r for r in ctw.score(docs, common.bucket_of(docs["doc_id"], 5) == 1).collect()}
+    monkeypatch.setattr(ctw, "FREQUENT", 3)
+    monkeypatch.setattr(ctw, "BLOCK", 97)
+    for r in ctw.score(docs, common.bucket_of(docs["doc_id"], 5) == 1).collect():
+        other = wanted[r["doc_id"], r["n_tokens"]]
+        assert r["n_known"] == other["n_known"] and r["base_score"] == pytest.approx(other["base_score"])
+        assert r["score"] == pytest.approx(other["score"], rel=1e-5)
 
 
 # ---- 10 chat
