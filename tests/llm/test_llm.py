@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.llm import chat, common, ctw, fingerprint, language, mixing, neighbours, ngram_join, packing, secrets, toxicity
+from strataform.llm import chat, common, context_trees, ctw, fingerprint, language, mixing, neighbours, ngram_join, packing, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "su", "ta", "ver", "zo") for b in ("", "ra", "n", "st")]
@@ -637,6 +637,119 @@ def test_context_trees_with_little_broadcast(spark, docs, monkeypatch):
         assert r["score"] == pytest.approx(other["score"], rel=1e-5)
 
 
+def whole_units(text):
+    s = b"\xff" + text + b"\xff"
+    return [(s[max(0, i - context_trees.DEPTH) : i][::-1], s[i]) for i in range(1, len(s))]
+
+
+def brute_whole(train):
+    """Direct recursion over (the last DEPTH bytes, bits), across words: a function from text to log10 P."""
+    counts, kids = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t in train:
+        for context, x in whole_units(t):
+            for d in range(len(context) + 1):
+                if d:
+                    kids[context[: d - 1]].add(context[:d])
+                for b in range(8):
+                    counts[context[:d], b, x >> (8 - b)][x >> (7 - b) & 1] += 1
+    memo = {}
+
+    def logs(c, b, p):
+        key = (c, b, p)
+        if key not in memo:
+            n = counts.get(key, [0, 0])
+            own = lgamma(n[0] + 0.5) + lgamma(n[1] + 0.5) - 2 * lgamma(0.5) - lgamma(sum(n) + 1)
+            leaf = len(c) == context_trees.DEPTH or c[-1:] == b"\xff"
+            memo[key] = (own, own) if leaf else (own, float(np.logaddexp(own, sum(logs(k, b, p)[1] for k in kids.get(c, ()))) - np.log(2)))
+        return memo[key]
+
+    def one(d, context, b, p):
+        n = counts.get((context[:d], b, p), [0, 0])
+        kt = (n[1] + 0.5) / (sum(n) + 1)
+        if d == len(context):
+            return kt
+        own, mixed = logs(context[:d], b, p)
+        a = np.exp(own - np.log(2) - mixed)
+        return a * kt + (1 - a) * one(d + 1, context, b, p)
+
+    def total(text):
+        out = 0.0
+        for context, x in whole_units(text):
+            for b in range(8):
+                q = one(0, context, b, x >> (8 - b))
+                out += log10(q if x >> (7 - b) & 1 else 1 - q)
+        return out
+
+    return total
+
+
+@pytest.mark.parametrize("cuts", [0, 2, 5, 17, 1000])
+def test_contexts_across_words_in_blocks(cuts):
+    """Wherever the sorted contexts are cut into blocks, the tree over whole contexts is the same."""
+    train = [b"the cat and the hat", b"a  bat\nthat sat", b"", b"x" * 60 + b"y", b"that that that that", b"the cat and the hat"]
+    tests = [*train, b"the bat \xc3\xa9", b"zzzz hat", b"x" * 50, b"the cat and the rat"]
+    brute = brute_whole(train)
+    n = Counter(u for t in train for u in whole_units(t))
+    seen = sorted({(c.ljust(context_trees.DEPTH, b"\0"), x, n[c, x]) for t in tests for c, x in whole_units(t)})
+    hi, lo = (np.array([int.from_bytes(c[i : i + 8], "big") for c, _, _ in seen], dtype=np.uint64) for i in (0, 8))
+    byte, count = np.array([x for _, x, _ in seen]), np.array([float(k) for _, _, k in seen])
+    at = np.array(random.Random(cuts).sample(hi.tolist(), min(cuts, len(hi))), dtype=np.uint64)
+    bounds = np.unique(np.concatenate([np.zeros(1, np.uint64), at, at >> np.uint64(48) << np.uint64(48)]))
+    block = np.searchsorted(bounds, hi, side="right") - 1
+    parts = [(block == b, context_trees.opened_of(hi[block == b], *context_trees._range(bounds, b))) for b in np.unique(block)]
+    nodes = defaultdict(lambda: np.zeros(3))
+    for k, opened in parts:
+        for d, h, node, *more in zip(*context_trees.walk(hi[k], lo[k], byte[k], count[k], opened), strict=True):
+            nodes[int(d), int(h), int(node)] += more
+    key = [np.array([k[i] for k in nodes], dtype=t) for i, t in enumerate((np.int64, np.uint64, np.int64))]
+    tree = context_trees.open_tree(*key, *np.array(list(nodes.values())).reshape(-1, 3).T)
+    value = {}
+    for k, opened in parts:
+        p = context_trees.walk(hi[k], lo[k], byte[k], count[k], opened, tree)
+        value |= {seen[i][:2]: v for i, v in zip(np.flatnonzero(k), np.log10(p).sum(axis=1), strict=True)}
+    for t in tests:
+        assert sum(value[c.ljust(context_trees.DEPTH, b"\0"), x] for c, x in whole_units(t)) == pytest.approx(brute(t), rel=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_contexts_of_texts(monkeypatch, chunk):
+    monkeypatch.setattr(context_trees, "CHUNK", chunk)
+    for texts in ([b"a b"], [b"x" * 40 + b" y\n"], [b"", b"the cat and the hat", b"zz"]):
+        got = [(int(o), int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"), int(x)) for found in context_trees.contexts(texts) for o, a, b, x in zip(*found, strict=True)]
+        assert got == [(o, c.ljust(context_trees.DEPTH, b"\0"), x) for o, t in enumerate(texts) for c, x in whole_units(t)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_follow_contexts_across_words(spark, monkeypatch, tmp_path, small):
+    """op9 on a small table: bytes are scored in their last 16 bytes, whichever words these belong to."""
+    from strataform.llm import registry
+
+    if small:  # many blocks, long texts in parts, words that come by joins
+        for name, value in (("CHUNK", 300), ("PART", 7), ("BLOCK", 40), ("DRAWN", 4)):
+            monkeypatch.setattr(context_trees, name, value)
+        monkeypatch.setattr(ctw, "FREQUENT", 3)
+    texts = [prose(i % 12, 3 + i % 9) for i in range(36)] + [None, "", "été\n" * 100, "ka lo\tmi  ne"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in registry.op9_lm_score(spark, str(tmp_path)).collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    brute = brute_whole([(t or "").encode() for i, t in enumerate(texts) if not out(i)])
+    c = Counter(w for i, t in enumerate(texts) if not out(i) for w in [*words(t), None])
+    n, v = sum(c.values()), len(c)
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w, r = [*words(t), None], got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(i), len(w), sum(c[x] > 0 for x in w), n)
+        assert r["base_score"] == pytest.approx(sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+        assert r["score"] == pytest.approx(brute((t or "").encode()), rel=1e-9)
+
+
+def test_contexts_without_rows(spark, docs):
+    assert context_trees.score(docs.where("false"), F.lit(False)).count() == 0
+    alone = context_trees.score(docs.where("doc_id = 3"), F.lit(True)).first()  # nothing to learn from
+    text = docs.where("doc_id = 3").first()["text"]
+    assert alone["score"] == pytest.approx(-log10(2) * 8 * (len(text.encode()) + 1)) and alone["train_tokens"] == 0
+
+
 # ---- 10 chat
 
 
