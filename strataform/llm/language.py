@@ -63,26 +63,33 @@ def features(text: str) -> np.ndarray:
     return x / max(float(np.linalg.norm(x)), 1e-9)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 3000, batch: int = 32, penalty: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, steps: int = 3000, batch: int = 32, penalty: float = 1e-4, seed: int = 7, use: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights (the last is the bias) of a linear SVM for labels -1 and 1, and the slope that makes margins odds.
 
-    Averaged stochastic subgradient steps on the hinge loss, classes drawn evenly.
+    Averaged stochastic subgradient steps on the hinge loss, classes drawn evenly. ``y`` are the labels of the rows
+    ``use`` of ``x`` (all of them by default), of which only a few are copied at a time.
     """
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    use = np.arange(len(x)) if use is None else use
+
+    def taken(rows: np.ndarray) -> np.ndarray:
+        return np.hstack([x[use[rows]], np.ones((len(rows), 1), dtype=np.float32)])
+
     sides = [np.flatnonzero(y > 0), np.flatnonzero(y < 0)]
-    w, mean = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, mean = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):
         rows = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        wrong = rows[y[rows] * (x[rows] @ w) < 1]
+        drawn = taken(rows)
+        off = y[rows] * (drawn @ w) < 1
+        wrong = rows[off]
         rate = 1.0 / (penalty * (t + 1000))
         w *= 1 - rate * penalty
         if len(wrong):
-            w += rate / batch * (y[wrong] @ x[wrong])
+            w += rate / batch * (y[wrong] @ drawn[off])
         if t > steps // 2:
             mean += w
     w = mean / (steps - steps // 2)
-    margin = y * (x @ w)
+    margin = y * np.concatenate([taken(np.arange(at, min(at + 256, len(use)))) @ w for at in range(0, len(use), 256)])
     slope = max((2.0**k for k in range(-2, 6)), key=lambda s: -np.logaddexp(0, -s * margin).mean())
     return w, slope
 
@@ -99,8 +106,8 @@ class Model:
         rows = []
         for group, of, options in [("", kin, sorted(self.members)), *((f, names, v) for f, v in self.members.items())]:
             for a, b in combinations(options, 2):
-                use = (of == a) | (of == b)
-                w, slope = train_svm(x[use], np.where(of[use] == a, 1.0, -1.0))
+                use = np.flatnonzero((of == a) | (of == b))
+                w, slope = train_svm(x, np.where(of[use] == a, 1.0, -1.0), use=use)
                 self.pairs.append((group, a, b, slope))
                 rows.append(w)
         self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), FEATURES + 1)

@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from math import lgamma, log10
@@ -457,6 +458,21 @@ def test_random_scores_follow_the_models(spark):
         assert got[t] == pytest.approx(sum(ratio(a, b) for a, b in zip([0, *k], k, strict=False)) / len(t), abs=1e-5)
 
 
+def test_language_training_copies_few_rows():
+    """Training takes rows out of the table a few at a time: beside it the driver holds less than the table again."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((1200, language.FEATURES), dtype=np.float32)
+    langs = [("de", "en", "fr")[i % 3] for i in range(len(x))]
+    for i in range(len(x)):
+        x[i, rng.choice(language.FEATURES // 3, 50, replace=False) * 3 + i % 3] = 50**-0.5
+    tracemalloc.start()
+    model = language.Model(langs, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    assert [model.predict(v)[0] for v in x[:30]] == langs[:30]
+
+
 # ---- 8 toxicity
 
 
