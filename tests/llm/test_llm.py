@@ -741,7 +741,7 @@ def test_scores_follow_contexts_across_words(spark, monkeypatch, tmp_path, small
     from strataform.llm import registry
 
     if small:  # many blocks, long texts in parts, words that come by joins
-        for name, value in (("CHUNK", 300), ("PART", 7), ("BLOCK", 40), ("DRAWN", 4)):
+        for name, value in (("CHUNK", 300), ("PART", 7), ("BLOCK", 40), ("DRAWN", 4), ("RUN", 1000)):
             monkeypatch.setattr(context_trees, name, value)
         monkeypatch.setattr(ctw, "FREQUENT", 3)
     texts = [prose(i % 12, 3 + i % 9) for i in range(36)] + [None, "", "été\n" * 100, "ka lo\tmi  ne"]
