@@ -237,7 +237,7 @@ def _near(lists: DataFrame, sizes: DataFrame, starts: list[int], num: int, den:
     star = lists.select(F.col("h").alias("a"), F.min("h").over(key).alias("b")).where("a <> b").distinct()
     # a set and the least ones of its lists all go to the least of these: about an edge a set, however many lists they share
     star = star.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    star = star.select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b")).where("a <> b")
+    star = star.select("a", "m").union(star.select("b", "m")).where("a <> m").distinct().withColumnRenamed("m", "b")
     near = components(star).withColumnRenamed("node", "h").withColumnRenamed("label", "comp")
     forget(kept)
     reclaim(kept.sparkSession)
