@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -759,6 +760,58 @@ def test_scores_follow_contexts_across_words(spark, monkeypatch, tmp_path, small
         assert r["score"] == pytest.approx(brute((t or "").encode()), rel=1e-9)
 
 
+def test_shuffles_of_runs_go(spark, docs, monkeypatch):
+    """The files of a run over the texts are gone before the next, whenever the driver collects garbage."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.split("/")[-1] for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x and x.endswith(".data")}
+    left, write = [], context_trees.materialize
+
+    def watched(df):
+        before, found = files(), write(df)
+        for _ in range(50):
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        left.append(files() - before)
+        return found
+
+    for name, value in (("BLOCK", 40), ("DRAWN", 4), ("RUN", 1000)):
+        monkeypatch.setattr(context_trees, name, value)
+    monkeypatch.setattr(context_trees, "materialize", watched)
+    monkeypatch.setattr(context_trees, "reclaim", lambda _: None)
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.lit(False).alias("held_out"))
+    assert context_trees.text_values(base).count() == docs.count()
+    assert len(left) > 3 and not any(left)
+
+
+@pytest.mark.parametrize("cuts", [0, 3, 40])
+def test_walk_of_many_bytes_and_counts(cuts):
+    """Contexts with all kinds of branches: chains, one byte, several that part at any decision, unseen rows."""
+    rng = random.Random(cuts)
+    words_ = [bytes(rng.choice(b"abcdefgh\x00\x01\x80\xc3\xfe0129 ") for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    train = [b" ".join(rng.choice(words_) for _ in range(rng.randint(1, 14))) for _ in range(14)] + [b"aaaaaaaaaaaaaaaaaaaaaaaab"] * 3
+    tests = [*train, *(b"".join(rng.choice(words_) for _ in range(6)) for _ in range(4)), bytes(range(255))]
+    brute, n = brute_whole(train), Counter(u for t in train for u in whole_units(t))
+    seen = sorted({(c.ljust(context_trees.DEPTH, b"\0"), x, n[c, x]) for t in tests for c, x in whole_units(t)})
+    hi, lo = (np.array([int.from_bytes(c[i : i + 8], "big") for c, _, _ in seen], dtype=np.uint64) for i in (0, 8))
+    byte, count = np.array([x for _, x, _ in seen]), np.array([float(k) for _, _, k in seen])
+    bounds = np.unique(np.array([0, *rng.sample(hi.tolist(), cuts)], dtype=np.uint64))
+    block = np.searchsorted(bounds, hi, side="right") - 1
+    parts = [(block == b, context_trees.opened_of(hi[block == b], *context_trees._range(bounds, b))) for b in np.unique(block)]
+    nodes = defaultdict(lambda: np.zeros(3))
+    for k, opened in parts:
+        for d, h, node, *more in zip(*context_trees.walk(hi[k], lo[k], byte[k], count[k], opened), strict=True):
+            nodes[int(d), int(h), int(node)] += more
+    key = [np.array([k[i] for k in nodes], dtype=t) for i, t in enumerate((np.int64, np.uint64, np.int64))]
+    tree = context_trees.open_tree(*key, *np.array(list(nodes.values())).reshape(-1, 3).T)
+    value = {}
+    for k, opened in parts:
+        p = context_trees.walk(hi[k], lo[k], byte[k], count[k], opened, tree)
+        value |= {seen[i][:2]: v for i, v in zip(np.flatnonzero(k), np.log10(p).sum(axis=1), strict=True)}
+    for t in tests:
+        assert sum(value[c.ljust(context_trees.DEPTH, b"\0"), x] for c, x in whole_units(t)) == pytest.approx(brute(t), rel=1e-9)
+
+
 def test_contexts_without_rows(spark, docs):
     assert context_trees.score(docs.where("false"), F.lit(False)).count() == 0
     alone = context_trees.score(docs.where("doc_id = 3"), F.lit(True)).first()  # nothing to learn from
