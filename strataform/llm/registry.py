@@ -156,6 +156,141 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+@query
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair
+
+    turns = table(spark, sf_dir, "conversations")
+    key = F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", None, "turn")))
+    harm = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text"))
+    harmed = turns.select(
+        "conv_id",
+        "turn",
+        F.when(harm == 4, "user").otherwise(role).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(harm != 0, F.when(harm == 3, 2).otherwise(1))).alias("present"),
+    )
+    found = repair(harmed, F.col("present"))
+    said = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text in SQL."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, c: list_reduce([xor(a, c)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _then(way: str, cost: str, edit: str) -> str:
+    """A way (its cost in six digits, then its audit) and one more edit."""
+    return f"(lpad((left({way}, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({way}, 7) || {edit})"
+
+
+_INS = [_then(f"w[{i}]", "5", "'I'") for i in (1, 2, 3, 4)]
+_DEL = [_then(f"b[{i}]", "2", "'D'") for i in (1, 2, 3, 4)]
+_STAY = lambda i, role: f"CASE WHEN x[1] <> '-' THEN {_then(f'b[{i}]', f'''(CASE WHEN lower(x[1]) = '{role}' THEN 0 ELSE 1 END + CASE WHEN lower(x[1]) <> x[1] THEN 5 ELSE 0 END)''', f'''CASE WHEN lower(x[1]) = '{role}' THEN 'K' ELSE 'R' END''')} END"
+_SYSTEM = f"CASE WHEN lower(x[1]) = 's' THEN {_then('b[1]', '''CASE WHEN x[1] = 'S' THEN 5 ELSE 0 END''', '''\'K\'''')} END"
+ORACLE["op11_repair_conversations"] = rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm FROM conversations),
+d AS (SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM q),
+s AS (SELECT *, left(role, 1) AS c, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS class,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM r),
+p AS (SELECT *, lead(c) OVER (PARTITION BY conv_id ORDER BY i) AS following FROM s),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (following IS NOT NULL AND c || following NOT IN ('su', 'ua', 'au')) AS illegal,
+    list([CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(class) ELSE class END] ORDER BY i) AS signs FROM p GROUP BY conv_id),
+-- the cheapest way to each of four states: nothing yet, system, user last, assistant last
+w AS (SELECT *, list_reduce(signs, lambda w, x: list_transform([[w[1], w[2], least(w[3], {_INS[0]}, {_INS[1]}, {_INS[3]}), least(w[4], {_INS[2]})]], lambda b: [
+    {_DEL[0]}, least({_DEL[1]}, {_SYSTEM}), least({_DEL[2]}, {_STAY(1, "u")}, {_STAY(2, "u")}, {_STAY(4, "u")}), least({_DEL[3]}, {_STAY(3, "a")})])[1], ['000000', NULL, NULL, NULL]) AS w FROM g),
+b AS (SELECT *, least(w[1], w[4], {_INS[2]}) AS best FROM w),
+e AS (SELECT conv_id, substr(best, 7) AS audit, unnest(range(1, length(best) - 5)) AS pos FROM b),
+f AS (SELECT conv_id, pos, audit[pos] AS edit, count(*) FILTER (audit[pos] <> 'I') OVER v AS i, count(*) FILTER (audit[pos] <> 'D') OVER v AS item FROM e WINDOW v AS (PARTITION BY conv_id ORDER BY pos)),
+o AS (SELECT f.*, s.role, s.text, max(CASE WHEN item = 1 AND edit = 'K' AND class = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY f.conv_id) AS system
+    FROM f JOIN s ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = greatest(f.i, 1)),
+a AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (item - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos)) AS repaired
+    FROM o WHERE edit <> 'D' GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(best, 6)::BIGINT, 0) AS cost, coalesce(substr(best, 7), '') AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+FROM c LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import spliced, trie
+
+    found = trie(spliced(table(spark, sf_dir, "conversations"), family=5, most=8))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLE["op12_prefix_trie"] = rf"""
+WITH n AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos FROM conversations),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, CASE WHEN conv_id IS NULL THEN 0 ELSE {_crc32("conv_id::VARCHAR")} % 9 END AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+t AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN n ON n.conv_id = base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id AND pos > h
+      UNION ALL SELECT conv_id, -1, 0, '', '' FROM c),
+l AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY part, pos)[2:] AS turns FROM t GROUP BY conv_id),
+m AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM l),
+k AS (SELECT turns[1:depth] AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+s AS (SELECT k.*, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(key[depth].t) END AS saved, coalesce(ch.n, 0) AS n_children
+      FROM k LEFT JOIN (SELECT key[1:depth - 1] AS up, count(*) AS n FROM k WHERE depth > 0 GROUP BY 1) ch ON ch.up = k.key),
+a AS (SELECT key[1:e] AS key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM s) GROUP BY 1)
+SELECT s.conv_id, s.depth, q.conv_id AS parent_conv_id, s.n_convs, s.n_children, a.n_leaves, a.saved_tokens, s.ends_sha256
+FROM s JOIN a ON a.key = s.key LEFT JOIN k q ON s.depth > 0 AND q.key = s.key[1:s.depth - 1]
+"""
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE, Policy, apply, ledger, policy
+
+    found = apply(ledger(table(spark, sf_dir, "documents")), policy("prose"))
+    base = ~Policy("base", 1, BASE).keeps(F.col("failed"))
+    return found.select("doc_id", *(f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base.alias("base_failed"), (F.col("kept") & ~base).alias("kept"), F.col("failed").alias("rule_bits"))
+
+
+_RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+p AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM h WHERE n > 1) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS letters, length(regexp_replace(t, '\P{Lu}', '', 'g')) AS upper,
+    length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-•*]'))) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS ellipses
+    FROM d LEFT JOIN p USING (rid)),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
+    + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 10 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN 100 * letters < 80 * n_words THEN 64 ELSE 0 END + CASE WHEN 100 * upper > 30 * word_chars THEN 128 ELSE 0 END + CASE WHEN 100 * digits > 20 * word_chars THEN 256 ELSE 0 END
+    + CASE WHEN 100 * bullets > 90 * n_lines THEN 512 ELSE 0 END + CASE WHEN 100 * ellipses > 30 * n_lines THEN 1024 ELSE 0 END)::BIGINT AS bits FROM m)
+"""
+ORACLE["op13_quality_rules"] = _RULES_SQL + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 207 = 0 AND bit_count(bits & 1840) <= 1 AS kept, bits AS rule_bits FROM b
+"""
+
+
+@query
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op13's policy removes."""
+    from .quality import ablations, ledger, policy
+
+    return ablations(ledger(table(spark, sf_dir, "documents")), policy("prose"))
+
+
+ORACLE["quality_ablations"] = _RULES_SQL + """
+, r AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'no_letters', 'capitals', 'digits', 'bullets', 'ellipses']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS bit),
+k AS (SELECT rule, bits & bit <> 0 AS failed, bits & 207 = 0 AND bit_count(bits & 1840) <= 1 AS kept, bits & ~bit & 207 = 0 AND bit_count(bits & ~bit & 1840) <= 1 AS without FROM b, r)
+SELECT rule, count(*) FILTER (failed) AS n_failed, count(*) FILTER (without AND NOT kept) AS n_only, count(*) FILTER (without) AS n_kept_without FROM k GROUP BY rule
+"""
+
+
 # ---- what SQL can express of operators whose whole result it can't: the same results, fewer columns
 
 
@@ -222,8 +357,7 @@ def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
-_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
-  lambda a, c: list_reduce([xor(a, c)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_CRC32 = _crc32("doc_id::VARCHAR")
 ORACLE["unigram_scores"] = rf"""
 WITH d AS (SELECT doc_id, {_CRC32} % 5 = 1 AS held_out,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [' '] AS w FROM documents),
