@@ -1,4 +1,4 @@
-"""python -m strataform shape DIRECTORY [--at PATH] [--record-cap N] | sniff FILE... [-v]"""
+"""python -m strataform shape DIRECTORY [--at PATH] [--record-cap N]"""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import argparse
 
 from .plans.analyze import analyze
 from .plans.shape import Policy
-from .sniff.sniff import sniff_reader
 from .sources.documents import JsonLines
 
 
@@ -20,15 +19,7 @@ def main() -> None:
     shape.add_argument("--at", help="the path of the part to look at")
     shape.add_argument("--record-cap", type=int, default=Policy().record_cap)
     shape.add_argument("--max-docs", type=int)
-    files = sub.add_parser("sniff", help="tell what files hold")
-    files.add_argument("files", nargs="+")
-    files.add_argument("-v", action="store_true", dest="verbose")
     args = top.parse_args()
-    if args.command == "sniff":
-        for name in args.files:
-            with open(name, "rb") as f:
-                print(name, sniff_reader(f).describe(args.verbose))
-        return
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("strataform").getOrCreate()

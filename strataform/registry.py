@@ -16,7 +16,6 @@ from .operators.walk import levels, values_of, walk
 from .plans.analyze import analyze
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
-from .sniff.sniff import sniff_table
 from .sources.documents import at, from_columns, from_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,13 +278,3 @@ def shape_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("props", F.parse_json("props")).select("event_id", "user_id", "event_type", "value", F.to_json("props").alias("props"))
     found = {"events": from_columns(events, "event_id"), "orders": order_docs(spark, sf_dir), "users by day": _day_maps(spark, sf_dir)}
     return spark.createDataFrame([(name, analyze(d).spark_type().simpleString()) for name, d in found.items()], "docs string, type string")
-
-
-@query()
-def syntax_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoding and best syntax of pages, documents and event lines as files."""
-    t = lambda name: table(spark, sf_dir, name)
-    lines = lambda df, text, kind: df.groupBy(F.floor(F.col("event_id") / 200).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", text.alias("line")))), lambda x: x["line"]), "\n").alias("content")).select(F.lit(kind).alias("source"), "content")
-    e = t("events")
-    files = t("pages").select(F.lit("pages").alias("source"), F.col("html").alias("content")).union(t("documents").select(F.lit("documents"), "text")).union(lines(e, F.to_json(F.struct("event_id", "user_id", "event_type")), "jsonl")).union(lines(e, F.concat_ws(",", "event_id", "user_id", "event_type"), "csv"))
-    return sniff_table(files.select("source", F.col("content").cast("binary").alias("content"))).groupBy("source", "encoding", "best").agg(F.count("*").alias("n"))
