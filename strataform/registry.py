@@ -14,6 +14,7 @@ from .operators import stats
 from .operators.signatures import element_signature
 from .operators.walk import levels, values_of, walk
 from .plans.analyze import analyze
+from .plans.assertions import Assertion, violations
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
 from .sources.documents import at, from_columns, from_json
@@ -278,3 +279,60 @@ def shape_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("props", F.parse_json("props")).select("event_id", "user_id", "event_type", "value", F.to_json("props").alias("props"))
     found = {"events": from_columns(events, "event_id"), "orders": order_docs(spark, sf_dir), "users by day": _day_maps(spark, sf_dir)}
     return spark.createDataFrame([(name, analyze(d).spark_type().simpleString()) for name, d in found.items()], "docs string, type string")
+
+
+def _event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents of many structures, numbered by their ids."""
+    e, k = table(spark, sf_dir, "events"), F.get_json_object("props", "$.k")
+    is_ = lambda name: F.col("event_type") == name
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    value = F.coalesce(F.format_string("%.4f", "value"), F.lit("null"))
+    parts = {
+        "type": text(F.col("event_type")),
+        "value": F.when(is_("error"), text(value)).otherwise(value),
+        "props": F.when(is_("purchase"), F.concat(F.lit('{"k":'), k, F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"k":'), k, F.lit("}"))),
+        "seen": F.concat(F.lit('{"'), F.col("user_id").cast("string"), F.lit('":1}')),
+        "by": F.concat(F.lit("{"), text(F.col("event_type")), F.lit(":"), F.when(is_("signup"), text(k)).otherwise(k), F.lit("}")),
+        "pair": F.when(is_("view"), F.concat(F.lit("["), text(F.col("event_type")), F.lit(","), k, F.lit("]"))).otherwise(F.concat(F.lit("["), k, F.lit(","), text(F.col("event_type")), F.lit("]"))),
+        "nums": F.concat(F.lit("["), F.array_join(F.array_repeat(k, (k.cast("int") % 3).cast("int")), ","), F.lit("]")),
+        "tags": F.when(k.cast("int") % 7 == 0, F.concat(F.lit('["t",'), k, F.lit("]"))).otherwise(F.concat(F.lit("[null,"), k, F.lit("]"))),
+        "list": F.when(is_("click"), F.lit("{}")).otherwise(F.lit("[]")),
+    }
+    doc = F.concat(F.lit("{"), *(x for i, (name, c) in enumerate(parts.items()) for x in (F.lit("," * (i > 0) + f'"{name}":'), c)), F.lit("}"))
+    return from_json(e.select("event_id", doc.alias("doc")), "doc", "event_id")
+
+
+ASSERTIONS = (
+    Assertion("values are numbers", ".value", "type", ("f64", "null"), tolerance=3),
+    Assertion("props have a key", ".props", "arm", ('{"k":i64}',)),
+    Assertion("lists", ".list", "list"),
+    Assertion("tags alike", ".tags", "bag", tolerance=10),
+    Assertion("few users", ".seen", "record", cap=20, tolerance=2),
+    Assertion("counts", ".by", "map"),
+    Assertion("triples", ".nums", "tuple", tolerance=1),
+    Assertion("key, type", ".pair", "order", tolerance=1),
+    Assertion("no paths below", ".*[*]", "type", ("i64", "string", "null")),
+)
+
+
+@query(r"""
+WITH e AS (SELECT event_id, event_type AS t, user_id, value, CAST(props->>'$.k' AS INT) AS k FROM events),
+single AS (
+  SELECT 'values are numbers' AS assertion, event_id AS ord, '.value' AS path, 3 AS tolerance FROM e WHERE t = 'error'
+  UNION ALL SELECT 'props have a key', event_id, '.props', 0 FROM e WHERE t = 'purchase'
+  UNION ALL SELECT 'lists', event_id, '.list', 0 FROM e WHERE t = 'click'
+  UNION ALL SELECT 'tags alike', event_id, '.tags', 10 FROM e WHERE k % 7 = 0),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY assertion ORDER BY ord) AS r FROM single),
+items AS (  -- what lines count, with the first document of each
+  SELECT 'few users' AS assertion, '.seen' AS path, 20 AS allowed, 2 AS tolerance, min(event_id) AS ord FROM e GROUP BY user_id
+  UNION ALL SELECT 'counts', '.by', 1, 0, min(event_id) FROM e GROUP BY t = 'signup'
+  UNION ALL SELECT 'triples', '.nums', 1, 1, min(event_id) FROM e GROUP BY k % 3
+  UNION ALL SELECT 'key, type', '.pair', 0, 1, max(ord) FROM (SELECT t = 'view' AS kind, min(event_id) AS ord FROM e GROUP BY 1) HAVING count(*) > 1
+  UNION ALL SELECT 'key, type', '.pair', 0, 1, max(ord) FROM (SELECT t = 'view' AS kind, min(event_id) AS ord FROM e GROUP BY 1) HAVING count(*) > 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY assertion ORDER BY ord) AS n FROM items),
+beyond AS (SELECT assertion, path, tolerance, ord, dense_rank() OVER (PARTITION BY assertion ORDER BY ord) AS d FROM placed p WHERE ord >= (SELECT min(ord) FROM placed q WHERE q.assertion = p.assertion AND q.n > q.allowed))
+SELECT assertion, 'document' AS mode, ord, path, NULL::BIGINT AS tipped_at FROM ranked WHERE r > tolerance
+UNION ALL SELECT DISTINCT assertion, 'aggregate', ord, path, (SELECT count(*) FROM items i WHERE i.assertion = b.assertion AND i.ord <= b.ord) FROM beyond b WHERE d = tolerance + 1
+""")
+def assertion_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations(_event_docs(spark, sf_dir), ASSERTIONS).select("assertion", "mode", "ord", "path", "tipped_at")
