@@ -60,17 +60,17 @@ def _next(edges: dict[int, list[tuple[Step, int]]], kept: set[int]) -> Column:
     return F.concat(*parts)
 
 
-def locate(docs: DataFrame, patterns: Iterable[str]) -> DataFrame:
-    """(ord, pattern, path, v) of documents (ord, v): every value whose path a pattern covers, once for each pattern.
+def locate(docs: DataFrame, patterns: Iterable[str], keep: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(*keep, pattern, path, v) of documents (*keep, v): every value whose path a pattern covers, once for each pattern.
 
-    A JSON null is a value; a field that isn't there is none.
+    A JSON null is a value; a field that isn't there is none. Nothing is kept between rows, so streams can be read so too.
     """
     patterns = sorted({render(parse(p)) for p in patterns})
     nodes, edges = _trie(patterns)
     kept = {nodes[p] for p in patterns}
-    rows = docs.select("ord", F.lit(0).alias("node"), F.lit(".").alias("path"), "v")
+    rows = docs.select(*keep, F.lit(0).alias("node"), F.lit(".").alias("path"), "v")
     for _ in range(max((len(parse(p)) for p in patterns), default=0)):
-        rows = rows.select("ord", F.explode(_next(edges, kept)).alias("r")).select("ord", "r.node", "r.path", "r.v")
+        rows = rows.select(*keep, F.explode(_next(edges, kept)).alias("r")).select(*keep, "r.node", "r.path", "r.v")
     ends = rows.withColumn("node", F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node"))).where(F.col("node").isin(*kept))
     names = F.create_map(*(F.lit(x) for p in patterns for x in (nodes[p], p))) if patterns else F.lit(None).cast("map<int,string>")
-    return ends.select("ord", names[F.col("node")].alias("pattern"), "path", "v")
+    return ends.select(*keep, names[F.col("node")].alias("pattern"), "path", "v")

@@ -69,28 +69,70 @@ def kind(v: Column) -> Column:
     return F.when(F.is_variant_null(v), "null").otherwise(kind_of(schema, F.when(schema.startswith("DECIMAL"), F.try_variant_get(v, "$", "decimal(38,0)"))))
 
 
-def _table(docs: DataFrame, assertions: list[Assertion]) -> DataFrame:
-    rows = [(a.id, a.pattern, a.target, list(a.expect), a.tolerance, a.limit) for a in assertions]
-    return F.broadcast(docs.sparkSession.createDataFrame(rows, "assertion string, pattern string, target string, expect array<string>, tolerance int, allowed long"))
+def _checked(docs: DataFrame, assertions: list[Assertion], keep: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(*keep, pattern, path, v, kind, signature): the values under the assertions' patterns."""
+    rows = locate(docs, [a.pattern for a in assertions], keep).withColumn("kind", kind(F.col("v")))
+    arms = [a.pattern for a in assertions if a.target == "arm"]
+    of_arms = element_signature(F.when(F.col("pattern").isin(*arms), F.col("v"))) if arms else F.lit(None).cast("string")
+    return rows.withColumn("signature", of_arms)
+
+
+_ELEMENTS, _MEMBERS = "array<variant>", "map<string,variant>"
+
+
+def _inner(values: Column) -> Column:
+    """The kinds of some values, nulls aside."""
+    return F.array_distinct(F.filter(F.transform(values, kind), lambda k: k != "null"))
+
+
+def _holds(a: Assertion) -> Column:
+    """Whether a row of ``_checked`` under the assertion's pattern keeps it, as far as the value alone tells."""
+    if a.target == "type":
+        return F.col("kind").isin(*a.expect)
+    if a.target == "arm":
+        return F.coalesce(F.col("signature").isin(*a.expect), F.lit(False))
+    if a.target in ("record", "map"):
+        return F.col("kind") == "object"
+    found = F.col("kind") == "array"
+    return found & (F.size(_inner(F.try_variant_get("v", "$", _ELEMENTS))) <= 1) if a.target == "bag" else found
+
+
+def _items(a: Assertion) -> Column:
+    """What a value adds to its assertion's line."""
+    elements, members = F.try_variant_get("v", "$", _ELEMENTS), F.try_variant_get("v", "$", _MEMBERS)
+    if a.target == "record":
+        return F.map_keys(members)
+    if a.target == "map":
+        return _inner(F.map_values(members))
+    if a.target == "tuple":
+        return F.array(F.size(elements).cast("string"))
+    placed = F.filter(F.transform(elements, lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"))), lambda p: p["k"] != "null")
+    return F.transform(placed, lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["k"]))
 
 
 def _observed(docs: DataFrame, assertions: list[Assertion]) -> DataFrame:
     """(assertion, target, tolerance, allowed, ord, pattern, path, v, ok, items): every value with each assertion on it."""
-    rows = locate(docs, [a.pattern for a in assertions]).join(_table(docs, assertions), "pattern")
-    rows = rows.withColumn("kind", kind(F.col("v")))
-    target, is_array, is_object = F.col("target"), F.col("kind") == "array", F.col("kind") == "object"
-    elements = F.try_variant_get("v", "$", "array<variant>")
-    members = F.try_variant_get("v", "$", "map<string,variant>")
-    solid = lambda values: F.array_distinct(F.filter(F.transform(values, kind), lambda k: k != "null"))
-    ok = F.when(target == "type", F.array_contains("expect", F.col("kind"))).when(target == "bag", is_array & (F.size(solid(elements)) <= 1))
-    ok = ok.when(target.isin("record", "map"), is_object)
-    if any(a.target == "arm" for a in assertions):
-        ok = ok.when(target == "arm", F.array_contains("expect", element_signature(F.when(target == "arm", F.col("v")))))
-    items = F.when((target == "record") & is_object, F.map_keys(members)).when((target == "map") & is_object, solid(F.map_values(members)))
-    items = items.when((target == "tuple") & is_array, F.array(F.size(elements).cast("string")))
-    placed = F.filter(F.transform(elements, lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"))), lambda p: p["k"] != "null")
-    items = items.when((target == "order") & is_array, F.transform(placed, lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["k"])))
-    return rows.select("assertion", "target", "tolerance", "allowed", "ord", "pattern", "path", "v", F.coalesce(ok.otherwise(is_array), F.lit(False)).alias("ok"), items.alias("items"))
+    none = F.lit(None).cast("array<string>")
+    each = [
+        F.when(
+            F.col("pattern") == a.pattern,
+            F.struct(F.lit(a.id).alias("assertion"), F.lit(a.target).alias("target"), F.lit(a.tolerance).alias("tolerance"), F.lit(a.limit).cast("long").alias("allowed"), _holds(a).alias("ok"), (F.when(_holds(a), _items(a)) if a.target in LINES else none).alias("items")),
+        )
+        for a in assertions
+    ]
+    rows = _checked(docs, assertions)
+    return rows.select("ord", "pattern", "path", "v", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.*", "ord", "pattern", "path", "v")
+
+
+def exceptions(docs: DataFrame, assertions: Iterable[Assertion], keep: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(*keep, refs, pattern, path, observed, shape): values that break assertions, with the ids of all these, sorted.
+
+    Every row comes from one document alone, without tolerance or lines, so ``docs`` may be a stream.
+    """
+    assertions = sorted(assertions, key=lambda a: a.id)
+    refs = F.array_compact(F.array(*(F.when((F.col("pattern") == a.pattern) & ~_holds(a), F.lit(a.id)) for a in assertions)))
+    rows = _checked(docs, assertions, keep).withColumn("refs", refs).where(F.size("refs") > 0)
+    return rows.select(*keep, "refs", "pattern", "path", F.to_json("v").alias("observed"), element_signature(F.col("v")).alias("shape"))
 
 
 def _nth(rows: DataFrame, n: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formats
@@ -14,10 +15,12 @@ from .operators import stats
 from .operators.signatures import element_signature
 from .operators.walk import levels, values_of, walk
 from .plans.analyze import analyze
-from .plans.assertions import Assertion, violations
+from .plans.assertions import Assertion, exceptions, violations
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
 from .sources.documents import at, from_columns, from_json
+from .sources.storage import shared_dir
+from .streaming.sessions import close_open, session_events, session_stream, state_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -281,9 +284,9 @@ def shape_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(name, analyze(d).spark_type().simpleString()) for name, d in found.items()], "docs string, type string")
 
 
-def _event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as documents of many structures, numbered by their ids."""
-    e, k = table(spark, sf_dir, "events"), F.get_json_object("props", "$.k")
+def _event_json() -> Column:
+    """An event as a document of many structures."""
+    k = F.get_json_object("props", "$.k")
     is_ = lambda name: F.col("event_type") == name
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     value = F.coalesce(F.format_string("%.4f", "value"), F.lit("null"))
@@ -298,8 +301,13 @@ def _event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tags": F.when(k.cast("int") % 7 == 0, F.concat(F.lit('["t",'), k, F.lit("]"))).otherwise(F.concat(F.lit("[null,"), k, F.lit("]"))),
         "list": F.when(is_("click"), F.lit("{}")).otherwise(F.lit("[]")),
     }
-    doc = F.concat(F.lit("{"), *(x for i, (name, c) in enumerate(parts.items()) for x in (F.lit("," * (i > 0) + f'"{name}":'), c)), F.lit("}"))
-    return from_json(e.select("event_id", doc.alias("doc")), "doc", "event_id")
+    return F.concat(F.lit("{"), *(x for i, (name, c) in enumerate(parts.items()) for x in (F.lit("," * (i > 0) + f'"{name}":'), c)), F.lit("}"))
+
+
+def _event_docs(events: DataFrame) -> DataFrame:
+    """Events as documents (ord, at, config, v), numbered by their ids; the set of assertions changes on the way."""
+    config = F.concat(F.lit("v"), F.floor(F.col("event_id") / 3000).cast("string"))
+    return events.select(F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("at"), config.alias("config"), F.parse_json(_event_json()).alias("v"))
 
 
 ASSERTIONS = (
@@ -335,4 +343,47 @@ SELECT assertion, 'document' AS mode, ord, path, NULL::BIGINT AS tipped_at FROM
 UNION ALL SELECT DISTINCT assertion, 'aggregate', ord, path, (SELECT count(*) FROM items i WHERE i.assertion = b.assertion AND i.ord <= b.ord) FROM beyond b WHERE d = tolerance + 1
 """)
 def assertion_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations(_event_docs(spark, sf_dir), ASSERTIONS).select("assertion", "mode", "ord", "path", "tipped_at")
+    return violations(_event_docs(table(spark, sf_dir, "events")), ASSERTIONS).select("assertion", "mode", "ord", "path", "tipped_at")
+
+
+#: Broken often, by values of several shapes, and some by the same value.
+_STORMS = tuple(a for a in ASSERTIONS if a.target in ("type", "arm", "list")) + (Assertion("no props", ".props", "type", ("null",)),)
+_IDLE = 600
+
+_SESSIONS = r"""
+WITH e AS (SELECT event_id AS ord, epoch_ms(ts) AS ms, 'v' || (event_id // 3000) AS config, event_type AS t, user_id AS u, value, CAST(props->>'$.k' AS INT) AS k FROM events),
+x AS (
+  SELECT ord, ms, config, ['values are numbers'] AS refs, '.value' AS pattern, '"' || coalesce(printf('%.4f', value), 'null') || '"' AS observed, 'string' AS shape FROM e WHERE t = 'error'
+  UNION ALL SELECT ord, ms, config, ['lists'], '.list', '{}', '{}' FROM e WHERE t = 'click'
+  UNION ALL SELECT ord, ms, config, ['no props'], '.props', '{"k":' || k || '}', '{"k":i64}' FROM e WHERE t <> 'purchase'
+  UNION ALL SELECT ord, ms, config, ['no props', 'props have a key'], '.props', '{"k":' || k || ',"user":' || u || '}', '{"k":i64,"user":i64}' FROM e WHERE t = 'purchase'),
+b AS (SELECT *, coalesce(ms - lag(ms) OVER w > 600000 OR config <> lag(config) OVER w, true) AS starts FROM x WINDOW w AS (PARTITION BY refs, pattern ORDER BY ord)),
+n AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY refs, pattern ORDER BY ord) AS nth FROM b),
+s AS (SELECT refs, pattern, nth, min(ord) AS first, max(ord) AS last, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS occurrences, min_by(observed, ord) AS opened FROM n GROUP BY refs, pattern, nth),
+f AS (SELECT *, lead(start_ms) OVER (PARTITION BY refs, pattern ORDER BY nth) AS following FROM s),
+o AS (SELECT n.*, f.first, f.opened, row_number() OVER (PARTITION BY n.refs, n.pattern, n.nth, n.shape ORDER BY ord) = 1 AS new FROM n JOIN f USING (refs, pattern, nth))
+SELECT concat_ws('|', array_to_string(refs, '|'), pattern, first) AS session, CASE WHEN ord = first THEN 'open' WHEN new THEN 'grow' ELSE 'fit' END AS event, ord,
+  CASE WHEN ord = first OR observed <> opened THEN observed END AS observed, CASE WHEN new THEN shape END AS shape, NULL AS reason, NULL::BIGINT AS occurrences, NULL::BIGINT AS last FROM o
+UNION ALL SELECT concat_ws('|', array_to_string(refs, '|'), pattern, first), 'close', NULL, NULL, NULL,
+  CASE WHEN following - end_ms <= 600000 THEN 'config_changed' WHEN following IS NOT NULL OR end_ms + 600000 < (SELECT max(ms) FROM x) THEN 'evicted' ELSE 'stream_end' END, occurrences, last FROM f
+"""
+_SESSION_COLUMNS = ("session", "event", "ord", "observed", "shape", "reason", "occurrences", "last")
+
+
+@query(_SESSIONS)
+def exception_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a whole table."""
+    found = exceptions(_event_docs(table(spark, sf_dir, "events")), _STORMS, ("ord", "at", "config"))
+    until = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("at")).first()["at"]
+    return session_events(found, _IDLE, F.lit(until)).select(*_SESSION_COLUMNS)
+
+
+@query(_SESSIONS)
+def exception_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sessions from the table read as a stream."""
+    path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
+    found = session_stream(exceptions(_event_docs(events), _STORMS, ("ord", "at", "config")), _IDLE)
+    with state_store(spark):
+        found.writeStream.format("parquet").option("path", f"{path}/events").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/events").unionByName(close_open(spark, f"{path}/checkpoint")).select(*_SESSION_COLUMNS)
