@@ -37,6 +37,12 @@ def kind_of(schema: Column, number: Column) -> Column:
     )
 
 
+def kind(v: Column) -> Column:
+    """The kind of a variant, null where there is none."""
+    schema = F.schema_of_variant(v)
+    return F.when(F.is_variant_null(v), "null").when(v.isNotNull(), kind_of(schema, F.when(schema.startswith("DECIMAL"), F.try_variant_get(v, "$", "decimal(38,0)"))))
+
+
 def explode_level(level: DataFrame) -> DataFrame:
     """A level (ord, path, parent, step, is_index, v) with its members: pos, key, member; one row with null pos for a leaf."""
     return level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).withColumnRenamed("value", "member")

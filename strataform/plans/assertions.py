@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import parse, render
 from ..operators.locate import locate
 from ..operators.signatures import element_signature
-from ..operators.walk import KINDS, kind_of
+from ..operators.walk import KINDS, kind
 from ..sources.storage import materialize
 from .shape import RECORD_CAP
 
@@ -63,12 +63,6 @@ class Assertion:
         return {"record": self.cap, "order": 0}.get(self.target, 1)
 
 
-def kind(v: Column) -> Column:
-    """The kind of a variant."""
-    schema = F.schema_of_variant(v)
-    return F.when(F.is_variant_null(v), "null").otherwise(kind_of(schema, F.when(schema.startswith("DECIMAL"), F.try_variant_get(v, "$", "decimal(38,0)"))))
-
-
 def _checked(docs: DataFrame, assertions: list[Assertion], keep: tuple[str, ...] = ("ord",)) -> DataFrame:
     """(*keep, pattern, path, v, kind, signature): the values under the assertions' patterns."""
     rows = locate(docs, [a.pattern for a in assertions], keep).withColumn("kind", kind(F.col("v")))

@@ -16,10 +16,13 @@ from .operators.signatures import element_signature
 from .operators.walk import levels, values_of, walk
 from .plans.analyze import analyze
 from .plans.assertions import Assertion, exceptions, violations
+from .plans.predicates import Compare, Exists, IsKind, skipping
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
+from .plans.tiling import blooms, documents_of, headers, may_hold, promotion
 from .sources.documents import at, from_columns, from_json
-from .sources.storage import shared_dir
+from .sources.shredded import layout_of, read, whole, write
+from .sources.storage import materialize, shared_dir
 from .streaming.sessions import close_open, session_events, session_stream, state_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,3 +390,116 @@ def exception_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     with state_store(spark):
         found.writeStream.format("parquet").option("path", f"{path}/events").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{path}/events").unionByName(close_open(spark, f"{path}/checkpoint")).select(*_SESSION_COLUMNS)
+
+
+_EVENT_PATHS = r"""
+WITH e AS (SELECT event_id AS ord, event_id // 2048 AS tile, event_type AS t, user_id AS u, value, CAST(props->>'$.k' AS INT) AS k FROM events),
+p AS (  -- each document's paths with their kinds
+  SELECT ord, tile, '.' AS path, 'object' AS kind FROM e
+  UNION ALL SELECT ord, tile, '.type', 'string' FROM e
+  UNION ALL SELECT ord, tile, '.value', CASE WHEN t = 'error' THEN 'string' WHEN value IS NULL THEN 'null' ELSE 'f64' END FROM e
+  UNION ALL SELECT ord, tile, unnest(['.props', '.seen', '.by']), 'object' FROM e
+  UNION ALL SELECT ord, tile, '.props.k', 'i64' FROM e
+  UNION ALL SELECT ord, tile, '.props.user', 'i64' FROM e WHERE t = 'purchase'
+  UNION ALL SELECT ord, tile, '.seen."' || u || '"', 'i64' FROM e
+  UNION ALL SELECT ord, tile, '.by.' || t, CASE WHEN t = 'signup' THEN 'string' ELSE 'i64' END FROM e
+  UNION ALL SELECT ord, tile, unnest(['.pair', '.nums', '.tags']), 'array' FROM e
+  UNION ALL SELECT ord, tile, '.pair[*]', unnest(['i64', 'string']) FROM e
+  UNION ALL SELECT ord, tile, '.nums[*]', 'i64' FROM e, range(2) r(i) WHERE i < k % 3
+  UNION ALL SELECT ord, tile, '.tags[*]', unnest(['i64', CASE WHEN k % 7 = 0 THEN 'string' ELSE 'null' END]) FROM e
+  UNION ALL SELECT ord, tile, '.list', CASE WHEN t = 'click' THEN 'object' ELSE 'array' END FROM e),
+h AS (SELECT tile, path, count(DISTINCT ord) AS n, count(DISTINCT ord) FILTER (kind = 'null') AS n_null FROM p GROUP BY tile, path),
+k AS (SELECT tile, path, kind, count(*) AS n FROM p GROUP BY tile, path, kind),
+d AS (SELECT tile, count(*) AS docs FROM e GROUP BY tile)
+"""
+
+
+def _event_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headers(_event_docs(table(spark, sf_dir, "events")).select("ord", "v"))
+
+
+@query(_EVENT_PATHS + "SELECT tile, path, docs, n, n_null, (SELECT string_agg(kind || ':' || k.n, ',' ORDER BY kind) FROM k WHERE k.tile = h.tile AND k.path = h.path) AS kinds FROM h JOIN d USING (tile)")
+def tile_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return _event_headers(spark, sf_dir).select("tile", "path", "docs", "n", "n_null", kinds.alias("kinds"))
+
+
+@query(_EVENT_PATHS + "SELECT tile, path, ord FROM p WHERE path LIKE '%user%' OR path LIKE '.by%' OR path = '.nums[*]' GROUP BY ALL")
+def tile_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that some paths are in, out of the presence bitmaps."""
+    some = F.col("path").contains("user") | F.col("path").startswith(".by") | (F.col("path") == ".nums[*]")
+    return documents_of(_event_headers(spark, sf_dir).where(some))
+
+
+@query(_EVENT_PATHS + "SELECT tile, count(*) AS n_paths, 0 AS missed, true AS few_false FROM h GROUP BY tile")
+def tile_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bloom filters of tiles asked for all their paths and as many that they don't have: none is missed, few are let through."""
+    held = materialize(_event_headers(spark, sf_dir).select("tile", "path"))
+    asked = held.select("tile", F.explode(F.array(F.struct("path", F.lit(True).alias("has")), F.struct(F.concat("path", F.lit(".no")).alias("path"), F.lit(False).alias("has")))).alias("x")).select("tile", "x.*")
+    answers = asked.join(blooms(held), "tile").withColumn("may", may_hold(F.col("path")))
+    found = answers.groupBy("tile", "n_paths").agg(F.count_if(F.col("has") & ~F.col("may")).alias("missed"), F.count_if(~F.col("has") & F.col("may")).alias("false"))
+    return found.select("tile", "n_paths", "missed", (F.col("false") <= 0.05 * F.col("n_paths")).alias("few_false"))
+
+
+_PROMOTED = """
+, s AS (SELECT path, kind, sum(n)::BIGINT AS n, (SELECT count(*) FROM e) AS docs FROM k WHERE kind IN ('bool', 'i64', 'u64', 'f64', 'string') AND path NOT LIKE '%[%' GROUP BY path, kind),
+c AS (SELECT path, kind, count(*) AS tiles FROM k JOIN d USING (tile) WHERE k.n > 0.6 * docs GROUP BY path, kind),
+plan AS (SELECT path, kind, n, docs, coalesce(tiles, 0) AS tiles FROM s LEFT JOIN c USING (path, kind) WHERE n > 0.6 * docs)
+"""
+
+
+@query(_EVENT_PATHS + _PROMOTED + "SELECT * FROM plan")
+def promotion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return promotion(_event_headers(spark, sf_dir))
+
+
+@query(_EVENT_PATHS + _PROMOTED + """
+SELECT path, kind, CASE WHEN path = '.value' THEN (SELECT count(*) FROM e WHERE t <> 'error' AND value_text NOT LIKE '%.0000') ELSE n END AS in_column, docs, 0 AS differing FROM plan
+""".replace("value_text", "printf('%.4f', value)"))
+def shredded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in columns and residuals by their promotion plan, read back and compared as JSON. Whole numbers
+    among decimals stay in the residual, as a double would be written as another text."""
+    docs = _event_docs(table(spark, sf_dir, "events")).select("ord", "v")
+    path = f"{shared_dir(spark)}/shredded-{uuid.uuid4().hex}"
+    write(docs, layout_of(promotion(headers(docs))), path)
+    rows, layout = read(spark, path)
+    back = whole(rows, layout).select("ord", F.to_json("v").alias("back"))
+    pairs = docs.select("ord", F.to_json("v").alias("own")).join(back, "ord", "full")
+    differing = pairs.agg(F.count_if(~F.col("own").eqNullSafe(F.col("back"))).alias("differing"))
+    counts = rows.agg(F.count("*").alias("docs"), *(F.count(f"c{i}").alias(f"c{i}") for i in range(len(layout.columns))))
+    each = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.col(f"c{i}").alias("in_column")) for i, (p, k) in enumerate(layout.columns)))
+    return counts.select("docs", F.explode(each).alias("x")).join(F.broadcast(differing), F.lit(True)).select("x.*", "docs", "differing")  # one row each
+
+
+_FACTS = ((".", "object"), (".value", ""), (".value", "f64"), (".value", "string"), (".props", "object"), (".props.user", ""), (".by.click", ""), (".by.signup", ""), (".list", "object"), (".nums[0]", ""))
+PREDICATES = {
+    "purchases of user 7": Compare(".props.user", "=", 7),
+    "text values": IsKind(".value", "string"),
+    "no text values": ~IsKind(".value", "string"),
+    "click or signup": Exists(".by.click") | Exists(".by.signup"),
+    "neither": ~(Exists(".by.click") | Exists(".by.signup")),
+    "click below 10": Exists(".by.click") & Compare(".by.click", "<", 10),
+    "not below 10": ~Compare(".by.click", "<", 10),
+    "k or type": Compare(".props.k", ">=", 90) | Compare(".type", "=", "view"),
+    "some number": Exists(".nums[0]") & ~Exists(".props.user"),
+    "dear": Compare(".value", ">", 40.5) & ~IsKind(".list", "object"),
+}
+
+
+@query("""
+WITH e AS (SELECT event_type AS t, user_id AS u, CAST(printf('%.4f', value) AS DOUBLE) AS value, CAST(props->>'$.k' AS INT) AS k FROM events),
+m AS (
+  SELECT 'purchases of user 7' AS predicate, t = 'purchase' AND u = 7 AS hit FROM e UNION ALL SELECT 'text values', t = 'error' FROM e UNION ALL SELECT 'no text values', t <> 'error' FROM e
+  UNION ALL SELECT 'click or signup', t IN ('click', 'signup') FROM e UNION ALL SELECT 'neither', t NOT IN ('click', 'signup') FROM e
+  UNION ALL SELECT 'click below 10', t = 'click' AND k < 10 FROM e UNION ALL SELECT 'not below 10', NOT (t = 'click' AND k < 10) FROM e
+  UNION ALL SELECT 'k or type', k >= 90 OR t = 'view' FROM e UNION ALL SELECT 'some number', k % 3 > 0 AND t <> 'purchase' FROM e
+  UNION ALL SELECT 'dear', t NOT IN ('error', 'click') AND value > 40.5 FROM e)
+SELECT predicate, count(*) AS rows, count(*) FILTER (hit) AS hits, 0 AS missed FROM m GROUP BY predicate
+""")
+def predicate_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tests on sidecars let through of a stored table: every match."""
+    docs = _event_docs(table(spark, sf_dir, "events")).select("ord", "v")
+    path = f"{shared_dir(spark)}/shredded-{uuid.uuid4().hex}"
+    write(docs, layout_of(promotion(headers(docs)), _FACTS), path)
+    rows, layout = read(spark, path)
+    return skipping(rows, PREDICATES, layout).select("predicate", "rows", "hits", "missed")
