@@ -19,7 +19,10 @@ from .plans.assertions import Assertion, exceptions, violations
 from .plans.predicates import Compare, Exists, IsKind, skipping
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
+from .plans.stored import from_nodes, nodes
 from .plans.tiling import blooms, documents_of, headers, may_hold, promotion
+from .sources.decoders import JsonLines as Decoder
+from .sources.decoders import records
 from .sources.documents import at, from_columns, from_json
 from .sources.shredded import layout_of, read, whole, write
 from .sources.storage import materialize, shared_dir
@@ -503,3 +506,60 @@ def predicate_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(docs, layout_of(promotion(headers(docs)), _FACTS), path)
     rows, layout = read(spark, path)
     return skipping(rows, PREDICATES, layout).select("predicate", "rows", "hits", "missed")
+
+
+@query(r"""
+WITH e AS (SELECT event_id AS ord, event_type AS t, user_id AS u, value, CAST(props->>'$.k' AS INT) AS k FROM events),
+n AS (SELECT count(*) AS n, count(*) FILTER (t = 'purchase') AS purchases, count(*) FILTER (t <> 'error' AND value IS NULL) AS nulls,
+        count(*) FILTER (t <> 'error' AND value IS NOT NULL) AS numbers, count(*) FILTER (t = 'error') AS texts, count(*) FILTER (t = 'view') AS views, count(*) FILTER (k % 7 = 0) AS tagged FROM e),
+-- users that came after the first 64 are counted together
+late AS (SELECT u FROM (SELECT u, row_number() OVER (ORDER BY min(ord), u::VARCHAR) AS r FROM e GROUP BY u) WHERE r > 64),
+rows AS (
+  SELECT '.' AS path, 'record' AS kind, NULL AS of, NULL::BOOLEAN AS nullable, n AS count FROM n
+  UNION ALL SELECT '.type', 'type', 'string', false, n FROM n
+  UNION ALL SELECT '.value', 'variant', NULL, nulls > 0, n FROM n
+  UNION ALL SELECT '.value|null', 'type', 'null', NULL, nulls FROM n WHERE nulls > 0
+  UNION ALL SELECT '.value|f64', 'type', 'f64', NULL, numbers FROM n
+  UNION ALL SELECT '.value|string', 'type', 'string', NULL, texts FROM n
+  UNION ALL SELECT '.props', 'record', NULL, false, n FROM n
+  UNION ALL SELECT '.props.k', 'type', 'i64', false, n FROM n
+  UNION ALL SELECT '.props.user', 'type', 'i64', true, purchases FROM n
+  UNION ALL SELECT '.seen', 'map', NULL, false, n FROM n
+  UNION ALL SELECT '.seen.*', 'type', 'i64', NULL, count(*) FROM e WHERE u IN (SELECT u FROM late)
+  UNION ALL SELECT '.by', 'record', NULL, false, n FROM n
+  UNION ALL SELECT '.by.' || t, 'type', CASE WHEN t = 'signup' THEN 'string' ELSE 'i64' END, true, count(*) FROM e GROUP BY t
+  UNION ALL SELECT '.pair', 'tuple', NULL, false, n FROM n
+  UNION ALL SELECT unnest(['.pair[0]', '.pair[1]']), 'variant', NULL, NULL, n FROM n
+  UNION ALL SELECT '.pair[0]|i64', 'type', 'i64', NULL, n - views FROM n
+  UNION ALL SELECT '.pair[0]|string', 'type', 'string', NULL, views FROM n
+  UNION ALL SELECT '.pair[1]|i64', 'type', 'i64', NULL, views FROM n
+  UNION ALL SELECT '.pair[1]|string', 'type', 'string', NULL, n - views FROM n
+  UNION ALL SELECT '.nums', 'array', NULL, false, n FROM n
+  UNION ALL SELECT '.nums[*]', 'type', 'i64', NULL, 0
+  UNION ALL SELECT '.tags', 'tuple', NULL, false, n FROM n
+  UNION ALL SELECT '.tags[0]', 'variant', NULL, NULL, n FROM n
+  UNION ALL SELECT '.tags[0]|null', 'type', 'null', NULL, n - tagged FROM n
+  UNION ALL SELECT '.tags[0]|string', 'type', 'string', NULL, tagged FROM n
+  UNION ALL SELECT '.tags[1]', 'type', 'i64', NULL, n FROM n
+  UNION ALL SELECT '.list', 'variant', NULL, false, n FROM n
+  UNION ALL SELECT unnest(['.list|record', '.list|array']), unnest(['record', 'array']), NULL, NULL, n FROM n
+  UNION ALL SELECT '.list|array[*]', 'absent', NULL, NULL, 0)
+SELECT * FROM rows
+""")
+def shape_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of events, a row for each node, written as a table and read back."""
+    found = analyze(_event_docs(table(spark, sf_dir, "events")).select("ord", "v"))
+    kept = materialize(nodes(spark, found.shape))
+    return nodes(spark, from_nodes(kept)).select("path", "kind", "of", "nullable", "count")
+
+
+@query("""
+SELECT event_type AS type, count(*) AS n, sum(user_id)::BIGINT AS users, sum(CAST(props->>'$.k' AS INT))::BIGINT AS k FROM events GROUP BY 1
+""")
+def decoded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as lines of JSON and read by a decoder in splits of 256 KiB."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select(F.to_json(F.struct("event_type", "user_id", "props"))).write.text(path)
+    v = records(spark, path, Decoder(), split=1 << 18).select(F.parse_json("record").alias("v"))
+    found = v.select(*(F.try_variant_get("v", f"$.{c}", t).alias(c) for c, t in (("event_type", "string"), ("user_id", "long"), ("props", "string"))))
+    return found.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
