@@ -17,6 +17,7 @@ from .operators.walk import levels, values_of, walk
 from .plans.analyze import analyze
 from .plans.assertions import Assertion, exceptions, violations
 from .plans.predicates import Compare, Exists, IsKind, skipping
+from .plans.relation import leaves, relation, tile_statistics
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
 from .plans.stored import from_nodes, nodes
@@ -563,3 +564,26 @@ def decoded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = records(spark, path, Decoder(), split=1 << 18).select(F.parse_json("record").alias("v"))
     found = v.select(*(F.try_variant_get("v", f"$.{c}", t).alias(c) for c, t in (("event_type", "string"), ("user_id", "long"), ("props", "string"))))
     return found.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.sum("user_id").alias("users"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+@query(_EVENT_PATHS + r"""
+, v AS (
+  SELECT ord, '.type' AS path, t AS text FROM e
+  UNION ALL SELECT ord, '.value', CASE WHEN t = 'error' THEN 'text' ELSE '' END || coalesce(printf('%.4f', value), 'null') FROM e
+  UNION ALL SELECT ord, '.props.k', k::VARCHAR FROM e
+  UNION ALL SELECT ord, '.props.user', u::VARCHAR FROM e WHERE t = 'purchase'
+  UNION ALL SELECT ord, '.by.' || t, k::VARCHAR FROM e
+  UNION ALL SELECT ord, '.pair[*]', unnest([k::VARCHAR, t]) FROM e
+  UNION ALL SELECT ord, '.nums', '[]' FROM e WHERE k % 3 = 0
+  UNION ALL SELECT ord, '.nums[*]', k::VARCHAR FROM e, range(2) r(i) WHERE i < k % 3
+  UNION ALL SELECT ord, '.tags[*]', unnest([k::VARCHAR, CASE WHEN k % 7 = 0 THEN 't' ELSE 'null' END]) FROM e
+  UNION ALL SELECT ord, '.list', CASE WHEN t = 'click' THEN '{}' ELSE '[]' END FROM e)
+SELECT path, count(*) AS n, max(ord) AS last, count(DISTINCT text) AS distinct_values, true AS near FROM v GROUP BY path
+""")
+def relation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and sketches of events' most frequent paths, and how near the sketches are to exact counts."""
+    docs = materialize(_event_docs(table(spark, sf_dir, "events")).select("ord", "v"))
+    shown = relation(tile_statistics(docs)).where(~F.col("path").startswith(".seen."))
+    exact = leaves(docs).groupBy("path").agg(F.count_distinct("text").alias("distinct_values"))
+    near = F.abs(F.col("distinct") - F.col("distinct_values")) <= F.greatest(F.lit(1.0), 0.06 * F.col("distinct_values"))
+    return shown.join(exact, "path").select("path", "n", "last", "distinct_values", near.alias("near"))
