@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .functions import formats
 from .functions.times import TimeInterpreter, ulid, uuid_v7, within
 from .operators import stats
+from .operators.moments import by_form, evidence, moment_table
+from .operators.moments import quantiles as moment_quantiles
 from .operators.signatures import element_signature
 from .operators.walk import levels, values_of, walk
 from .plans.analyze import analyze
@@ -587,3 +589,26 @@ def relation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = leaves(docs).groupBy("path").agg(F.count_distinct("text").alias("distinct_values"))
     near = F.abs(F.col("distinct") - F.col("distinct_values")) <= F.greatest(F.lit(1.0), 0.06 * F.col("distinct_values"))
     return shown.join(exact, "path").select("path", "n", "last", "distinct_values", near.alias("near"))
+
+
+def _moment_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' times, in the form that their type uses."""
+    us, text = F.unix_micros(F.col("ts").cast("timestamp")), lambda f: F.concat(F.lit('"'), F.date_format("ts", f), F.lit('"'))
+    at_ = F.when(F.col("event_type") == "view", text("yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'")).when(F.col("event_type") == "click", text("yyyy-MM-dd HH:mm:ss")).when(F.col("event_type") == "error", F.floor(us / 1000).cast("string"))
+    at_ = at_.when(F.col("event_type") == "signup", F.concat(F.lit('"'), F.floor(us / 1000000).cast("string"), F.lit('"'))).otherwise(us.cast("string"))
+    doc = F.concat(F.lit('{"at":'), at_, F.lit(',"type":"'), F.col("event_type"), F.lit('","user":'), F.col("user_id").cast("string"), F.lit("}"))
+    return walk(from_json(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "doc", "event_id"))
+
+
+@query("""
+WITH e AS (SELECT event_type AS t, epoch_us(ts) AS us FROM events),
+m AS (SELECT CASE WHEN t IN ('view', 'click') THEN 'text' WHEN t = 'signup' THEN 'digits' ELSE 'number' END AS source, CASE WHEN t IN ('view', 'error') THEN 'ms' WHEN t IN ('click', 'signup') THEN 's' ELSE 'us' END AS resolution,
+  CASE t WHEN 'view' THEN 'zoned' WHEN 'click' THEN 'naive' END AS zone,
+  CASE t WHEN 'view' THEN us // 1000 * 1000 - 7200000000 WHEN 'error' THEN us // 1000 * 1000 WHEN 'purchase' THEN us ELSE us // 1000000 * 1000000 END AS us FROM e),
+h AS (SELECT us // 3600000000 AS hour, count(*) AS n FROM m GROUP BY 1), r AS (SELECT hour, sum(n) OVER (ORDER BY hour) AS upto, sum(n) OVER () AS total FROM h)
+SELECT '.at' AS path, source, resolution, zone, count(*) AS n, min(us) AS first, max(us) AS last, (SELECT min(hour) * 3600000000 + 1800000000 FROM r WHERE upto >= ceil(0.5 * total)) AS median FROM m GROUP BY source, resolution, zone
+""")
+def timestamp_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(moment_table(evidence(_moment_values(spark, sf_dir))))
+    median = moment_quantiles(found, [0.5]).select("path", F.unix_micros("at").alias("median"))
+    return by_form(found).join(median, "path")
