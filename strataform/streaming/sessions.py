@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.storage import materialize
+
 #: ``observed`` of a delta is null where it is what the session was opened with; ``shape`` is the occurrence's at open and
 #: grow; close has the counts.
 EVENT = "session string, event string, refs array<string>, pattern string, ord long, path string, observed string, shape string, reason string, occurrences long, first long, last long"
@@ -127,7 +129,7 @@ def session_events(found: DataFrame, idle_seconds: int, until: Column | None = N
     until: the last moment that was looked at; a session idle since before then counts as evicted, others as open to the
     end. Without it every cluster's last session is open to the end.
     """
-    rows = _numbered(found.withColumn("idle_ms", F.lit(idle_seconds * 1000)))
+    rows = _numbered(materialize(found).withColumn("idle_ms", F.lit(idle_seconds * 1000)))  # read several times
     session, at = ("refs", "pattern", "nth"), F.struct("ord", "path")
     whole = rows.groupBy(*session).agg(F.min_by(F.struct("ord", "path", "observed", "ms"), at).alias("opened"), F.max_by("ms", at).alias("end_ms"), F.max("ord").alias("last"), F.count("*").alias("occurrences"))
     whole = whole.withColumn("session", F.concat_ws("|", "refs", "pattern", F.col("opened.ord")))
