@@ -16,6 +16,7 @@ from .operators.moments import by_form, evidence, moment_table
 from .operators.moments import quantiles as moment_quantiles
 from .operators.signatures import element_signature
 from .operators.walk import levels, values_of, walk
+from .plans import itemsets
 from .plans.analyze import analyze
 from .plans.assertions import Assertion, exceptions, violations
 from .plans.predicates import Compare, Exists, IsKind, skipping
@@ -447,6 +448,41 @@ def tile_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tile", "n_paths", "missed", (F.col("false") <= 0.05 * F.col("n_paths")).alias("few_false"))
 
 
+#: Sets of frequent paths by document; the sets that intersections of them make, of which the frequent and largest are kept.
+_PATH_SETS = """
+, fp AS (SELECT path, count(DISTINCT ord) AS n FROM p WHERE path <> '.' GROUP BY path HAVING count(DISTINCT ord) >= (SELECT ceil(count(*) * 0.1) FROM e)),
+ds AS (SELECT ord, list_sort(list(DISTINCT path)) AS own FROM p WHERE path IN (SELECT path FROM fp) GROUP BY ord),
+w AS (SELECT own, count(*) AS n FROM ds GROUP BY own),
+closed AS (SELECT own FROM w UNION SELECT list_sort(list_intersect(c.own, w.own)) FROM closed c, w),
+counted AS (SELECT c.own AS paths, sum(w.n)::BIGINT AS n FROM closed c, w WHERE list_has_all(w.own, c.own) GROUP BY c.own HAVING sum(w.n) >= (SELECT ceil(count(*) * 0.1) FROM e)),
+largest AS (SELECT row_number() OVER (ORDER BY n DESC, paths) - 1 AS set_id, n, paths FROM counted a WHERE NOT EXISTS (FROM counted b WHERE b.paths <> a.paths AND list_has_all(b.paths, a.paths))),
+part AS (SELECT own, coalesce(list_sort(list(x) FILTER (x NOT IN (SELECT path FROM fp WHERE n = (SELECT count(*) FROM e)))), []) AS rare FROM (SELECT own, unnest(own) AS x FROM w) GROUP BY own),
+fits AS (SELECT own, arg_min(set_id, (-len(list_intersect(rare, paths)), len(paths), set_id)) AS set_id FROM part, largest WHERE list_has_any(rare, paths) GROUP BY own),
+placed AS (SELECT ord, ds.own, ord // 16384 * 16384 + row_number() OVER (PARTITION BY ord // 16384 ORDER BY set_id NULLS LAST, CASE WHEN len(rare) > 0 THEN md5(array_to_string(rare, chr(10))) END NULLS LAST, ord) - 1 AS place FROM ds JOIN part USING (own) LEFT JOIN fits USING (own))
+"""
+
+
+def _event_path_sets(spark: SparkSession, sf_dir: str) -> itemsets.PathSets:
+    return itemsets.mine(_event_docs(table(spark, sf_dir, "events")).select("ord", "v"), 0.1)
+
+
+@query(_EVENT_PATHS.replace("WITH", "WITH RECURSIVE", 1) + _PATH_SETS + "SELECT set_id::INTEGER AS set_id, n, array_to_string(paths, ',') AS paths FROM largest")
+def frequent_path_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal sets of paths that a tenth of the events hold together."""
+    return _event_path_sets(spark, sf_dir).sets.select("set_id", "n", F.array_join("paths", ",").alias("paths"))
+
+
+@query(
+    _EVENT_PATHS.replace("WITH", "WITH RECURSIVE", 1) + _PATH_SETS
+    + """, old AS (SELECT ord // 2048 AS tile, count(DISTINCT own) AS before FROM placed GROUP BY 1), new AS (SELECT place // 2048 AS tile, count(*) AS docs, count(DISTINCT own) AS after FROM placed GROUP BY 1)
+SELECT tile, coalesce(docs, 0) AS docs, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM old FULL JOIN new USING (tile)"""
+)
+def tile_reordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different path sets in each tile before and after events move to others of their kind among eight tiles."""
+    mined = _event_path_sets(spark, sf_dir)
+    return itemsets.kinds_of_tiles(mined, itemsets.reordered(mined))
+
+
 _PROMOTED = """
 , s AS (SELECT path, kind, sum(n)::BIGINT AS n, (SELECT count(*) FROM e) AS docs FROM k WHERE kind IN ('bool', 'i64', 'u64', 'f64', 'string') AND path NOT LIKE '%[%' GROUP BY path, kind),
 c AS (SELECT path, kind, count(*) AS tiles FROM k JOIN d USING (tile) WHERE k.n > 0.6 * docs GROUP BY path, kind),
