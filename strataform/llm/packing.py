@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, materialize, process_cache, tidy
 
-#: Tokens of a window, pieces in a combination at most, rounds of the solver, pieces numbered together.
-WINDOW, DEPTH, ROUNDS, TOGETHER = 1024, 3, 12, 2048
+#: Tokens of a window, pieces in a combination at most, pieces numbered together.
+WINDOW, DEPTH, TOGETHER = 1024, 3, 2048
 #: Rows of the table of first ranks up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Characters on which all tokenizers' classes of letters, digits and blanks agree.
@@ -74,16 +74,49 @@ def combinations(window: int) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], axis=1)
 
 
-def solve(histogram: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def _dropped(gram: np.ndarray, target: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns stay, and their fit: the clearly negative ones go together, then the rest is solved anew."""
+    keep = np.arange(len(target))
+    while len(keep):
+        x = np.linalg.solve(gram[np.ix_(keep, keep)], target[keep])
+        if (x > 0).all():
+            return keep, x
+        stay = x > min(0.0, x.min() * 0.1)
+        keep = keep[x > 0] if stay.all() else keep[stay]
+    return keep, at[:0]
+
+
+def _towards(gram: np.ndarray, target: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which columns stay, and their fit: from ``at`` towards it, as far as no count is negative, and so on without these."""
+    keep = np.arange(len(target))
+    while len(keep):
+        goal = np.linalg.solve(gram[np.ix_(keep, keep)], target[keep])
+        low = goal <= 0
+        if not low.any():
+            return keep, goal
+        if (at[low] > 0).all():
+            at = at + (at[low] / (at[low] - goal[low])).min() * (goal - at)
+        stay = ~low | (at > 1e-12)
+        keep, at = keep[stay], at[stay]
+    return keep, at
+
+
+def solve(histogram: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Combinations and their real repeat counts: the least squares fit to ``histogram`` without negative counts.
 
-    Active sets, grown by many combinations at a time: in each round those of the largest gradient that share no length.
+    Active sets as Lawson and Hanson's, grown by many combinations at a time: in each round those of the largest gradient
+    that share no length. At first what would be negative is dropped at once, as long as the error falls; from then on every
+    step goes towards the fit of the active set until a count would be negative, so the error never grows, and a round
+    without gain is followed by one of the largest gradient alone. It ends at the optimum, where no combination has a
+    gradient above 1e-7 of the largest count.
     """
     h = histogram.astype(float)
     all_ = combinations(window)
     all_ = all_[((h[all_] > 0) | (all_ == 0)).all(axis=1)]
     h[0] = 0.0
-    active, best, best_x, error = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), float(h @ h)
+    least = 1e-7 * max(1.0, h.max())
+    active, x, error = np.empty(0, np.int64), np.empty(0), float(h @ h)
+    careful = single = False
 
     def columns(idx: np.ndarray) -> np.ndarray:
         m = np.zeros((window + 1, len(idx)))
@@ -93,36 +126,35 @@ def solve(histogram: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) ->
         return m
 
     residual = h.copy()
-    for _ in range(rounds):
+    while len(all_):
         gradient = residual[all_].sum(axis=1)
-        gradient[gradient <= 1e-9 * max(1.0, h.max())] = 0.0
-        order = np.argsort(-gradient, kind="stable")[: 8 * window]
+        gradient[active] = 0.0
+        order = np.argsort(-gradient, kind="stable")[: 1 if single else 8 * window]
         used, add = np.zeros(window + 1, bool), []
         for i, row in zip(order.tolist(), all_[order].tolist(), strict=True):
-            if not gradient[i]:
+            if gradient[i] <= least:
                 break
-            if not any(used[x] for x in row if x):
+            if not any(used[v] for v in row if v):
                 add.append(i)
                 used[row] = True
-        trial = np.union1d(active, np.array(add, dtype=np.int64))
-        if len(trial) == len(active):
+        if not add:
             break
-        while len(trial):
-            m = columns(trial)
-            x = np.linalg.solve(m.T @ m + 1e-6 * np.eye(len(trial)), m.T @ h)
-            if (x > 0).all():
-                break
-            trial = trial[x > min(0.0, x.min() * 0.1)]  # the clearly negative ones go, then the rest is solved anew
-            trial = trial if len(trial) < len(x) else trial[x > 0]
-        if not len(trial):
-            break
-        residual = h - m @ x
-        now, active = float(residual @ residual), trial
-        if now < error:
-            gain, best, best_x, error = error - now, trial, x, now
-            if gain < 0.01 * error:
-                break
-    return all_[best], best_x
+        trial, at = np.concatenate((active, add)), np.concatenate((x, np.zeros(len(add))))
+        m = columns(trial)
+        gram, target = m.T @ m + 1e-9 * np.eye(len(trial)), m.T @ h
+        keep, at = (_towards if careful else _dropped)(gram, target, at)
+        trial = trial[keep]
+        left = h - columns(trial) @ at
+        now = float(left @ left)
+        if now < error * (1 - 1e-12):
+            active, x, residual, error, single = trial, at, left, now, False
+        elif not careful:
+            careful = True
+        elif not single:
+            single = True
+        else:
+            break  # no gain within the precision of numbers
+    return all_[active], x
 
 
 class Plan:
