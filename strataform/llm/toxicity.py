@@ -1,27 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models, toxic and ordinary, of how a word goes on from the word before it. In each class a
-bigram's discounted count (of the texts that have it) backs off to the word's continuation count in the class (the
-different words that it was seen to follow), that to the continuation count of the word's beginning (STEM bytes) in the
-class, that to the beginnings of both classes together and those to an even share; how a beginning's share is spread
-over its words is one estimate from both classes. Every word of a text counts, with P(word | word before) of both models.
-
-The share that goes to a lower order is the larger one of both classes, so that a class with fewer texts isn't told
-apart by its backing off more often. As in modified Kneser-Ney the discount depends on the count: min(count, DEVIATIONS
-of its order * sqrt(count)), a multiple of the count's sampling error. So what is rare in both classes is left to the
-shared counts and hardly tells the classes apart; in the plain form, with one discount, each class's own share of the
-lower order and no median taken away, chance counts outweigh the rest (AUC 0.73 against 0.997 on documents held out). A
-language or subject that has another share of the
-toxic texts than of the ordinary ones adds the same to every word of a text, so the text's median difference, up to
-COMMON, is taken away. The score is a logistic function of the difference of the two log-likelihoods per word that is
-left.
-
-Training is on a bounded sample: PER_CLASS different labelled texts a class picked by a hash, four fifths for the counts
-and the rest for the logistic function.
+Each class, toxic and ordinary, has an interpolated modified Kneser-Ney model of trigrams, bigrams and words. A trigram's
+count backs off to the bigram's continuation count in the class (the different words it was seen to follow), that to the
+word's continuation count in the class, and that to shared counts and an even share, which both models have in common: the
+shared count of a word is the number of different words that it was seen to follow in both classes, so that what is rare
+in both is left to the same estimate, and what one class alone has doesn't count for the other. The three
+discounts of each order and class are those of the counts of counts n1 to n4: with y = n1 / (n1 + 2 n2), 1 - 2 y n2 / n1,
+2 - 3 y n3 / n2 and 3 - 4 y n4 / n3 for counts of one, two and three or more, within 0 and 1, 2, 3; where n3 or n4 is
+zero all three are y, where n1 or n2 is they are FALLBACK. Every n-gram counts and every word of a text is scored.
+
+A toxic text is for the most part ordinary language, so its words are taken to come from a mixture, a share of them from
+the toxic model and the rest from the ordinary one. The text's log-likelihood under the mixture minus that under the
+ordinary model, per word, is taken with the models of one, two and three words. The three are measured from the ordinary
+texts' median, in median deviations, on an arcsinh scale, as a few texts have very many toxic words; a logistic function of
+them gives the score. The share (one of SHARES), the medians and the function, with no negative weight, are fitted on
+labelled rows that the counts leave alone, by the least loss with classes weighing alike.
+
+Training is on a bounded sample: of the different labelled texts of a class (of at most LONGEST bytes each) the least
+hashes in each of SALTS ranges of hashes, PER_CLASS in all at most, then the first of them by hash that have TRAIN_BYTES
+together; four fifths for the counts and the rest for share and function.
 
 Defined cases: a document without words (null included) gets the score of difference 0; of several labels of one id the
 largest counts, null labels none; a text that has both labels counts in both classes; without samples of both classes
-every score is next to 0; repeated rows are rows like others; other columns are kept; an empty table gives no rows.
+every score is 0; repeated rows are rows like others; other columns are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,181 +34,220 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bucket_of, forget, lean, materialize, mix, share, shared, tidy, word_hashes
 
-#: Sampled texts a class, bytes of a word's beginning, and the standard errors that are discounted from a count of each order.
-PER_CLASS, STEM, DEVIATIONS = 2000, 4, (8.0, 4.0, 1.0)
-#: What the text's median word may take away from each word, at most, either way.
-COMMON = 0.5
-#: Bytes hashed at once, and the word before the first.
-PIECE, START = 1 << 19, 1
-PAIR, WORD, BEGINNING = range(3)
+#: Sampled texts a class, ranges of hashes they come from, bytes of one and of all of a class's texts.
+PER_CLASS, SALTS, LONGEST, TRAIN_BYTES = 2048, 64, 1 << 20, 8 << 20
+#: What the toxic model's share in the mixture may be, and the discount where counts of counts give none.
+SHARES, FALLBACK = (0.1, 0.03, 0.01, 0.003), 0.5
+#: Words scored at once, and the word before the first.
+STEP, START = 1 << 17, 1
 
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def units(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of letters, A-Z as a-z) of one text, and of their beginnings."""
-    text = text.translate(_TABLE)
-    words, stems, at = [], [], 0
-    while at < len(text):
-        end = at + PIECE
-        end = len(text) if end >= len(text) else (text.find(b" ", end) if text.find(b" ", end) >= 0 else len(text))
-        piece = text[at:end]
-        words.append(word_hashes(piece, lower=False))
-        raw = np.frombuffer(b" " + piece + b" " * STEM, dtype=np.uint8)
-        start = np.flatnonzero((raw[1:] != 32) & (raw[:-1] == 32)) + 1
-        stem, on = np.zeros(len(start), dtype=np.uint64), np.ones(len(start), dtype=bool)
-        for i in range(STEM):
-            on &= raw[start + i] != 32
-            stem = (stem << np.uint64(8)) | np.where(on, raw[start + i], 0).astype(np.uint64)
-        stems.append(mix(stem))
-        at = end
-    none = np.empty(0, np.uint64)
-    return (np.concatenate(words), np.concatenate(stems)) if words else (none, none)
-
-
-def discount(counts: np.ndarray, order: int) -> np.ndarray:
-    """What is taken from each count of an order (PAIR, WORD, BEGINNING) for the lower one."""
-    return np.minimum(counts, DEVIATIONS[order] * np.sqrt(counts))
-
-
-class Table:
-    """Columns of numbers by sorted key; a key that isn't there has zeros."""
-
-    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
-        self.keys, self.columns = keys, [np.append(c, 0).astype(np.int64) for c in columns]
-
-    def find(self, x: np.ndarray) -> list[np.ndarray]:
-        at = np.searchsorted(self.keys, x)
-        at[(at == len(self.keys)) | (np.append(self.keys, np.uint64(0))[at] != x)] = len(self.keys)
-        return [c[at] for c in self.columns]
+def words_of(text: bytes) -> np.ndarray:
+    """Hashes of the words (runs of letters, A-Z as a-z) of one text."""
+    return word_hashes(text.translate(_TABLE), lower=False)
+
+
+def trigrams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of each text: the word two before, the one before, and the word."""
+    w = np.concatenate([*texts, np.empty(0, np.uint64)])
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    starts = starts[[len(t) > 0 for t in texts]]
+    v = np.roll(w, 1)
+    v[starts] = START
+    u = np.roll(v, 1)
+    u[starts] = START
+    return u, v, w
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) ^ b)
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken from a count of none, one, two, and three or more."""
+    n1, n2, n3, n4 = (int((counts == i).sum()) for i in (1, 2, 3, 4))
+    if not (n1 and n2):
+        return np.array([0, FALLBACK, FALLBACK, FALLBACK])
+    y = n1 / (n1 + 2 * n2)
+    if not (n3 and n4):
+        return np.array([0, y, y, y])
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
+
+
+class Index:
+    """Where a key is among sorted different hashes; their leading bits lead to it. len(keys) if it isn't there."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys), 2).bit_length()
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.heads = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        top = (x >> self.shift).astype(np.int64)
+        at, end = self.heads[top], self.heads[top + 1]
+        out = np.full(len(x), len(self.keys), dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.keys[at] == x[left]
+            out[left[hit]] = at[hit]
+            at += 1
+            go = ~hit & (at < end)
+            left, at, end = left[go], at[go], end[go]
+        return out
 
 
-def _grouped(keys: np.ndarray, *columns: np.ndarray) -> Table:
-    own, at = np.unique(keys, return_inverse=True)
-    return Table(own, *(np.bincount(at, weights=c, minlength=len(own)) for c in columns))
+class Order:
+    """Counts of one order in some classes: of n-grams, and by what comes before the last word."""
+
+    def __init__(self, before: np.ndarray, keys: np.ndarray, counts: list[np.ndarray]):
+        """``keys`` are different; ``before`` is each one's key without its last word."""
+        by = np.argsort(keys)
+        self.grams, self.cut = Index(keys[by]), [discounts(c) for c in counts]
+        self.counts = [np.append(c[by], 0).astype(np.int32) for c in counts]
+        own, at = np.unique(before, return_inverse=True)
+        self.contexts = Index(own)
+        self.totals = [np.append(np.bincount(at, weights=c, minlength=len(own)), 0).astype(np.int32) for c in counts]
+        freed = [cut[np.minimum(c, 3)] for c, cut in zip(counts, self.cut, strict=True)]
+        self.freed = [np.append(np.bincount(at, weights=f, minlength=len(own)), 0).astype(np.float32) for f in freed]
+
+    def interpolate(self, before: np.ndarray, keys: np.ndarray, lower: list[np.ndarray]) -> list[np.ndarray]:
+        """The probability in each class; what was not seen before any word has that of the lower order."""
+        gram, context, out = self.grams.find(keys), self.contexts.find(before), []
+        for counts, cut, totals, freed, low in zip(self.counts, self.cut, self.totals, self.freed, lower, strict=True):
+            c, total = counts[gram], totals[context]
+            out.append(np.where(total > 0, (c - cut[np.minimum(c, 3)] + freed[context] * low) / np.maximum(total, 1), low))
+        return out
 
 
 class Model:
     """Both Kneser-Ney models, and the logistic function."""
 
-    def __init__(self, before: np.ndarray, words: np.ndarray, stems: np.ndarray, counts: tuple[np.ndarray, np.ndarray]):
-        """``counts`` of each different (word before, word, its beginning) in the toxic and the ordinary texts."""
-        self.slope, self.offset = 0.0, -np.inf
-        seen = [c > 0 for c in counts]
-        # of each word before, in each class: how often, and what is discounted of it; where nothing is left in one of the
-        # classes both back off wholly, and pairs of which nothing is left add nothing, so neither is kept
-        after = _grouped(before, *counts, *(1024 * discount(c, PAIR) for c in counts))
-        n = [c[:-1] for c in after.columns]
-        some = (1024 * n[0] > n[2]) & (1024 * n[1] > n[3])
-        self.after = Table(after.keys[some], *(c[some] for c in n))
-        left = np.any([c > discount(c, PAIR) for c in counts], axis=0) & np.isin(before, self.after.keys)
-        _, key = self._keys(before[left], words[left])
-        by = np.argsort(key)
-        self.pairs = Table(key[by], *(c[left][by] for c in counts))
-        self.words = _grouped(words, *seen, np.ones(len(words)))  # continuation counts: toxic, ordinary, of both
-        self.stems = _grouped(stems, *seen, np.ones(len(stems)))
-        self.freed = {}  # of each continuation count: sum, and what is discounted of it
-        for level, table in ((WORD, self.words), (BEGINNING, self.stems)):
-            for i, column in enumerate(table.columns):
-                self.freed[level, i] = max(int(column.sum()), 1), float(discount(column, level).sum())
-
-    @staticmethod
-    def _keys(before: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return before, mix(before * np.uint64(0x9E3779B97F4A7C15) ^ words)
-
-    def _shares(self, level: int) -> tuple[list[float], float]:
-        """Of each class's continuation counts what is left after the discounts, and the share of the lower order in both."""
-        sums = [self.freed[level, c] for c in (0, 1)]
-        return [total - freed for total, freed in sums], max(freed / total if freed else 1.0 for total, freed in sums)
-
-    def logs(self, words: np.ndarray, stems: np.ndarray) -> list[np.ndarray]:
-        """Natural logs of the toxic and of the ordinary probability of each word."""
-        before, key = self._keys(np.concatenate(([np.uint64(START)], words[:-1])), words)
-        pair, after = self.pairs.find(key), self.after.find(before)
-        word, stem = self.words.find(words), self.stems.find(stems)
-        total, freed = self.freed[BEGINNING, 2]
-        shared = (stem[2] - discount(stem[2], BEGINNING) + (freed or 1.0) / (len(self.stems.keys) + 1)) / total
-        spread = (word[2] + 0.5) / (stem[2] + 1.0)  # of a beginning over its words
-        (left_w, back_w), (left_s, back_s) = self._shares(WORD), self._shares(BEGINNING)
-        left = [after[c] - after[2 + c] / 1024 for c in (0, 1)]
-        back = np.max([np.where(left[c] > 0, 1 - left[c] / np.maximum(after[c], 1), 1.0) for c in (0, 1)], axis=0)
-        out = []
-        for c in (0, 1):
-            p = (1 - back_s) * (stem[c] - discount(stem[c], BEGINNING)) / max(left_s[c], 1e-9) + back_s * shared
-            p = (1 - back_w) * (word[c] - discount(word[c], WORD)) / max(left_w[c], 1e-9) + back_w * p * spread
-            out.append(np.log((1 - back) * (pair[c] - discount(pair[c], PAIR)) / np.maximum(left[c], 1e-9) + back * p))
-        return out
-
-    def difference(self, text: bytes) -> float:
-        """Toxic minus ordinary log-likelihood, per word, without what the text's median word has (at most COMMON)."""
-        words, stems = units(text)
-        if not len(words):
-            return 0.0
-        toxic, ordinary = self.logs(words, stems)
-        return float((toxic - ordinary).mean() - np.clip(np.median(toxic - ordinary), -COMMON, COMMON))
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, counts: tuple[np.ndarray, np.ndarray]):
+        """``counts`` of each different trigram in the toxic and in the ordinary texts."""
+        self.part, self.middle, self.spread, self.weights, self.offset = SHARES[-1], np.zeros(3), np.ones(3), np.zeros(3), -np.inf
+        uv, vw = pair_key(u, v), pair_key(v, w)
+        self.three = Order(uv, pair_key(uv, w), list(counts))
+        keys, first, at = np.unique(vw, return_index=True, return_inverse=True)
+        v, w = v[first], w[first]
+        seen = [np.bincount(at, weights=c > 0, minlength=len(keys)).astype(np.int64) for c in counts]
+        self.two = Order(v, keys, seen)
+        own, at = np.unique(w, return_inverse=True)
+        nothing = np.zeros(len(own), np.uint64)
+        self.one = Order(nothing, own, [np.bincount(at, weights=c > 0, minlength=len(own)).astype(np.int64) for c in seen])
+        common = np.bincount(at, weights=(seen[0] > 0) & (seen[1] > 0), minlength=len(own)).astype(np.int64)
+        self.both = Order(nothing, own, [common])
+
+    def probabilities(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[list[np.ndarray]]:
+        """[toxic, ordinary] probability of each word ``w`` by one word, by two and by three."""
+        nothing, uv, vw = np.zeros(len(w), np.uint64), pair_key(u, v), pair_key(v, w)
+        base = self.both.interpolate(nothing, w, [np.full(len(w), 1 / (len(self.both.grams.keys) + 1))])[0]
+        one = self.one.interpolate(nothing, w, [base, base])
+        two = self.two.interpolate(v, vw, one)
+        return [one, two, self.three.interpolate(uv, pair_key(uv, w), two)]
+
+    def differences(self, texts: list[bytes], parts: tuple[float, ...]) -> np.ndarray:
+        """(texts, parts, 3): mixture minus ordinary log-likelihood, per word, by one, two and three words."""
+        words = [words_of(t) for t in texts]
+        n = np.array([len(x) for x in words])
+        u, v, w = trigrams(words)
+        owner, out = np.repeat(np.arange(len(texts)), n), np.zeros((len(texts), len(parts), 3))
+        for at in range(0, len(w), STEP):
+            s = slice(at, at + STEP)
+            for k, (toxic, ordinary) in enumerate(self.probabilities(u[s], v[s], w[s])):
+                for i, part in enumerate(parts):
+                    out[:, i, k] += np.bincount(owner[s], weights=np.log1p(part * (toxic / ordinary - 1)), minlength=len(texts))
+        return out / np.maximum(n, 1)[:, None, None]
 
     def calibrate(self, x: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic regression of the class on the difference, classes weighing alike, by Newton steps."""
-        y, scale = toxic.astype(float), float(np.abs(x).mean()) or 1.0
-        z = np.stack([x / scale, np.ones(len(x))], axis=1)
-        weight, t = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1)), np.zeros(2)
-        for _ in range(50):
+        """Share and logistic function of ``differences`` x for all SHARES."""
+        fits = []
+        for i, part in enumerate(SHARES):
+            middle = np.median(x[~toxic, i], axis=0)
+            spread = np.maximum(np.median(np.abs(x[~toxic, i] - middle), axis=0), 1e-9)
+            loss, weights, offset = _logistic(np.arcsinh((x[:, i] - middle) / spread), toxic)
+            fits.append((loss, part, middle, spread, weights, offset))
+        _, self.part, self.middle, self.spread, self.weights, self.offset = min(fits, key=lambda f: f[:2])
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        x = self.differences(texts, (self.part,))[:, 0]
+        found = np.arcsinh((x - self.middle) / self.spread) @ self.weights + self.offset
+        return np.where(np.isfinite(found), 1 / (1 + np.exp(-np.clip(found, -50, 50))), 0.0).tolist()
+
+
+def _logistic(x: np.ndarray, toxic: np.ndarray, ridge: float = 1e-4) -> tuple[float, np.ndarray, float]:
+    """Loss, weights (none negative) and offset of a logistic regression, classes weighing alike, by Newton steps."""
+    y, heavy = toxic.astype(float), np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
+    scale = np.maximum(x.std(axis=0), 1e-12)
+    use = np.flatnonzero(x.std(axis=0) > 1e-12)
+    while True:
+        z, t = np.column_stack([x[:, use] / scale[use], np.ones(len(x))]), np.zeros(len(use) + 1)
+        small = ridge * np.diag([*np.ones(len(use)), 1e-2])
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(z @ t, -30, 30)))
-            g = z.T @ (weight * (y - p)) - 1e-3 * t
-            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), g)
-            t += step
+            step = np.linalg.solve((z * (heavy * p * (1 - p))[:, None]).T @ z + small, z.T @ (heavy * (y - p)) - small @ t)
+            t += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
             if np.abs(step).max() < 1e-9:
                 break
-        self.slope, self.offset = float(t[0] / scale), float(t[1])
-
-    def score(self, difference: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -50, 50))))
+        if len(use) and t[:-1].min() < 0:
+            use = np.delete(use, int(t[:-1].argmin()))
+            continue
+        p, weights = 1 / (1 + np.exp(-np.clip(z @ t, -30, 30))), np.zeros(x.shape[1])
+        weights[use] = t[:-1] / scale[use]
+        return float(-(heavy * np.log(np.where(toxic, p, 1 - p))).sum()), weights, float(t[-1])
 
 
 def _count(batches):
-    """(before, word, stem, toxic, ordinary): in how many texts of each class; each triple once a batch."""
-    names = ["before", "word", "stem", "toxic", "ordinary"]
+    """(u, v, w, toxic, ordinary): how often in each class; each trigram once a batch."""
+    names = ["u", "v", "w", "toxic", "ordinary"]
     for batch in batches:
-        parts, labels = [], []
-        for text, toxic in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-            words, stems = units(text)
-            if len(words):
-                triples = np.stack([np.concatenate(([np.uint64(START)], words[:-1])), words, stems], axis=1)
-                parts.append(np.unique(triples.view("V24").ravel()))
-                labels.append(np.full(len(parts[-1]), toxic == 1))
-        if parts:
-            own, at = np.unique(np.concatenate(parts), return_inverse=True)
-            toxic = np.concatenate(labels)
+        texts = [words_of(t) for t in as_bytes(batch.column("text"))]
+        toxic = np.repeat(np.array(batch.column("toxic").to_pylist()) == 1, [len(t) for t in texts])
+        if len(toxic):
+            own, at = np.unique(np.stack(trigrams(texts), axis=1).view("V24").ravel(), return_inverse=True)
             counts = [np.bincount(at, weights=x, minlength=len(own)).astype(np.int64) for x in (toxic, ~toxic)]
             yield pa.RecordBatch.from_arrays([*(pa.array(c.copy()) for c in own.view(np.int64).reshape(-1, 3).T), *map(pa.array, counts)], names=names)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Learn from rows (doc_id, text) and (doc_id, toxic)."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """(toxic, test, text): the bounded sample that ``train`` learns from."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    # different texts of each class, the first by a hash; ids and hashes only, the texts follow
-    some = text.select("doc_id", F.xxhash64("text", F.lit("toxicity")).alias("h")).join(labels, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("h"))).where(F.col("rank") <= per_class)
-    picked = F.broadcast(some.select("toxic", "h", "doc_id", (F.pmod(F.xxhash64("h"), F.lit(5)) == 0).alias("test")))  # at most 2 * per_class rows
-    found = materialize(text.withColumn("h", F.xxhash64("text", F.lit("toxicity"))).join(picked, ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("toxic", "test", "text"))
-
-    triples = found.where("not test").mapInArrow(tidy(_count), "before long, word long, stem long, toxic long, ordinary long")
-    t = triples.groupBy("before", "word", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
-    t = t.sort_by([(c, "ascending") for c in ("before", "word", "stem")])
-    before, words, stems = (t[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("before", "word", "stem"))
-    model = Model(before, words, stems, (t["toxic"].to_numpy(), t["ordinary"].to_numpy()))
+    text = text.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= LONGEST).withColumn("h", F.xxhash64("text", F.lit("toxicity")))
+    # different texts of each class, ids and hashes only; the texts follow
+    some = text.select("doc_id", "h", "bytes").join(labels, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"), F.max("bytes").alias("bytes"))
+    some = some.withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    rank = F.row_number().over(Window.partitionBy("toxic", "salt").orderBy("h"))
+    some = some.withColumn("rank", rank).where(F.col("rank") <= -(-per_class // SALTS))
+    sums = F.sum("bytes").over(Window.partitionBy("toxic").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    some = some.withColumn("sums", sums).where(F.col("sums") <= TRAIN_BYTES)  # of at most per_class rows a class
+    picked = F.broadcast(some.select("toxic", "h", "doc_id", (F.pmod(F.xxhash64("h"), F.lit(5)) == 0).alias("test")))
+    return text.join(picked, ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("toxic", "test", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Learn from rows (doc_id, text) and (doc_id, toxic)."""
+    found = materialize(sample(docs, labels, per_class))
+    counted = found.where("not test").mapInArrow(tidy(_count), "u long, v long, w long, toxic long, ordinary long")
+    t = counted.groupBy("u", "v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    t = t.sort_by([(c, "ascending") for c in "uvw"])
+    u, v, w = (t[c].to_numpy().astype(np.int64).view(np.uint64) for c in "uvw")
+    counts = tuple(t[c].to_numpy().astype(np.int64) for c in ("toxic", "ordinary"))
+    model = Model(u, v, w, counts)
     box = share(docs.sparkSession, model)
 
     def differ(batches):
         m = shared(box)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([m.difference(x) for x in as_bytes(batch.column("text"))], pa.float64())], names=["toxic", "x"])
+            x = m.differences(as_bytes(batch.column("text")), SHARES).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    tests = found.where("test").mapInArrow(tidy(differ), "toxic int, x double").toArrow().sort_by([("toxic", "ascending"), ("x", "ascending")])
-    toxic = tests["toxic"].to_numpy() == 1
-    if toxic.any() and not toxic.all():
-        model.calibrate(tests["x"].to_numpy(), toxic)
+    tests = sorted((r["toxic"], r["x"]) for r in found.where("test").mapInArrow(tidy(differ), "toxic int, x array<double>").collect())
+    toxic = np.array([y == 1 for y, _ in tests], dtype=bool)
+    if all(c.any() for c in counts) and toxic.any() and not toxic.all():
+        model.calibrate(np.array([x for _, x in tests]).reshape(len(tests), len(SHARES), 3), toxic)
     forget(found)
     return model
 
@@ -221,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared(box)
         for batch in batches:
-            found = [m.score(m.difference(x)) for x in as_bytes(batch.column("text"))]
+            found = m.scores(as_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxic_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

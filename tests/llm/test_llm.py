@@ -530,46 +530,88 @@ def test_toxicity(spark):
     assert toxicity.score(df.where("false"), model).count() == 0
 
 
-def test_toxicity_models_are_kneser_ney():
-    """Probabilities by dictionaries: bigram, word, beginning, beginnings of both classes, even."""
-    texts = {1: ["abcd abce abcf zz"] * 6 + ["abcd zz yy"] * 9, 0: ["zz abcd"] * 5 + ["yy zz abxx", "qqqq"] * 4}
-    pair, seen = [defaultdict(int), defaultdict(int)], [set(), set()]
-    for c in (0, 1):
-        for t in texts[1 - c]:  # the first of each pair is the toxic class
-            for a, b in {*zip([None, *t.split()], t.split(), strict=False)}:
-                pair[c][a, b] += 1
-                seen[c].add((a, b))
-    word = [Counter(b for _, b in x) for x in seen]
-    stem = [Counter(b[:4] for _, b in x) for x in seen]
-    word.append(Counter(b for _, b in seen[0] | seen[1]))
-    stem.append(Counter(b[:4] for _, b in seen[0] | seen[1]))
-    cut = lambda n, k: min(n, toxicity.DEVIATIONS[k] * n**0.5)
-
-    def back(counts, k):
-        return max(sum(cut(n, k) for n in x.values()) / sum(x.values()) if x else 1.0 for x in counts)
-
-    def share(x, key, k):
-        left = sum(n - cut(n, k) for n in x.values())
-        return (x[key] - cut(x[key], k)) / left if left else 0.0
-
-    def p(c, a, b):
-        s = b[:4]
-        total = sum(stem[2].values())
-        both = (stem[2][s] - cut(stem[2][s], 2) + sum(cut(n, 2) for n in stem[2].values()) / (len(stem[2]) + 1)) / total
-        lam = [back(stem[:2], 2), back(word[:2], 1), back([Counter({y: n for (x, y), n in pair[i].items() if x == a}) for i in (0, 1)], 0)]
-        q = (1 - lam[0]) * share(stem[c], s, 2) + lam[0] * both
-        q = (1 - lam[1]) * share(word[c], b, 1) + lam[1] * q * (word[2][b] + 0.5) / (stem[2][s] + 1)
-        return (1 - lam[2]) * share(Counter({y: n for (x, y), n in pair[c].items() if x == a}), b, 0) + lam[2] * q
-
-    every = sorted({x for s in seen for x in s}, key=str)
-    h = {w: [int(v[0]) for v in toxicity.units(w.encode())] for w in {b for _, b in every}}
-    arrays = [np.array(v, dtype=np.uint64) for v in zip(*((toxicity.START if a is None else h[a][0], *h[b]) for a, b in every), strict=True)]
-    model = toxicity.Model(*arrays, tuple(np.array([pair[c].get(x, 0) for x in every]) for c in (0, 1)))
-    for t in ("abcd zz", "zz abcd abce", "new abcx yy", "qqqq"):
-        got = model.logs(*toxicity.units(t.encode()))
+@pytest.mark.parametrize("size", [400, 4])
+def test_toxicity_models_are_kneser_ney(size):
+    """Probabilities by dictionaries and the textbook's discounts: three words, two, one, one in both classes, even."""
+    rng = random.Random(size)
+    pool = [a + b for a in "abcdefghijkl" for b in "mnopqrst"]
+    make = lambda names: " ".join(rng.choices(names, [1 / (i + 1) for i in range(len(names))], k=rng.randint(1, 12)))
+    texts = [[make(pool) for _ in range(size)], [make(pool[::-1] if rng.random() < 0.3 else pool) for _ in range(2 * size)]]  # toxic, ordinary
+
+    grams = lambda t: list(zip(["<", "<", *t.split()], ["<", *t.split()], t.split(), strict=False))
+    three = [Counter(g for t in texts[c] for g in grams(t)) for c in (0, 1)]
+    two = [Counter((v, w) for _, v, w in three[c]) for c in (0, 1)]
+    one = [Counter((w,) for _, w in two[c]) for c in (0, 1)]
+    both, known = Counter((w,) for _, w in {*two[0]} & {*two[1]}), {w for _, w in {*two[0], *two[1]}}
+
+    def step(counts, gram, low):
+        n = [0, *(sum(x == i for x in counts.values()) for i in (1, 2, 3, 4))]
+        d = [0, 0.5, 0.5, 0.5]
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [0, y, y, y]
+            if n[3] and n[4]:
+                d = [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) for i in (1, 2, 3))]
+        same = {g: x for g, x in counts.items() if g[:-1] == gram[:-1]}
+        if not same:
+            return low
+        x = counts.get(gram, 0)
+        return (x - d[min(x, 3)] + sum(d[min(k, 3)] for k in same.values()) * low) / sum(same.values())
+
+    def p(c, u, v, w):
+        q1 = step(one[c], (w,), step(both, (w,), 1 / (len(known) + 1)))
+        q2 = step(two[c], (v, w), q1)
+        return q1, q2, step(three[c], (u, v, w), q2)
+
+    code = lambda x: np.uint64(toxicity.START) if x == "<" else toxicity.words_of(x.encode())[0]
+    every = sorted({*three[0], *three[1]})
+    arrays = [np.array([code(g[i]) for g in every], dtype=np.uint64) for i in range(3)]
+    model = toxicity.Model(*arrays, tuple(np.array([three[c][g] for g in every]) for c in (0, 1)))
+    tests = [make(pool), make(pool[::-1]), texts[0][0], texts[1][0] + " unseen " + texts[1][1], ""]
+    for t in tests:
+        got = model.probabilities(*toxicity.trigrams([toxicity.words_of(t.encode())]))
+        for c in (0, 1):
+            want = np.array([p(c, *g) for g in grams(t)]).reshape(-1, 3)
+            assert np.stack([got[k][c] for k in range(3)], axis=1) == pytest.approx(want, rel=1e-5)
+    # texts together as apart, and in slices
+    whole = model.differences([t.encode() for t in tests], (0.1, 0.01))
+    old, toxicity.STEP = toxicity.STEP, 3
+    try:
+        apart = np.concatenate([model.differences([t.encode()], (0.1, 0.01)) for t in tests])
+    finally:
+        toxicity.STEP = old
+    assert whole == pytest.approx(apart, rel=1e-9, abs=1e-15) and not whole[-1].any()
+    ratio = [a / b for a, b in (zip(*[[p(c, *g)[2] for g in grams(tests[0])] for c in (0, 1)], strict=True))]
+    assert whole[0, 0, 2] == pytest.approx(np.mean([np.log(1 + 0.1 * (r - 1)) for r in ratio]), rel=1e-5, abs=1e-9)
+
+
+def test_toxicity_one_word_order_is_normalised():
+    """Seen words and one unseen have probability one together."""
+    words = [toxicity.words_of(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}".encode())[0] for i in range(60)]
+    rng = np.random.default_rng(3)
+    g = np.array(words, dtype=np.uint64)[rng.zipf(1.5, (900, 3)) % 60]
+    u, v, w = np.unique(g, axis=0).T.copy()
+    model = toxicity.Model(u, v, w, (rng.integers(0, 6, len(u)), rng.integers(0, 6, len(u))))
+    seen = np.append(np.unique(w), np.uint64(12345))
+    for order in model.probabilities(np.full(len(seen), u[0]), np.full(len(seen), v[0]), seen):
         for c in (0, 1):
-            want = [p(c, a, b) for a, b in zip([None, *t.split()], t.split(), strict=False)]
-            assert np.exp(got[c]) == pytest.approx(want, rel=2e-3)  # what is discounted is kept in parts of 1024
+            assert order[c].sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_toxicity_long_text_repeated_rows_and_clashing_columns(spark):
+    text = lambda i: prose(i, 60) + (" vileone grubby" * 3 if i % 3 == 0 else "")
+    docs = spark.createDataFrame([(i, text(i)) for i in range(200)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] * 2, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.dropDuplicates(["doc_id"]), labels.dropDuplicates(["doc_id"]))
+    assert model.weights.tolist() == again.weights.tolist() and model.offset == again.offset and model.weights.min() >= 0
+    long = " ".join(text(i) for i in range(1, 3200) if i % 3)
+    assert len(long) > common.PIECE
+    rows = spark.createDataFrame([(1, long, 0.5, 7), (2, long + " vileone grubby" * 9000, 0.5, 8)] * 2, "doc_id long, text string, toxic_score double, toxic int")
+    got = toxicity.score(rows, model)
+    assert got.columns == ["doc_id", "text", "toxic", "toxic_score"]
+    found = sorted((r["doc_id"], r["toxic"], r["toxic_score"]) for r in got.collect())
+    assert found[0] == found[1] and found[2] == found[3] and found[0][2] < 0.5 < found[2][2]
 
 
 # ---- 9 context trees
