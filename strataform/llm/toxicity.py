@@ -76,6 +76,18 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0, [0, 1, 2, 3])
 
 
+def _packed(x: np.ndarray) -> tuple[bytes, str, int]:
+    """Numbers with their first bytes together, their second bytes together, and so on, which compress well."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True), x.dtype.str, len(x)
+
+
+def _unpacked(packed: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, n * size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
 class Index:
     """Where a key is among sorted different hashes; their leading bits lead to it. len(keys) if it isn't there."""
 
@@ -84,6 +96,13 @@ class Index:
         self.keys, self.shift = keys, np.uint64(64 - bits)
         self.heads = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
+    def __reduce__(self):
+        return Index._read, _packed(np.diff(self.keys, prepend=np.uint64(0)))
+
+    @staticmethod
+    def _read(packed: bytes, kind: str, n: int) -> Index:
+        return Index(np.cumsum(_unpacked(packed, kind, n), dtype=np.uint64))
+
     def find(self, x: np.ndarray) -> np.ndarray:
         top = (x >> self.shift).astype(np.int64)
         at, end = self.heads[top], self.heads[top + 1]
@@ -113,6 +132,12 @@ class Order:
         freed = [cut[np.minimum(c, 3)] for c, cut in zip(counts, self.cut, strict=True)]
         self.freed = [np.append(np.bincount(at, weights=f, minlength=len(own)), 0).astype(np.float32) for f in freed]
 
+    def __getstate__(self):
+        return {k: [_packed(x) for x in v] if k in ("counts", "totals", "freed") else v for k, v in vars(self).items()}
+
+    def __setstate__(self, state):
+        vars(self).update({k: [_unpacked(*x) for x in v] if k in ("counts", "totals", "freed") else v for k, v in state.items()})
+
     def interpolate(self, before: np.ndarray, keys: np.ndarray, lower: list[np.ndarray]) -> list[np.ndarray]:
         """The probability in each class; what was not seen before any word has that of the lower order."""
         gram, context, out = self.grams.find(keys), self.contexts.find(before), []
@@ -125,6 +150,12 @@ class Order:
 class Model:
     """Both Kneser-Ney models, and the logistic function."""
 
+    #: (application, broadcast of the models) once there is one: training and scoring read the same.
+    box = None
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k != "box"}
+
     def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, counts: tuple[np.ndarray, np.ndarray]):
         """``counts`` of each different trigram in the toxic and in the ordinary texts."""
         self.part, self.middle, self.spread, self.weights, self.offset = SHARES[-1], np.zeros(3), np.ones(3), np.zeros(3), -np.inf
@@ -171,9 +202,13 @@ class Model:
             fits.append((loss, part, middle, spread, weights, offset))
         _, self.part, self.middle, self.spread, self.weights, self.offset = min(fits, key=lambda f: f[:2])
 
-    def scores(self, texts: list[bytes]) -> list[float]:
-        x = self.differences(texts, (self.part,))[:, 0]
-        found = np.arcsinh((x - self.middle) / self.spread) @ self.weights + self.offset
+    def fitted(self) -> tuple:
+        """What ``calibrate`` finds."""
+        return self.part, self.middle, self.spread, self.weights, self.offset
+
+    def scores(self, texts: list[bytes], fitted: tuple | None = None) -> list[float]:
+        part, middle, spread, weights, offset = fitted or self.fitted()
+        found = np.arcsinh((self.differences(texts, (part,))[:, 0] - middle) / spread) @ weights + offset
         return np.where(np.isfinite(found), 1 / (1 + np.exp(-np.clip(found, -50, 50))), 0.0).tolist()
 
 
@@ -237,6 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     counts = tuple(t[c].to_numpy().astype(np.int64) for c in ("toxic", "ordinary"))
     model = Model(u, v, w, counts)
     box = share(docs.sparkSession, model)
+    model.box = docs.sparkSession.sparkContext.applicationId, box
 
     def differ(batches):
         m = shared(box)
@@ -256,12 +292,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` and toxic_score; a column of this name is replaced."""
     docs = docs.drop("toxic_score")
     lean(docs.sparkSession)
-    box = share(docs.sparkSession, model)
+    held = model.box and model.box[0] == docs.sparkSession.sparkContext.applicationId
+    box, fitted = model.box[1] if held else share(docs.sparkSession, model), model.fitted()
 
     def run(batches):
         m = shared(box)
         for batch in batches:
-            found = m.scores(as_bytes(batch.column("text")))
+            found = m.scores(as_bytes(batch.column("text")), fitted)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxic_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import pickle
 import random
 import re
 import time
@@ -573,6 +574,8 @@ def test_toxicity_models_are_kneser_ney(size):
         for c in (0, 1):
             want = np.array([p(c, *g) for g in grams(t)]).reshape(-1, 3)
             assert np.stack([got[k][c] for k in range(3)], axis=1) == pytest.approx(want, rel=1e-5)
+    again = pickle.loads(pickle.dumps(model))
+    assert (again.differences([t.encode() for t in tests], (0.1,)) == model.differences([t.encode() for t in tests], (0.1,))).all()
     # texts together as apart, and in slices
     whole = model.differences([t.encode() for t in tests], (0.1, 0.01))
     old, toxicity.STEP = toxicity.STEP, 3
