@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bucket_of, forget, lean, materialize, mix, share, shared, tidy, word_hashes
+from .common import as_bytes, bucket_of, forget, lean, materialize, mix, reclaim, share, shared, tidy, word_hashes
 
 #: Sampled texts a class, ranges of hashes they come from, bytes of one and of all of a class's texts.
 PER_CLASS, SALTS, LONGEST, TRAIN_BYTES = 2048, 64, 1 << 20, 8 << 20
@@ -129,8 +129,10 @@ class Order:
         own, at = np.unique(before, return_inverse=True)
         self.contexts = Index(own)
         self.totals = [np.append(np.bincount(at, weights=c, minlength=len(own)), 0).astype(np.int32) for c in counts]
-        freed = [cut[np.minimum(c, 3)] for c, cut in zip(counts, self.cut, strict=True)]
-        self.freed = [np.append(np.bincount(at, weights=f, minlength=len(own)), 0).astype(np.float32) for f in freed]
+        self.freed = []
+        for c, cut in zip(counts, self.cut, strict=True):  # from whole numbers, so the rows' order doesn't matter
+            kinds = (np.bincount(at[(c == i) if i < 3 else (c >= 3)], minlength=len(own)) for i in (1, 2, 3))
+            self.freed.append(np.append(sum(cut[i] * k for i, k in enumerate(kinds, 1)), 0).astype(np.float32))
 
     def __getstate__(self):
         return {k: [_packed(x) for x in v] if k in ("counts", "totals", "freed") else v for k, v in vars(self).items()}
@@ -161,6 +163,7 @@ class Model:
         self.part, self.middle, self.spread, self.weights, self.offset = SHARES[-1], np.zeros(3), np.ones(3), np.zeros(3), -np.inf
         uv, vw = pair_key(u, v), pair_key(v, w)
         self.three = Order(uv, pair_key(uv, w), list(counts))
+        del u, uv
         keys, first, at = np.unique(vw, return_index=True, return_inverse=True)
         v, w = v[first], w[first]
         seen = [np.bincount(at, weights=c > 0, minlength=len(keys)).astype(np.int64) for c in counts]
@@ -266,11 +269,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     """Learn from rows (doc_id, text) and (doc_id, toxic)."""
     found = materialize(sample(docs, labels, per_class))
     counted = found.where("not test").mapInArrow(tidy(_count), "u long, v long, w long, toxic long, ordinary long")
-    t = counted.groupBy("u", "v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
-    t = t.sort_by([(c, "ascending") for c in "uvw"])
-    u, v, w = (t[c].to_numpy().astype(np.int64).view(np.uint64) for c in "uvw")
-    counts = tuple(t[c].to_numpy().astype(np.int64) for c in ("toxic", "ordinary"))
+    sums = [F.sum(c).cast("int").alias(c) for c in ("toxic", "ordinary")]
+    t = counted.groupBy("u", "v", "w").agg(*sums).toArrow()
+    u, v, w = (t[c].to_numpy().view(np.uint64) for c in "uvw")
+    counts = tuple(t[c].to_numpy() for c in ("toxic", "ordinary"))
+    some = all(c.any() for c in counts)
+    del t
     model = Model(u, v, w, counts)
+    del u, v, w, counts
+    reclaim(docs.sparkSession)
     box = share(docs.sparkSession, model)
     model.box = docs.sparkSession.sparkContext.applicationId, box
 
@@ -282,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     tests = sorted((r["toxic"], r["x"]) for r in found.where("test").mapInArrow(tidy(differ), "toxic int, x array<double>").collect())
     toxic = np.array([y == 1 for y, _ in tests], dtype=bool)
-    if all(c.any() for c in counts) and toxic.any() and not toxic.all():
+    if some and toxic.any() and not toxic.all():
         model.calibrate(np.array([x for _, x in tests]).reshape(len(tests), len(SHARES), 3), toxic)
     forget(found)
     return model
