@@ -1,7 +1,7 @@
-"""Every value of a set of documents with its path: a loop over levels, each a lateral explode of variants.
+"""Every value of a set of documents with its path, level by level.
 
-Documents are rows (ord, v): a number and a VARIANT. A level's containers are exploded once; what comes out is the next
-level. Levels are kept with ``persist``, so the work is one pass over all values, and lost parts are worked out again.
+Documents are rows (ord, v): a number and a VARIANT. ``walk`` opens all levels in one stage, after a look at how many there
+are, and stores none of them. ``levels`` gives the levels one by one, each kept with ``persist``.
 """
 
 from __future__ import annotations
@@ -95,12 +95,93 @@ def levels(docs: DataFrame, max_depth: int = MAX_DEPTH) -> list[DataFrame]:
     return out
 
 
+#: Levels that are opened in one stage before the values below them are kept.
+_STAGE = 6
+_MEMBERS = "array<struct<key:string,value:variant>>"
+
+
+def _start(docs: DataFrame) -> DataFrame:
+    text = lambda: F.lit(None).cast("string")
+    return docs.select(
+        "ord", F.lit(".").alias("path"), F.lit(".").alias("pattern"), text().alias("parent"), text().alias("step"), F.lit(False).alias("is_index"),
+        text().alias("kind"), F.lit(None).cast("double").alias("num"), text().alias("str"), F.lit(None).cast("int").alias("size"), "v",
+    )
+
+
+def _open(rows: DataFrame, kept: Column) -> DataFrame:
+    """Rows with what is known of each value not seen before (``kind`` is null), followed by its members, not seen yet.
+
+    Members take nothing of the value along but its path, so a row is never larger than its own value. Of a value that was
+    seen only ``kept`` stays in v.
+    """
+    fresh = F.col("kind").isNull()
+    rows = rows.withColumn("_map", F.when(fresh, F.try_variant_get("v", "$", "map<string,variant>"))).withColumn("_array", F.when(fresh, F.try_variant_get("v", "$", "array<variant>")))
+    leaf = fresh & F.col("_map").isNull() & F.col("_array").isNull()
+    rows = rows.withColumn("_type", F.when(leaf & F.col("v").isNotNull() & ~F.is_variant_null("v"), F.schema_of_variant("v")))
+    number = F.when(F.col("_type").startswith("DECIMAL"), F.try_variant_get("v", "$", "decimal(38,0)"))
+    kind = F.when(~fresh, F.col("kind")).when(F.col("_map").isNotNull(), "object").when(F.col("_array").isNotNull(), "array").when(F.col("_type").isNull(), "null").otherwise(kind_of(F.col("_type"), number))
+    rows = rows.withColumn("_kind", kind)
+    rows = rows.select(
+        "ord", "path", "pattern", "parent", "step", "is_index", F.col("_kind").alias("kind"),
+        F.when(leaf & F.col("_kind").isin("i64", "u64", "f64"), F.try_variant_get("v", "$", "double")).otherwise(F.col("num")).alias("num"),
+        F.when(leaf & (F.col("_kind") == "string"), F.try_variant_get("v", "$", "string")).otherwise(F.col("str")).alias("str"),
+        F.when(F.col("_map").isNotNull(), F.size("_map")).when(F.col("_array").isNotNull(), F.size("_array")).otherwise(F.col("size")).alias("size"),
+        "v", "_map", "_array",
+    )
+    one = lambda key, v: F.struct(key.alias("key"), v.alias("value"))
+    none = F.lit(None).cast("string")
+    # nothing here that Spark interprets: members share the names of their whole document, which a row would copy
+    elements = F.arrays_zip(F.array_repeat(none, F.size("_array")), F.col("_array")).cast(_MEMBERS)
+    members = F.when(F.col("_map").isNotNull(), F.map_entries("_map").cast(_MEMBERS)).otherwise(elements)
+    own = F.array(one(none, kept)).cast(_MEMBERS)
+    rows = rows.select("ord", "path", "pattern", "parent", "step", "is_index", "kind", "num", "str", "size", F.posexplode(F.when(F.coalesce(F.col("size"), F.lit(0)) == 0, own).otherwise(F.coalesce(F.concat(own, members), own))).alias("_at", "_m"))
+    member, key, at = F.col("_at") > 0, F.col("_m.key"), F.col("_at") - 1
+    index = key.isNull()
+    up = lambda c, new: F.when(member, new).otherwise(F.col(c)).alias(c)
+    gone = lambda c: F.when(~member, F.col(c)).alias(c)
+    stem = F.when(index, F.concat("pattern", F.lit("[*]"))).otherwise(child(F.col("pattern"), key, at))
+    return rows.select(
+        "ord", up("path", child(F.col("path"), key, at)), up("pattern", stem), up("parent", F.col("path")), up("step", F.coalesce(key, at.cast("string"))), up("is_index", index),
+        gone("kind"), gone("num"), gone("str"), gone("size"), F.col("_m.value").alias("v"),
+    )
+
+
+def _members(values: DataFrame) -> DataFrame:
+    """The members of values (v)."""
+    found = F.coalesce(F.map_values(F.try_variant_get("v", "$", "map<string,variant>")), F.try_variant_get("v", "$", "array<variant>"))
+    return values.select(F.explode(found).alias("v"))
+
+
+def _depth(values: DataFrame, most: int) -> int:
+    """Levels of values (v), counted up to ``most``; only the last look goes through all of them."""
+    for n in range(most):
+        if values.isEmpty():
+            return n
+        values = _members(values)
+    return most
+
+
+def opened(docs: DataFrame, max_depth: int = MAX_DEPTH, kept: Column | None = None) -> DataFrame:
+    """All values of documents (ord, v): ord, path, pattern (indices as ``[*]``), parent, step, is_index, kind, num, str, size, v.
+
+    ``kept``: what of a value stays in v, over these columns and v; none of it if not given. Levels are opened one after
+    the other in one stage, and nothing of them is stored; only below every ``_STAGE`` levels the values still to be opened
+    are persisted.
+    """
+    kept = F.lit(None).cast("variant") if kept is None else kept
+    rows, left, out = _start(docs), max_depth + 1, None
+    while True:
+        n = _depth(rows.select("v"), min(_STAGE, left) + 1)
+        for _ in range(max(1, min(n, _STAGE, left))):
+            rows = _open(rows, kept)
+        seen = rows.where("kind is not null")
+        out = seen if out is None else out.union(seen)
+        left -= _STAGE
+        if n <= _STAGE or left <= 0:
+            return out
+        rows = rows.where("kind is null").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def walk(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """All values of all documents, as ``values_of`` gives them."""
-    found = [values_of(x) for x in levels(docs, max_depth)]
-    if not found:
-        return values_of(explode_level(docs.where("false").select("ord", F.lit(".").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("step"), F.lit(False).alias("is_index"), "v")))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    return opened(docs, max_depth).select("ord", "path", "parent", "step", "is_index", "kind", "num", "str", "size")

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.walk import levels
-from .tiling import pattern_of, tile_of
+from ..operators.walk import opened
+from .tiling import tile_of
 
 COUNTERS, SKETCHES = 256, 64
 #: Registers of a sketch are 2 ** LG_K: a standard error of 1.6 %.
@@ -22,11 +22,9 @@ LG_K = 12
 
 def leaves(docs: DataFrame) -> DataFrame:
     """(ord, path, text): every leaf of documents (ord, v) with its JSON; indices as ``[*]``. Empty containers are leaves."""
-    out = None
-    for level in levels(docs):
-        own = level.where("pos is null").select("ord", pattern_of(F.col("path")).alias("path"), F.coalesce(F.to_json("v"), F.lit("null")).alias("text"))
-        out = own if out is None else out.union(own)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "ord long, path string, text string")
+    leaf = F.coalesce(F.col("size"), F.lit(0)) == 0
+    rows = opened(docs, kept=F.when(leaf, F.col("v"))).where(leaf)
+    return rows.select("ord", F.col("pattern").alias("path"), F.coalesce(F.to_json("v"), F.lit("null")).alias("text"))
 
 
 def tile_statistics(docs: DataFrame) -> DataFrame:

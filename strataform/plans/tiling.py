@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.walk import SCALARS, walk
+from ..operators.walk import KINDS, SCALARS, opened
 
 TILE_BITS = 11
 TILE = 1 << TILE_BITS
@@ -32,10 +32,16 @@ def tile_of(ord_: Column) -> Column:
     return F.shiftright(ord_, TILE_BITS)
 
 
-def _bitmap(wanted: Column) -> Column:
-    """A bitmap of a tile's documents where ``wanted``."""
-    at = F.when(wanted, F.col("ord").bitwiseAND(F.lit(TILE - 1)))
-    return F.substring(F.bitmap_construct_agg(at), 1, TILE // 8)
+#: Documents of one word of a bitmap, and its bits as they lie in a whole bitmap: byte after byte, each from its lowest bit.
+_WORD_BITS = 6
+_BIT = "shiftleft(1L, cast(56 - 8 * ((ord & 63) div 8) + (ord & 7) as int))"
+
+
+def _bitmap(bits: str) -> Column:
+    """The bitmap of a tile's documents from its words."""
+    words = F.map_from_entries(F.collect_list(F.struct("word", F.lpad(F.hex(bits), 16, "0"))))
+    whole = F.transform(F.sequence(F.lit(0), F.lit((TILE >> _WORD_BITS) - 1)), lambda i: F.coalesce(F.try_element_at(words, i), F.lit("0" * 16)))
+    return F.unhex(F.array_join(whole, ""))
 
 
 def headers(docs: DataFrame) -> DataFrame:
@@ -43,10 +49,17 @@ def headers(docs: DataFrame) -> DataFrame:
 
     n, n_null: documents that have the path at all, and as null; kinds: values of each kind.
     """
-    values = walk(docs).select(tile_of(F.col("ord")).alias("tile"), "ord", pattern_of(F.col("path")).alias("path"), "kind")
-    by_kind = values.groupBy("tile", "path", "kind").agg(F.count("*").alias("values"), _bitmap(F.lit(True)).alias("present"), _bitmap(F.col("kind") == "null").alias("nulls"))
-    found = by_kind.groupBy("tile", "path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "values")))).alias("kinds"), F.bitmap_or_agg("present").alias("present"), F.bitmap_or_agg("nulls").alias("nulls"))
-    trimmed = found.withColumns({c: F.substring(c, 1, TILE // 8) for c in ("present", "nulls")}).withColumns({"n": F.bitmap_count("present"), "n_null": F.bitmap_count("nulls")})
+    # bitmaps are built up in words, as most paths are in few documents of a tile
+    word = F.shiftright(F.col("ord").bitwiseAND(F.lit(TILE - 1)), _WORD_BITS).cast("int")
+    values = opened(docs).select(tile_of(F.col("ord")).alias("tile"), word.alias("word"), F.col("pattern").alias("path"), "kind", F.expr(_BIT).alias("bit"))
+    null = F.when(F.col("kind") == "null", F.col("bit")).otherwise(0)
+    words = values.groupBy("tile", "path", "word").agg(F.bit_or("bit").alias("bits"), F.bit_or(null).alias("null_bits"), *(F.count_if(F.col("kind") == k).alias(f"k_{k}") for k in KINDS))
+    found = words.groupBy("tile", "path").agg(
+        F.sum(F.bit_count("bits")).alias("n"), F.sum(F.bit_count("null_bits")).alias("n_null"), _bitmap("bits").alias("present"), _bitmap("null_bits").alias("nulls"),
+        *(F.sum(f"k_{k}").alias(f"k_{k}") for k in KINDS),
+    )
+    kinds = F.array_compact(F.array(*(F.when(F.col(f"k_{k}") > 0, F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("values"))) for k in sorted(KINDS))))
+    trimmed = found.withColumn("kinds", F.map_from_entries(kinds))
     roots = trimmed.where("path = '.'").select("tile", F.col("n").alias("docs"))  # every document has a root
     return trimmed.join(roots, "tile").select("tile", "docs", "path", "n", "n_null", "kinds", "present", "nulls")
 
