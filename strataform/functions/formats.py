@@ -47,9 +47,13 @@ def is_url(s: Column) -> Column:
 
 
 def detect_format(s: Column) -> Column:
-    """The first of FORMATS that holds; null for null."""
-    tests = (is_uuid(s), is_iso_timestamp(s), is_iso_date(s), is_ipv4(s), is_ipv6(s), is_email(s), is_url(s), s.rlike(r"\A[0-9]+\z"), s.rlike(r"\A[A-Za-z]+\z"), s.rlike(r"\A[A-Za-z0-9]+\z"))
-    out = F.when(s.isNull(), F.lit(None).cast("string"))
+    """The first of FORMATS that holds; null for null.
+
+    Texts of letters and digits alone are looked at first, as none of them has any of the other formats.
+    """
+    tests = (is_uuid(s), is_iso_timestamp(s), is_iso_date(s), is_ipv4(s), is_ipv6(s), is_email(s), is_url(s))
+    plain = F.when(s.rlike(r"\A[A-Za-z]+\z"), "alpha").when(s.rlike(r"\A[0-9]+\z"), "digits").otherwise("alnum")
+    out = F.when(s.isNull(), F.lit(None).cast("string")).when(s.rlike(r"\A[A-Za-z0-9]+\z"), plain)
     for name, test in zip(FORMATS, tests, strict=False):
         out = out.when(test, name)
     return out.otherwise(FORMATS[-1])

@@ -96,13 +96,17 @@ def element_signature(v: Column) -> Column:
     return F.when(told, of_type(F.when(told, schema))).when(container, nested(F.when(container & ~type_tells(schema), v))).otherwise(leaf)
 
 
+def signature_of_types(counts: DataFrame) -> DataFrame:
+    """(path, bucket, n) of counts (path, type, n) of types that tell their signature."""
+    return counts.select("path", F.pandas_udf(_of_type, "string")("type").alias("bucket"), "n")
+
+
 def signature_counts(elements: DataFrame) -> DataFrame:
     """(path, bucket, n) of elements (path, member): values whose type tells their signature are counted by type first."""
     schema = F.schema_of_variant("member")
     rows = elements.select("path", "member", schema.alias("schema"))
     told = F.col("schema").startswith("OBJECT") & type_tells(F.col("schema"))
-    by_type = rows.where(told).groupBy("path", "schema").agg(F.count("*").alias("n"))
-    by_type = by_type.select("path", F.pandas_udf(_of_type, "string")("schema").alias("bucket"), "n")
+    by_type = signature_of_types(rows.where(told).groupBy("path", F.col("schema").alias("type")).agg(F.count("*").alias("n")))
     others = rows.where(~told).select("path", element_signature(F.col("member")).alias("bucket")).groupBy("path", "bucket").agg(F.count("*").alias("n"))
     return by_type.union(others).groupBy("path", "bucket").agg(F.sum("n").alias("n"))
 

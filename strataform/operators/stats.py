@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import detect_format, length_bucket, skeleton
-from .signatures import signature_counts
+from .signatures import signature_counts, signature_of_types, type_tells
 
 #: Relative error of the sketches.
 ACCURACY = 0.02
@@ -74,28 +74,68 @@ def value_table(values: DataFrame) -> DataFrame:
     )
 
 
-def bucket_table(values: DataFrame) -> DataFrame:
-    """Counts of (path, measure, bucket)."""
+#: Columns of what is counted of a value, next to its path and kind: of a text its format, length class and skeleton, of a
+#: number its sketch bucket, of a container its size and, of an element, its signature's type.
+_COUNTED = ("form", "text_len", "skeleton", "number", "container_size", "type")
+#: In place of the type of an element whose signature its value has to tell.
+_UNTOLD = "?"
+
+
+def element_value(kind: Column, is_index: Column, v: Column) -> Column:
+    """What ``groups`` needs of a value: an element that is a container."""
+    return F.when(is_index & kind.isin("object", "array"), v)
+
+
+def groups(values: DataFrame) -> DataFrame:
+    """How often each path has what is counted, of values (with v as ``element_value`` gives it)."""
+    line = F.lit("\n")
+    schema = F.when(F.col("kind") == "object", F.schema_of_variant("v"))
+    of_type = F.when(F.col("v").isNull(), "").when(F.coalesce(type_tells(schema), F.lit(False)), schema).otherwise(_UNTOLD)
+    rows = values.withColumn("type", F.when(F.col("kind").isin("object", "array"), of_type)).withColumn("form", detect_format(F.col("str")))
+    text = F.concat("form", line, length_bucket(F.octet_length("str")).cast("string"), line, F.when(F.col("form") == "other", skeleton(F.col("str"))).otherwise(""))
+    counted = F.when(F.col("kind") == "string", text).when(F.col("num").isNotNull() & ~F.isnan("num"), sketch_bucket(F.col("num")))
+    counted = counted.when(F.col("type").isNotNull(), F.concat(F.col("size").cast("string"), line, "type"))
+    # few and narrow keys: the method that counts must be short enough for Java to compile
+    found = rows.withColumn("counted", counted).groupBy("path", "parent", "is_index", "kind", "counted").agg(F.count("*").alias("n"))
+    part = lambda i: F.split_part("counted", line, F.lit(i))
+    is_text, holds = F.col("kind") == "string", F.col("kind").isin("object", "array")
+    parts = {
+        "form": F.when(is_text, part(1)), "text_len": F.when(is_text, part(2)),
+        "skeleton": F.when(is_text & (part(1) == "other"), F.regexp_replace("counted", r"\A[^\n]*\n[^\n]*\n", "")),
+        "number": F.when(~is_text & ~holds, F.col("counted")), "container_size": F.when(holds, part(1).cast("int")),
+        "type": F.when(holds, F.nullif(F.regexp_replace("counted", r"\A[^\n]*\n", ""), F.lit(""))),
+    }
+    return found.select("*", *(parts[c].alias(c) for c in _COUNTED)).drop("counted")
+
+
+def bucket_table(found: DataFrame, table: DataFrame) -> DataFrame:
+    """Counts of (path, measure, bucket) of groups and, for keys, the value table; not of signatures."""
     pair = lambda measure, bucket: F.struct(F.lit(measure).alias("measure"), bucket.cast("string").alias("bucket"))
-    none = F.struct(F.lit(None).cast("string").alias("measure"), F.lit(None).cast("string").alias("bucket"))
-    form = detect_format(F.col("str"))
-    text = F.array(pair("format", form), pair("text_len", length_bucket(F.octet_length("str"))), F.when(form == "other", pair("skeleton", skeleton(F.col("str")))).otherwise(none))
-    found = F.when(F.col("kind") == "string", text)
-    found = found.when(F.col("num").isNotNull() & ~F.isnan("num"), F.array(pair("number", sketch_bucket(F.col("num")))))
-    found = found.when(F.col("kind") == "object", F.array(pair("key_count", sketch_bucket(F.col("size").cast("double")))))
-    found = found.when(F.col("kind") == "array", F.array(pair("length", F.col("size")), pair("length_sketch", sketch_bucket(F.col("size").cast("double")))))
-    own = values.where("kind not in ('null', 'bool')").select("path", F.explode(found).alias("x")).select("path", "x.*")
+    size = F.col("container_size")
+    text = F.array(pair("format", F.col("form")), pair("text_len", F.col("text_len")), pair("skeleton", F.col("skeleton")))
+    own = F.when(F.col("kind") == "string", text).when(F.col("number").isNotNull(), F.array(pair("number", F.col("number"))))
+    own = own.when(F.col("kind") == "object", F.array(pair("key_count", sketch_bucket(size.cast("double")))))
+    own = own.when(F.col("kind") == "array", F.array(pair("length", size), pair("length_sketch", sketch_bucket(size.cast("double")))))
+    owned = found.where("kind not in ('null', 'bool')").select("path", F.explode(own).alias("x"), "n").select("path", "x.*", "n")
     # keys are texts of the object that holds them
-    keys = values.where("not is_index and parent is not null").select(F.col("parent").alias("path"), F.col("step").alias("key"))
-    form = detect_format(F.col("key"))
-    keys = keys.select("path", F.explode(F.array(pair("key_format", form), pair("key_len", F.octet_length("key")), F.when(form == "other", pair("key_skeleton", skeleton(F.col("key")))).otherwise(none))).alias("x")).select("path", "x.*")
-    return own.union(keys).where("measure is not null").groupBy("path", "measure", "bucket").agg(F.count("*").alias("n"))
-
-
-def signature_table(exploded: DataFrame) -> DataFrame:
-    """Counts of the signatures of the elements of each array."""
-    found = signature_counts(exploded.where("pos is not null and key is null").select("path", "member"))
-    return found.select("path", F.lit("signature").alias("measure"), "bucket", "n")
+    keys = table.where("not is_index and parent is not null").groupBy(F.col("parent").alias("path"), F.col("step").alias("key")).agg(F.sum("n").alias("n"))
+    keys = keys.withColumn("form", detect_format(F.col("key")))
+    of_key = F.array(pair("key_format", F.col("form")), pair("key_len", F.octet_length("key")), pair("key_skeleton", F.when(F.col("form") == "other", skeleton(F.col("key")))))
+    keys = keys.select("path", F.explode(of_key).alias("x"), "n").select("path", "x.*", "n")
+    return owned.union(keys).where("bucket is not null").groupBy("path", "measure", "bucket").agg(F.sum("n").alias("n"))
+
+
+def signature_table(found: DataFrame, values: DataFrame) -> DataFrame:
+    """Counts of the signatures of the elements of each array, from groups and, for those that their type doesn't tell,
+    from the values they come from."""
+    leaves = found.where("is_index and type is null").select(F.col("parent").alias("path"), F.col("kind").alias("bucket"), "n")
+    told = found.where(F.col("is_index") & (F.col("type") != _UNTOLD)).groupBy(F.col("parent").alias("path"), "type").agg(F.sum("n").alias("n"))
+    out = leaves.union(signature_of_types(told))
+    if not found.where(F.col("type") == _UNTOLD).isEmpty():
+        schema = F.when(F.col("kind") == "object", F.schema_of_variant("v"))
+        untold = values.where(F.col("is_index") & F.col("v").isNotNull()).where(~F.coalesce(type_tells(schema), F.lit(False)))
+        out = out.union(signature_counts(untold.select(F.col("parent").alias("path"), F.col("v").alias("member"))))
+    return out.groupBy("path", F.lit("signature").alias("measure"), "bucket").agg(F.sum("n").alias("n"))
 
 
 def merge(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:

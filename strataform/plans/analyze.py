@@ -11,24 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import stats
-from ..operators.walk import MAX_DEPTH, levels, values_of
+from ..operators.walk import MAX_DEPTH, opened
 from ..sources.documents import from_json
 from . import report as reports
 from .shape import DRIVER_ROWS, Node, Policy, Shape, build, collect, collect_rows, routed, to_spark
 
 
 def statistics(docs: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(values, buckets) of documents (ord, v), by raw path; lazily, over the levels of the walk."""
-    found = levels(docs, max_depth)
-    if not found:
-        empty = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("ord", T.LongType()), T.StructField("path", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("step", T.StringType()), T.StructField("is_index", T.BooleanType()), T.StructField("kind", T.StringType()), T.StructField("num", T.DoubleType()), T.StructField("str", T.StringType()), T.StructField("size", T.IntegerType())]))
-        return stats.value_table(empty), stats.bucket_table(empty)
-    values = [values_of(x) for x in found]
-    all_values, signatures = values[0], stats.signature_table(found[0])
-    for v, x in zip(values[1:], found[1:], strict=True):
-        all_values, signatures = all_values.union(v), signatures.union(stats.signature_table(x))
-    all_values = all_values.persist(StorageLevel.MEMORY_AND_DISK)  # both tables read it
-    return stats.value_table(all_values), stats.bucket_table(all_values).unionByName(signatures)
+    """(values, buckets) of documents (ord, v), by raw path, each from one pass over the values."""
+    kept = stats.element_value(F.col("kind"), F.col("is_index"), F.col("v"))
+    values = opened(docs, max_depth, kept)
+    table, found = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (stats.value_table(values), stats.groups(values)))  # by path: few rows
+    return table, stats.bucket_table(found, table).unionByName(stats.signature_table(found, values))
 
 
 @dataclass
