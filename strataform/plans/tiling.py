@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.walk import KINDS, SCALARS, opened
+from ..sources.storage import materialize
 
 TILE_BITS = 11
 TILE = 1 << TILE_BITS
@@ -47,20 +48,22 @@ def _bitmap(bits: str) -> Column:
 def headers(docs: DataFrame) -> DataFrame:
     """(tile, docs, path, n, n_null, kinds, present, nulls) of documents (ord, v) with numbers from 0.
 
-    n, n_null: documents that have the path at all, and as null; kinds: values of each kind.
+    n, n_null: documents that have the path at all, and as null; kinds: values of each kind. Documents are walked once,
+    here; what is asked of headers later reads the stored words.
     """
     # bitmaps are built up in words, as most paths are in few documents of a tile
     word = F.shiftright(F.col("ord").bitwiseAND(F.lit(TILE - 1)), _WORD_BITS).cast("int")
     values = opened(docs).select(tile_of(F.col("ord")).alias("tile"), word.alias("word"), F.col("pattern").alias("path"), "kind", F.expr(_BIT).alias("bit"))
-    null = F.when(F.col("kind") == "null", F.col("bit")).otherwise(0)
-    words = values.groupBy("tile", "path", "word").agg(F.bit_or("bit").alias("bits"), F.bit_or(null).alias("null_bits"), *(F.count_if(F.col("kind") == k).alias(f"k_{k}") for k in KINDS))
+    kept = materialize(values.groupBy("tile", "path", "word", "kind").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("values")))
+    null = F.when(F.col("kind") == "null", F.col("bits")).otherwise(0)
+    words = kept.groupBy("tile", "path", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or(null).alias("null_bits"), *(F.sum(F.when(F.col("kind") == k, F.col("values")).otherwise(0)).alias(f"k_{k}") for k in KINDS))
     found = words.groupBy("tile", "path").agg(
         F.sum(F.bit_count("bits")).alias("n"), F.sum(F.bit_count("null_bits")).alias("n_null"), _bitmap("bits").alias("present"), _bitmap("null_bits").alias("nulls"),
         *(F.sum(f"k_{k}").alias(f"k_{k}") for k in KINDS),
     )
     kinds = F.array_compact(F.array(*(F.when(F.col(f"k_{k}") > 0, F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("values"))) for k in sorted(KINDS))))
     trimmed = found.withColumn("kinds", F.map_from_entries(kinds))
-    roots = trimmed.where("path = '.'").select("tile", F.col("n").alias("docs"))  # every document has a root
+    roots = words.where("path = '.'").groupBy("tile").agg(F.sum(F.bit_count("bits")).alias("docs"))  # every document has a root
     return trimmed.join(roots, "tile").select("tile", "docs", "path", "n", "n_null", "kinds", "present", "nulls")
 
 

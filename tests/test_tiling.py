@@ -162,3 +162,8 @@ def test_no_match_fails_its_test(spark, docs):
     p = wanted["p3"] & Exists(".a") | ~IsKind(".b", "i64")
     assert matching(rows, p, layout).count() == sum(holds(p, doc) for doc in VALUES)
     assert unpushed(~Compare(".b", "<", 1), layout)[0][1].startswith("what it negates")
+
+
+def test_headers_walk_documents_once(spark, docs):
+    found = tiling.promotion(tiling.headers(docs.select("ord", F.parse_json(F.to_json("v")).alias("v"))))
+    assert "parsejson" not in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
