@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import parse, render, variant_path
 from ..operators.walk import kind
+from .storage import forget, materialize
 
 TYPES = {"bool": "boolean", "i64": "long", "u64": "decimal(20,0)", "f64": "double", "string": "string"}
 #: The variant types that a column takes values of.
@@ -171,9 +172,10 @@ def value(path: str, layout: Layout) -> Column:
 
 def write(docs: DataFrame, layout: Layout, path: str, files: int | None = None) -> None:
     """Store documents under ``path``: their rows, in the order of their numbers, and the layout."""
-    rows = shred(docs, layout)
-    rows = rows.repartitionByRange(files, "ord") if files else rows.repartitionByRange("ord")
+    shredded = materialize(shred(docs, layout))  # ranges come from a look at all rows before they are dealt
+    rows = shredded.repartitionByRange(files, "ord") if files else shredded.repartitionByRange("ord")
     rows.sortWithinPartitions("ord").write.mode("overwrite").parquet(f"{path}/rows")
+    forget(shredded)
     docs.sparkSession.createDataFrame([(layout.as_json(),)], "layout string").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
 

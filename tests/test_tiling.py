@@ -167,3 +167,16 @@ def test_no_match_fails_its_test(spark, docs):
 def test_headers_walk_documents_once(spark, docs):
     found = tiling.promotion(tiling.headers(docs.select("ord", F.parse_json(F.to_json("v")).alias("v"))))
     assert "parsejson" not in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+
+
+def test_documents_are_shredded_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        seen.add(1)
+        return f'{{"n": {n}}}'
+
+    docs = spark.range(40).select(F.col("id").alias("ord"), F.parse_json(text("id")).alias("v"))
+    shredded.write(docs, Layout((), ()), str(tmp_path / "t"))
+    assert seen.value == 40 and spark.read.parquet(str(tmp_path / "t/rows")).count() == 40
