@@ -933,3 +933,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sizes[0] == docs.count() - 4  # null, empty, blank and digits only have no language
     assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[4] > 0
     assert json.dumps(sizes)
+
+
+def test_unigram_scores_need_no_context_trees(spark, docs, rows, tmp_path, monkeypatch):
+    from strataform.llm import registry
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(context_trees, "text_values", None)
+    got = registry.unigram_scores(spark, str(tmp_path)).collect()
+    train = [r["text"] or "" for r in rows if zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in [*words(t), None])
+    n, v = sum(c.values()), len(c)
+    want = [(len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) for w in ([*words(r["text"]), None] for r in rows)]
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == sorted(w[:3] for w in want)
+    assert sum(r["base_score"] for r in got) == pytest.approx(sum(w[3] for w in want), rel=1e-4)
