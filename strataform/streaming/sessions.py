@@ -15,6 +15,9 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,13 +31,59 @@ _STATE = "id string, config string, opened string, shapes array<string>, first l
 _BLOCK_BITS = 16
 
 
-def _session_id(refs: list[str], pattern: str, first: int) -> str:
-    return "|".join((*refs, pattern, str(first)))
+#: Rows that go into and come out of the state in one piece, as Arrow bytes; rows of a piece that comes out at most.
+_PACK, _EVENTS, _OUT_ROWS = "refs array<string>, pattern string, at timestamp, data binary", "refs array<string>, pattern string, data binary", 1 << 16
+_TEXTS = ("config", "path", "observed", "shape")
 
 
-def _close(key: tuple, state: tuple, reason: str) -> Row:
-    refs, pattern = key
-    return Row(session=state[0], event="close", refs=list(refs), pattern=pattern, ord=None, path=None, observed=None, shape=None, reason=reason, occurrences=state[7], first=state[4], last=state[5])
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.BufferReader(bytes(data))).read_all()
+
+
+def _pack(batches):
+    """Of each batch one row a cluster: (refs, pattern, its latest moment, its rows)."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        cluster = rows["cluster"].combine_chunks().dictionary_encode()
+        data = rows.select(["ord", "ms"])
+        for c in _TEXTS:
+            data = data.append_column(c, rows[c].cast(pa.large_string()))
+        for code in range(len(cluster.dictionary)):
+            at = np.flatnonzero(cluster.indices.to_numpy() == code)
+            some = rows.take(at)
+            yield pa.RecordBatch.from_arrays([some["refs"].slice(0, 1).combine_chunks(), some["pattern"].slice(0, 1).combine_chunks(), pa.array([pc.max(some["at"]).as_py()], some["at"].type), pa.array([_packed(data.take(at))], pa.binary())], names=["refs", "pattern", "at", "data"])
+
+
+def _unpack(batches):
+    """The rows of ``EVENT`` from what the state gave."""
+    for batch in batches:
+        for k, data in enumerate(batch.column("data")):
+            events = _unpacked(data.as_py())
+            zeros = np.zeros(len(events), dtype=np.int64)
+            for c in ("pattern", "refs"):
+                events = events.add_column(2, c, batch.column(c).slice(k, 1).take(pa.array(zeros)))
+            yield from events.combine_chunks().to_batches()
+
+
+def _events(session, event, ord_=None, path=None, observed=None, shape=None, reason=None, occurrences=None, first=None, last=None) -> pa.Table:
+    n = len(session)
+    text, number = ((lambda x, t=t: pa.nulls(n, t) if x is None else pa.array(x, t) if not isinstance(x, pa.ChunkedArray | pa.Array) else x.cast(t)) for t in (pa.string(), pa.int64()))
+    return pa.table({"session": text(session), "event": text(event), "ord": number(ord_), "path": text(path), "observed": text(observed), "shape": text(shape), "reason": text(reason), "occurrences": number(occurrences), "first": number(first), "last": number(last)})
+
+
+def _codes(column: pa.ChunkedArray, also) -> tuple[np.ndarray, pa.Array, int]:
+    """Numbers of equal values, nulls alike; the values; the number of ``also``, or -1."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    values = coded.dictionary
+    at = np.flatnonzero(~values.is_valid().to_numpy(zero_copy_only=False)) if also is None else pc.indices_nonzero(pc.fill_null(pc.equal(values, pa.scalar(also, values.type)), False)).to_numpy()
+    return coded.indices.to_numpy().astype(np.int64), values, int(at[0]) if len(at) else -1
 
 
 class _Sessions(StatefulProcessor):
@@ -44,30 +93,64 @@ class _Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("session", _STATE)
 
+    def _told(self, key, events: pa.Table) -> Iterator[Row]:
+        refs, pattern = key
+        for at in range(0, len(events), _OUT_ROWS):
+            yield Row(refs=list(refs), pattern=pattern, data=_packed(events.slice(at, _OUT_ROWS)))
+
+    def _close(self, state: tuple, reason: str) -> pa.Table:
+        return _events([state[0]], ["close"], reason=[reason], occurrences=[state[7]], first=[state[4]], last=[state[5]])
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         refs, pattern = key
         state = tuple(self.state.get()) if self.state.exists() else None
         before = state[6] if state else None
-        for r in sorted(rows, key=lambda r: (r.ord, r.path)):  # one cluster's rows of one micro-batch
-            event = lambda kind, session, observed, shape: Row(session=session, event=kind, refs=list(refs), pattern=pattern, ord=r.ord, path=r.path, observed=observed, shape=shape, reason=None, occurrences=None, first=None, last=None)  # noqa: E731, B023
-            if state and (r.config != state[1] or r.ms - state[6] > self.idle_ms):
-                yield _close(key, state, "evicted" if r.ms - state[6] > self.idle_ms else "config_changed")
-                state = None
-            if not state:
-                state = (_session_id(refs, pattern, r.ord), r.config, r.observed, [r.shape], r.ord, r.ord, r.ms, 1)
-                yield event("open", state[0], r.observed, r.shape)
-                continue
-            new = r.shape not in state[3]
-            state = (*state[:3], [*state[3], r.shape] if new else state[3], state[4], r.ord, r.ms, state[7] + 1)
-            yield event("grow" if new else "fit", state[0], None if r.observed == state[2] else r.observed, r.shape if new else None)
-        self.state.update(state)
+        found = pa.concat_tables([_unpacked(r.data) for r in rows])  # one cluster's rows of one micro-batch
+        found = found.take(pc.sort_indices(found, [("ord", "ascending"), ("path", "ascending")]))
+        ord_, ms = found["ord"].to_numpy(), found["ms"].to_numpy()
+        config, configs, own_config = _codes(found["config"], state[1] if state else None)
+        shape, shapes, _ = _codes(found["shape"], None)
+        observed, _, own_opened = _codes(found["observed"], state[2] if state else None)
+        gap = np.diff(ms, prepend=state[6] if state else ms[0]) > self.idle_ms
+        starts = gap | (np.diff(config, prepend=own_config if state else config[0]) != 0)
+        starts[0] |= state is None
+        begin = np.flatnonzero(starts)
+        if state:
+            yield from self._told(key, self._close(state, "evicted" if gap[0] else "config_changed")) if starts[0] else ()
+            state = None if starts[0] else state
+        # session 0 is the one that was open, if it goes on
+        nth = np.cumsum(starts) - (state is None)
+        names = ([state[0]] if state else []) + ["|".join((*refs, pattern, str(x))) for x in ord_[begin].tolist()]
+        opened = np.concatenate([[own_opened] * (state is not None), observed[begin]]).astype(np.int64)
+        new = np.zeros(len(nth), dtype=bool)
+        new[np.unique(nth * len(shapes) + shape, return_index=True)[1]] = True
+        if state:
+            new &= ~((nth == 0) & np.isin(shape, [i for i, x in enumerate(shapes.to_pylist()) if x in state[3]]))
+        event = pa.array(["fit", "grow", "open"]).take(pa.array(np.where(starts, 2, new)))
+        masked = lambda c, hidden: pc.if_else(pa.array(hidden), pa.scalar(None, found[c].type), found[c])
+        yield from self._told(key, _events(pa.array(names).take(pa.array(nth)), event, found["ord"], found["path"], masked("observed", ~starts & (observed == opened[nth])), masked("shape", ~new)))
+        # where each session has its first row here, how many it has, and what the open one had before
+        edge = np.concatenate([[0] * (state is not None), begin, [len(nth)]]).astype(np.int64)
+        count, first, last = np.diff(edge), ord_[edge[:-1]], ord_[edge[1:] - 1]
+        if state:
+            count[0] += state[7]
+            first[0] = state[4]
+        if len(names) > 1:
+            yield from self._told(key, _events(names[:-1], ["close"] * (len(names) - 1), reason=np.where(gap[edge[1:-1]], "evicted", "config_changed").tolist(), occurrences=count[:-1], first=first[:-1], last=last[:-1]))
+        tail = slice(int(edge[-2]), None)
+        goes_on = state is not None and len(names) == 1
+        seen = list(state[3]) if goes_on else []
+        seen += shapes.take(pa.array(shape[tail][new[tail]])).to_pylist()
+        text = state[2] if goes_on else found["observed"][tail.start].as_py()
+        now = (names[-1], configs[int(config[-1])].as_py(), text, seen, int(first[-1]), int(last[-1]), int(ms[-1]), int(count[-1]))
+        self.state.update(now)
         if before is not None:
             self.handle.deleteTimer(before + self.idle_ms + 1)
-        self.handle.registerTimer(state[6] + self.idle_ms + 1)
+        self.handle.registerTimer(now[6] + self.idle_ms + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.state.exists():
-            yield _close(key, tuple(self.state.get()), "evicted")
+            yield from self._told(key, self._close(tuple(self.state.get()), "evicted"))
             self.state.clear()
 
     def close(self) -> None:
@@ -90,10 +173,13 @@ def session_stream(found: DataFrame, idle_seconds: int, late_seconds: int = 0) -
     """Events of a stream of exceptions (ord, at, config, refs, pattern, path, observed, shape); ``at`` is event time.
 
     Rows of one micro-batch are put in the order of ``ord``, micro-batches come in theirs; rows that are behind the
-    watermark by more than ``late_seconds`` are Spark's to drop.
+    watermark by more than ``late_seconds`` are Spark's to drop, together with those they travel with. Rows go to the state
+    and events come from it in pieces of many, so that little is done for each alone.
     """
-    rows = found.withWatermark("at", f"{late_seconds} seconds").withColumn("ms", F.unix_millis("at"))
-    return rows.groupBy("refs", "pattern").transformWithState(_Sessions(idle_seconds * 1000), EVENT, "append", "eventTime")
+    rows = found.select("ord", "at", "config", "refs", "pattern", "path", "observed", "shape", F.unix_millis("at").alias("ms"), F.to_json(F.struct("refs", "pattern")).alias("cluster"))
+    packs = rows.mapInArrow(_pack, _PACK).withWatermark("at", f"{late_seconds} seconds")
+    events = packs.groupBy("refs", "pattern").transformWithState(_Sessions(idle_seconds * 1000), _EVENTS, "append", "eventTime")
+    return events.mapInArrow(_unpack, EVENT)
 
 
 def close_open(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -72,3 +72,15 @@ def test_a_stream_gives_the_same_events_across_a_restart(spark, tmp_path):
                 query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).unionByName(close_open(spark, str(tmp_path / "check")))
     assert told(got) == want
+
+
+def test_rows_go_to_the_state_in_pieces():
+    """A cluster's rows of a batch are one row, however many they are."""
+    import pyarrow as pa
+
+    from strataform.streaming import sessions
+
+    rows = [{**dict(zip(("ord", "at", "config", "refs", "pattern", "path", "observed", "shape"), (i, datetime(2024, 1, 1) + timedelta(seconds=i), "v", ["a"] if i % 3 else ["a", "b"], ".x", ".x", None, "i64"), strict=True)), "ms": i * 1000, "cluster": str(i % 3 == 0)} for i in range(3000)]
+    packs = pa.Table.from_batches(list(sessions._pack(pa.Table.from_pylist(rows).to_batches())))
+    assert sorted(packs["refs"].to_pylist()) == [["a"], ["a", "b"]] and max(packs["at"].to_pylist()) == rows[-1]["at"]
+    assert sorted(x for d in packs["data"].to_pylist() for x in sessions._unpacked(d)["ord"].to_pylist()) == list(range(3000))
