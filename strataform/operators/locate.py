@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import Step, child, parse, render, variant_path
+from .walk import short_methods
 
-_ROW = "struct<node:int,path:string,v:variant>"
+_ROW = "struct<to:int,key:string,at:int,v:variant>"
 
 
 def _trie(patterns: Iterable[str]) -> tuple[dict[str, int], dict[int, list[tuple[Step, int]]]]:
@@ -32,32 +33,34 @@ def _trie(patterns: Iterable[str]) -> tuple[dict[str, int], dict[int, list[tuple
 
 
 def _next(edges: dict[int, list[tuple[Step, int]]], kept: set[int]) -> Column:
-    """The rows that a row (node, path, v) turns into. A kept value's node is -1 - node."""
-    node, path, v = F.col("node"), F.col("path"), F.col("v")
+    """What a row (node, v) turns into: nodes, the keys or indices that lead there, and values (null where a named member
+    isn't there). A kept value's node is -1 - node.
+
+    Nothing here is a function of higher order, which Spark would interpret together with all around it.
+    """
+    node, v = F.col("node"), F.col("v")
+    null = lambda kind: F.lit(None).cast(kind)
+    one = lambda to, v, key=None, at=None: F.array(F.struct(to.cast("int").alias("to"), F.lit(key).cast("string").alias("key"), F.lit(at).cast("int").alias("at"), v.alias("v"))).cast(f"array<{_ROW}>")
     none = F.array().cast(f"array<{_ROW}>")
-    row = lambda to, path, v: F.struct(to.cast("int").alias("node"), path.alias("path"), v.alias("v"))
-    found = F.when(node < 0, F.array(row(node, path, v))).when(node.isin(*kept), F.array(row(-1 - node, path, v))).otherwise(none)
-    parts = [found]
-
-    def members(at: int, to: int, any_index: bool) -> Column:
-        """The members of a row at ``at``, as rows at ``to``."""
-        if any_index:
-            moved = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda m, i: row(F.lit(to), child(path, F.lit(None).cast("string"), i), m))
-        else:
-            moved = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda m: row(F.lit(to), child(path, m["key"], F.lit(None).cast("int")), m["value"]))
-        return F.when(node == at, F.coalesce(moved, none)).otherwise(none)
-
-    for at, ways in edges.items():
-        fixed = []
-        for step, to in ways:
+
+    def members(to: int, any_index: bool) -> Column:
+        found = F.try_variant_get(v, "$", "array<variant>" if any_index else "map<string,variant>")
+        n = F.size(found)
+        key = F.array_repeat(null("string"), n) if any_index else F.map_keys(found)
+        at = F.sequence(F.lit(0), n - 1) if any_index else F.array_repeat(null("int"), n)
+        rows = F.arrays_zip(F.array_repeat(F.lit(to), n), key, at, found if any_index else F.map_values(found)).cast(f"array<{_ROW}>")
+        return F.when(n > 0, rows).otherwise(none)
+
+    out = F.when(node < 0, one(node, v))
+    for at in sorted(set(edges) | kept):
+        parts = [one(F.lit(-1 - at), v)] if at in kept else []
+        for step, to in edges.get(at, ()):
             if step.kind in ("field", "index"):
-                key = F.lit(step.key).cast("string")
-                fixed.append(row(F.lit(to), child(path, key, F.lit(step.index)), F.try_variant_get(v, variant_path(render([step])), "variant")))
+                parts.append(one(F.lit(to), F.try_variant_get(v, variant_path(render([step])), "variant"), step.key, step.index))
             else:
-                parts.append(members(at, to, step.kind == "any_index"))
-        if fixed:
-            parts.append(F.when(node == at, F.filter(F.array(*fixed), lambda r: r["v"].isNotNull())).otherwise(none))
-    return F.concat(*parts)
+                parts.append(members(to, step.kind == "any_index"))
+        out = out.when(node == at, F.concat(*parts) if len(parts) > 1 else parts[0])
+    return out.otherwise(none)
 
 
 def locate(docs: DataFrame, patterns: Iterable[str], keep: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -68,9 +71,18 @@ def locate(docs: DataFrame, patterns: Iterable[str], keep: tuple[str, ...] = ("o
     patterns = sorted({render(parse(p)) for p in patterns})
     nodes, edges = _trie(patterns)
     kept = {nodes[p] for p in patterns}
+    short_methods(docs.sparkSession)
+    known = [(n, name) for name, n in nodes.items() if not any(s.kind.startswith("any") for s in parse(name))]  # paths that need no look at the value
     rows = docs.select(*keep, F.lit(0).alias("node"), F.lit(".").alias("path"), "v")
     for _ in range(max((len(parse(p)) for p in patterns), default=0)):
-        rows = rows.select(*keep, F.explode(_next(edges, kept)).alias("r")).select(*keep, "r.node", "r.path", "r.v")
+        # an inner explode would have what it explodes worked out twice, as Spark asks for its size before
+        rows = rows.select(*keep, F.col("path").alias("up"), _next(edges, kept).alias("r")).select(*keep, "up", F.explode_outer("r").alias("r")).select(*keep, "up", "r.*").where("v is not null or to < 0")
+        path = F.when(F.col("to") < 0, F.col("up"))
+        for n, name in known:
+            path = path.when(F.col("to") == n, name)
+        rows = rows.select(*keep, F.col("to").alias("node"), path.otherwise(child(F.col("up"), F.col("key"), F.col("at"))).alias("path"), "v")
     ends = rows.withColumn("node", F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node"))).where(F.col("node").isin(*kept))
-    names = F.create_map(*(F.lit(x) for p in patterns for x in (nodes[p], p))) if patterns else F.lit(None).cast("map<int,string>")
-    return ends.select(*keep, names[F.col("node")].alias("pattern"), "path", "v")
+    pattern = F.lit(None).cast("string")
+    for p in patterns:
+        pattern = F.when(F.col("node") == nodes[p], p).otherwise(pattern)
+    return ends.select(*keep, pattern.alias("pattern"), "path", "v")

@@ -7,7 +7,7 @@ are, and stores none of them. ``levels`` gives the levels one by one, each kept
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import child
@@ -19,6 +19,12 @@ KINDS = (*SCALARS, "object", "array")
 MAX_DEPTH = 500
 
 
+def short_methods(spark: SparkSession) -> None:
+    """Stages whose code would be longer than Java compiles (8,000 bytes) run operator by operator, in methods that it does
+    compile; in one method they would be interpreted."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def kind_of(schema: Column, number: Column) -> Column:
     """The kind of a scalar or an empty container from its variant type and, for decimals, its value.
 
@@ -134,7 +140,9 @@ def _open(rows: DataFrame, kept: Column) -> DataFrame:
     elements = F.arrays_zip(F.array_repeat(none, F.size("_array")), F.col("_array")).cast(_MEMBERS)
     members = F.when(F.col("_map").isNotNull(), F.map_entries("_map").cast(_MEMBERS)).otherwise(elements)
     own = F.array(one(none, kept)).cast(_MEMBERS)
-    rows = rows.select("ord", "path", "pattern", "parent", "step", "is_index", "kind", "num", "str", "size", F.posexplode(F.when(F.coalesce(F.col("size"), F.lit(0)) == 0, own).otherwise(F.coalesce(F.concat(own, members), own))).alias("_at", "_m"))
+    both = F.when(F.coalesce(F.col("size"), F.lit(0)) == 0, own).otherwise(F.coalesce(F.concat(own, members), own))
+    # never empty; an inner explode would have all of it worked out twice, as Spark asks for its size before
+    rows = rows.select("ord", "path", "pattern", "parent", "step", "is_index", "kind", "num", "str", "size", F.posexplode_outer(both).alias("_at", "_m"))
     member, key, at = F.col("_at") > 0, F.col("_m.key"), F.col("_at") - 1
     index = key.isNull()
     up = lambda c, new: F.when(member, new).otherwise(F.col(c)).alias(c)
@@ -168,6 +176,7 @@ def opened(docs: DataFrame, max_depth: int = MAX_DEPTH, kept: Column | None = No
     the other in one stage, and nothing of them is stored; only below every ``_STAGE`` levels the values still to be opened
     are persisted.
     """
+    short_methods(docs.sparkSession)
     kept = F.lit(None).cast("variant") if kept is None else kept
     rows, left, out = _start(docs), max_depth + 1, None
     while True:

@@ -91,31 +91,18 @@ def _holds(a: Assertion) -> Column:
     return found & (F.size(_inner(F.try_variant_get("v", "$", _ELEMENTS))) <= 1) if a.target == "bag" else found
 
 
-def _items(a: Assertion) -> Column:
-    """What a value adds to its assertion's line."""
-    elements, members = F.try_variant_get("v", "$", _ELEMENTS), F.try_variant_get("v", "$", _MEMBERS)
-    if a.target == "record":
-        return F.map_keys(members)
-    if a.target == "map":
-        return _inner(F.map_values(members))
-    if a.target == "tuple":
-        return F.array(F.size(elements).cast("string"))
-    placed = F.filter(F.transform(elements, lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"))), lambda p: p["k"] != "null")
-    return F.transform(placed, lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["k"]))
-
-
-def _observed(docs: DataFrame, assertions: list[Assertion]) -> DataFrame:
-    """(assertion, target, tolerance, allowed, ord, pattern, path, v, ok, items): every value with each assertion on it."""
-    none = F.lit(None).cast("array<string>")
-    each = [
-        F.when(
-            F.col("pattern") == a.pattern,
-            F.struct(F.lit(a.id).alias("assertion"), F.lit(a.target).alias("target"), F.lit(a.tolerance).alias("tolerance"), F.lit(a.limit).cast("long").alias("allowed"), _holds(a).alias("ok"), (F.when(_holds(a), _items(a)) if a.target in LINES else none).alias("items")),
-        )
-        for a in assertions
-    ]
-    rows = _checked(docs, assertions)
-    return rows.select("ord", "pattern", "path", "v", F.explode(F.array_compact(F.array(*each))).alias("x")).select("x.*", "ord", "pattern", "path", "v")
+def _broken(assertions: list[Assertion]) -> Column:
+    """The ids of the assertions that a row of ``_checked`` breaks."""
+    none = F.array().cast("array<string>")
+    return F.concat(none, *(F.when((F.col("pattern") == a.pattern) & ~_holds(a), F.array(F.lit(a.id))).otherwise(none) for a in assertions))
+
+
+def _of(assertions: list[Assertion], kind: str, what) -> Column:
+    """``what`` of the assertion that a row is about."""
+    out = F.lit(None).cast(kind)
+    for a in assertions:
+        out = F.when(F.col("assertion") == a.id, F.lit(what(a)).cast(kind)).otherwise(out)
+    return out
 
 
 def exceptions(docs: DataFrame, assertions: Iterable[Assertion], keep: tuple[str, ...] = ("ord",)) -> DataFrame:
@@ -124,8 +111,7 @@ def exceptions(docs: DataFrame, assertions: Iterable[Assertion], keep: tuple[str
     Every row comes from one document alone, without tolerance or lines, so ``docs`` may be a stream.
     """
     assertions = sorted(assertions, key=lambda a: a.id)
-    refs = F.array_compact(F.array(*(F.when((F.col("pattern") == a.pattern) & ~_holds(a), F.lit(a.id)) for a in assertions)))
-    rows = _checked(docs, assertions, keep).withColumn("refs", refs).where(F.size("refs") > 0)
+    rows = _checked(docs, assertions, keep).withColumn("refs", _broken(assertions)).where(F.size("refs") > 0)
     return rows.select(*keep, "refs", "pattern", "path", F.to_json("v").alias("observed"), element_signature(F.col("v")).alias("shape"))
 
 
@@ -141,9 +127,11 @@ def _nth(rows: DataFrame, n: str) -> DataFrame:
     return within.withColumn("place", place).where(F.col("place") == F.col("rank")).select("assertion", F.col("ord").alias("nth"))
 
 
-def _single(observed: DataFrame, assertions: list[Assertion]) -> DataFrame:
+def _single(docs: DataFrame, assertions: list[Assertion]) -> DataFrame:
     """Values that break their assertion, from the first document that isn't tolerated."""
-    broken = observed.where(~F.col("ok")).select("assertion", "target", "tolerance", "ord", "pattern", "path", "v")
+    rows = _checked(docs, assertions).select("ord", "pattern", "path", "v", _broken(assertions).alias("ids"))
+    rows = rows.select("ord", "pattern", "path", "v", F.explode_outer("ids").alias("assertion")).where("assertion is not null")
+    broken = rows.select("assertion", _of(assertions, "string", lambda a: a.target).alias("target"), _of(assertions, "int", lambda a: a.tolerance).alias("tolerance"), "ord", "pattern", "path", "v")
     if any(a.tolerance for a in assertions):
         broken = materialize(broken)
         docs = broken.where("tolerance > 0").select("assertion", "ord", (F.col("tolerance") + 1).cast("long").alias("n")).distinct()
@@ -152,10 +140,32 @@ def _single(observed: DataFrame, assertions: list[Assertion]) -> DataFrame:
     return broken.select("assertion", "target", F.lit("document").alias("mode"), "ord", "pattern", "path", F.to_json("v").alias("observed"), element_signature(F.col("v")).alias("shape"), F.lit(None).cast("long").alias("tipped_at"))
 
 
-def _lines(observed: DataFrame) -> DataFrame:
+def _items(docs: DataFrame, assertions: list[Assertion]) -> DataFrame:
+    """(assertion, ord, item): what values add to their assertions' lines. Only these patterns are read, and members are
+    looked at one by one."""
+    none = F.array().cast("array<string>")
+    about = F.concat(none, *(F.when(F.col("pattern") == a.pattern, F.array(F.lit(a.id))).otherwise(none) for a in assertions))
+    rows = locate(docs, [a.pattern for a in assertions]).select("ord", "v", about.alias("ids")).select("ord", "v", F.explode_outer("ids").alias("assertion")).where("assertion is not null")
+    of = lambda *targets: F.col("assertion").isin(*(a.id for a in assertions if a.target in targets))
+    keyed = F.when(of("record", "map"), F.try_variant_get("v", "$", _MEMBERS))
+    listed = F.when(of("tuple", "order"), F.try_variant_get("v", "$", _ELEMENTS))
+    rows = rows.select("ord", "assertion", keyed.alias("_map"), listed.alias("_array"))
+    # a tuple's item is its length; of a record's the keys are enough
+    null = lambda kind, n: F.array_repeat(F.lit(None).cast(kind), n)
+    row = "array<struct<key:string,value:variant>>"
+    n = F.size("_map")
+    members = F.when(of("record"), F.arrays_zip(F.map_keys("_map"), null("variant", n)).cast(row)).when(of("map"), F.arrays_zip(null("string", n), F.map_values("_map")).cast(row))
+    members = members.when(of("tuple"), F.array(F.struct(F.size("_array").cast("string"), F.lit(None).cast("variant"))).cast(row)).otherwise(F.arrays_zip(null("string", F.size("_array")), F.col("_array")).cast(row))
+    rows = rows.where("_map is not null or _array is not null").select("ord", "assertion", members.alias("ms")).select("ord", "assertion", F.posexplode_outer("ms").alias("pos", "m")).where("m is not null").select("ord", "assertion", "pos", "m.*")
+    found = rows.withColumn("kind", F.when(of("map", "order"), kind(F.col("value"))))
+    item = F.when(of("map"), F.col("kind")).when(of("order"), F.concat(F.col("pos").cast("string"), F.lit(":"), F.col("kind"))).otherwise(F.col("key"))
+    return found.where("kind is null or kind <> 'null'").select("assertion", "ord", item.alias("item"))
+
+
+def _lines(docs: DataFrame, assertions: list[Assertion]) -> DataFrame:
     """The document that takes each broken line over, and how many items there were with it."""
-    firsts = observed.where("items is not null").select("assertion", "target", "pattern", "tolerance", "allowed", "ord", F.explode("items").alias("item"))
-    firsts = materialize(firsts.groupBy("assertion", "target", "pattern", "tolerance", "allowed", "item").agg(F.min("ord").alias("ord")))
+    firsts = materialize(_items(docs, assertions).groupBy("assertion", "item").agg(F.min("ord").alias("ord")))
+    firsts = firsts.select("*", _of(assertions, "string", lambda a: a.target).alias("target"), _of(assertions, "string", lambda a: a.pattern).alias("pattern"), _of(assertions, "int", lambda a: a.tolerance).alias("tolerance"), _of(assertions, "long", lambda a: a.limit).alias("allowed"))
     place = Window.partitionBy("assertion", F.substring_index("item", ":", 1)).orderBy("ord", "item")  # the kinds at one position
     second = firsts.where("target = 'order'").withColumn("k", F.row_number().over(place)).where("k > 1").drop("k")
     items = firsts.where("target <> 'order'").unionByName(second)
@@ -173,8 +183,5 @@ def violations(docs: DataFrame, assertions: Iterable[Assertion]) -> DataFrame:
     assertions = list(assertions)
     if len({a.id for a in assertions}) < len(assertions):
         raise ValueError("assertions with the same id")
-    observed = _observed(docs, assertions)
-    found = _single(observed, assertions)
-    if any(a.target in LINES for a in assertions):
-        found = found.unionByName(_lines(observed))
-    return found
+    found, lines = _single(docs, assertions), [a for a in assertions if a.target in LINES]
+    return found.unionByName(_lines(docs, lines)) if lines else found

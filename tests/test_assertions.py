@@ -108,3 +108,8 @@ def test_assertions_are_checked(spark):
             Assertion(*bad)
     with pytest.raises(ValueError):
         violations(as_docs(spark, [1]), [Assertion("x", ".", "list"), Assertion("x", ".", "bag")])
+
+
+def test_located_values_are_worked_out_once_and_not_interpreted(spark):
+    plan = locate(as_docs(spark, [{"a": [1]}]), [".a", ".*[*]", ".a[0]"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Filter (size(" not in plan and "Filter ((size(" not in plan
