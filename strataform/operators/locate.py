@@ -76,11 +76,11 @@ def locate(docs: DataFrame, patterns: Iterable[str], keep: tuple[str, ...] = ("o
     rows = docs.select(*keep, F.lit(0).alias("node"), F.lit(".").alias("path"), "v")
     for _ in range(max((len(parse(p)) for p in patterns), default=0)):
         # an inner explode would have what it explodes worked out twice, as Spark asks for its size before
-        rows = rows.select(*keep, F.col("path").alias("up"), _next(edges, kept).alias("r")).select(*keep, "up", F.explode_outer("r").alias("r")).select(*keep, "up", "r.*").where("v is not null or to < 0")
-        path = F.when(F.col("to") < 0, F.col("up"))
+        rows = rows.select(*keep, "path", _next(edges, kept).alias("r")).select(*keep, "path", F.explode_outer("r").alias("r")).where("r.v is not null or r.to < 0")
+        path = F.when(F.col("r.to") < 0, F.col("path"))
         for n, name in known:
-            path = path.when(F.col("to") == n, name)
-        rows = rows.select(*keep, F.col("to").alias("node"), path.otherwise(child(F.col("up"), F.col("key"), F.col("at"))).alias("path"), "v")
+            path = path.when(F.col("r.to") == n, name)
+        rows = rows.select(*keep, F.col("r.to").alias("node"), path.otherwise(child(F.col("path"), F.col("r.key"), F.col("r.at"))).alias("path"), "r.v")
     ends = rows.withColumn("node", F.when(F.col("node") < 0, -1 - F.col("node")).otherwise(F.col("node"))).where(F.col("node").isin(*kept))
     pattern = F.lit(None).cast("string")
     for p in patterns:

@@ -113,3 +113,8 @@ def test_assertions_are_checked(spark):
 def test_located_values_are_worked_out_once_and_not_interpreted(spark):
     plan = locate(as_docs(spark, [{"a": [1]}]), [".a", ".*[*]", ".a[0]"])._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "Filter (size(" not in plan and "Filter ((size(" not in plan
+
+
+def test_columns_that_are_kept_may_have_any_of_these_names(spark):
+    docs = as_docs(spark, [{"a": [1]}]).selectExpr("ord", "ord as at", "'k' as key", "7L as to", "v")
+    assert locate(docs, [".a[*]"], ("ord", "at", "key", "to")).drop("v").collect() == [(0, 0, "k", 7, ".a[*]", ".a[0]")]
