@@ -1,7 +1,7 @@
 """Every value of a set of documents with its path, level by level.
 
-Documents are rows (ord, v): a number and a VARIANT. ``walk`` opens all levels in one stage, after a look at how many there
-are, and stores none of them. ``levels`` gives the levels one by one, each kept with ``persist``.
+Documents are rows (ord, v): a number and a VARIANT. ``walk`` opens all levels in one stage, after one pass that looks how many
+there are, and stores none of them. ``levels`` gives the levels one by one, each kept with ``persist``.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def kind_of(schema: Column, number: Column) -> Column:
         F.when(schema == "VOID", "null")
         .when(schema == "BOOLEAN", "bool")
         .when(schema == "BIGINT", "i64")
-        .when(schema.rlike(r"^DECIMAL\((19|20),0\)$") & F.coalesce(whole, F.lit(False)), "u64")
+        .when(schema.isin("DECIMAL(19,0)", "DECIMAL(20,0)") & F.coalesce(whole, F.lit(False)), "u64")
         .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "f64")
         .when(schema.startswith("OBJECT"), "object")
         .when(schema.startswith("ARRAY"), "array")
@@ -154,19 +154,13 @@ def _open(rows: DataFrame, kept: Column) -> DataFrame:
     )
 
 
-def _members(values: DataFrame) -> DataFrame:
-    """The members of values (v)."""
-    found = F.coalesce(F.map_values(F.try_variant_get("v", "$", "map<string,variant>")), F.try_variant_get("v", "$", "array<variant>"))
-    return values.select(F.explode(found).alias("v"))
-
-
 def _depth(values: DataFrame, most: int) -> int:
-    """Levels of values (v), counted up to ``most``; only the last look goes through all of them."""
-    for n in range(most):
-        if values.isEmpty():
-            return n
-        values = _members(values)
-    return most
+    """Levels of values (v), counted up to ``most``: one pass, as whatever makes the documents would run again for another."""
+    rows = values.select("v", F.lit(1).alias("depth"))
+    for _ in range(most - 1):
+        found = F.coalesce(F.map_values(F.try_variant_get("v", "$", "map<string,variant>")), F.try_variant_get("v", "$", "array<variant>"))
+        rows = rows.select("depth", F.posexplode_outer(found).alias("at", "v")).select("v", F.when(F.col("at").isNotNull(), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
+    return rows.agg(F.max("depth")).first()[0] or 0
 
 
 def opened(docs: DataFrame, max_depth: int = MAX_DEPTH, kept: Column | None = None) -> DataFrame:
@@ -174,13 +168,14 @@ def opened(docs: DataFrame, max_depth: int = MAX_DEPTH, kept: Column | None = No
 
     ``kept``: what of a value stays in v, over these columns and v; none of it if not given. Levels are opened one after
     the other in one stage, and nothing of them is stored; only below every ``_STAGE`` levels the values still to be opened
-    are persisted.
+    are persisted. Documents of ``from_columns`` say how many levels they have and are not looked through for it.
     """
+    known = getattr(docs, "strataform_levels", None)
     short_methods(docs.sparkSession)
     kept = F.lit(None).cast("variant") if kept is None else kept
     rows, left, out = _start(docs), max_depth + 1, None
     while True:
-        n = _depth(rows.select("v"), min(_STAGE, left) + 1)
+        n = _depth(rows.select("v"), min(_STAGE, left) + 1) if known is None else min(known, min(_STAGE, left) + 1)
         for _ in range(max(1, min(n, _STAGE, left))):
             rows = _open(rows, kept)
         seen = rows.where("kind is not null")
@@ -188,6 +183,7 @@ def opened(docs: DataFrame, max_depth: int = MAX_DEPTH, kept: Column | None = No
         left -= _STAGE
         if n <= _STAGE or left <= 0:
             return out
+        known = known and known - _STAGE
         rows = rows.where("kind is null").persist(StorageLevel.MEMORY_AND_DISK)
 
 

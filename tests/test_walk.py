@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from strataform.operators.walk import opened, walk
+from strataform.operators.walk import _depth, opened, walk
 from strataform.plans.analyze import analyze
 from strataform.plans.tiling import TILE, headers
+from strataform.sources.documents import from_columns, levels_of
 
 
 def _docs(spark, texts):
@@ -24,6 +25,34 @@ def test_levels_below_one_stage_are_opened(spark):
     assert sorted((r["path"].count("["), r["pattern"].count("[*]"), r["kind"]) for r in rows.collect()) == [(i, i, "array") for i in range(15)] + [(15, 15, "i64")]
 
 
+def test_levels_are_counted_in_one_job(spark):
+    # whatever makes the documents runs once for the count, not once a level
+    tracker = spark.sparkContext.statusTracker()
+    for texts, most, depth in ((['{"a":{"b":[1,{"c":null}]}}', "[]", "7"], 7, 5), (["null"], 7, 1), (["[[[[1]]]]"], 3, 3), ([], 7, 0)):
+        docs = _docs(spark, texts) if texts else _docs(spark, ["1"]).where("ord < 0")
+        group = f"depth-{texts}-{most}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert _depth(docs.select("v"), most) == depth
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        # the rows that are counted may be exchanged first, as a job of its own
+        assert len(tracker.getJobIdsForGroup(group)) <= 2
+
+
+def test_levels_that_columns_tell_are_not_looked_for(spark):
+    deep = "array<" * 8 + "int" + ">" * 8
+    df = spark.sql(f"select 1L as ord, array(named_struct('a', map('k', array(1, null)), 'b', 2)) as x, cast(null as {deep}) as none, from_json('{'[' * 8}7{']' * 8}', '{deep}') as deep, 's' as s")
+    for columns, levels in ((("s",), 2), (("x", "s"), 6), (("x", "none", "deep"), 10)):
+        docs = from_columns(df.select("ord", *columns), "ord")
+        spark.sparkContext.setJobGroup(f"levels-{levels}", "levels")
+        found = opened(docs)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"levels-{levels}")
+        rows = lambda d: sorted((r["path"], r["kind"], r["size"] or 0) for r in d.collect())
+        assert rows(found) == rows(opened(docs.select("ord", "v"))) and docs.strataform_levels == levels
+    # what a variant holds its type doesn't say
+    assert levels_of(df.select(F.parse_json(F.lit("[[1]]")).alias("v")).schema) is None
+
+
 def test_bitmaps_lie_as_bits_of_a_tile(spark):
     docs = spark.range(TILE + 70).select(F.col("id").alias("ord"), F.parse_json(F.when(F.col("id") % 67 == 3, '{"a":null}').otherwise('{"b":[1,"x"]}')).alias("v"))
     rows = {(r["tile"], r["path"]): r for r in headers(docs).collect()}
