@@ -27,10 +27,20 @@ def leaves(docs: DataFrame) -> DataFrame:
     return rows.select("ord", F.col("pattern").alias("path"), F.coalesce(F.to_json("v"), F.lit("null")).alias("text"))
 
 
+def leaf_counts(docs: DataFrame) -> DataFrame:
+    """(tile, path, text, n, last): how often each tile has each different leaf, and the last document with it."""
+    rows = leaves(docs).withColumn("tile", tile_of(F.col("ord")))
+    return rows.groupBy("tile", "path", "text").agg(F.count("*").alias("n"), F.max("ord").alias("last"))
+
+
+def sketched(counts: DataFrame) -> DataFrame:
+    """``tile_statistics`` from leaf counts: a sketch takes a text once, however often a tile has it."""
+    return counts.groupBy("tile", "path").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.hll_sketch_agg("text", LG_K).alias("sketch"))
+
+
 def tile_statistics(docs: DataFrame) -> DataFrame:
     """(tile, path, n, last, sketch): of each tile's leaves, the values, the last document with one, and a sketch of them."""
-    rows = leaves(docs).withColumn("tile", tile_of(F.col("ord")))
-    return rows.groupBy("tile", "path").agg(F.count("*").alias("n"), F.max("ord").alias("last"), F.hll_sketch_agg("text", LG_K).alias("sketch"))
+    return sketched(leaf_counts(docs))
 
 
 def merged(tiles: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from .plans import itemsets
 from .plans.analyze import analyze
 from .plans.assertions import Assertion, exceptions, violations
 from .plans.predicates import Compare, Exists, IsKind, skipping
-from .plans.relation import leaves, relation, tile_statistics
+from .plans.relation import leaf_counts, relation, sketched
 from .plans.report import epoch_guess
 from .plans.shape import is_map, tuple_length
 from .plans.stored import from_nodes, nodes
@@ -620,9 +620,9 @@ SELECT path, count(*) AS n, max(ord) AS last, count(DISTINCT text) AS distinct_v
 """)
 def relation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters and sketches of events' most frequent paths, and how near the sketches are to exact counts."""
-    docs = materialize(_event_docs(table(spark, sf_dir, "events")).select("ord", "v"))
-    shown = relation(tile_statistics(docs)).where(~F.col("path").startswith(".seen."))
-    exact = leaves(docs).groupBy("path").agg(F.count_distinct("text").alias("distinct_values"))
+    counts = materialize(leaf_counts(_event_docs(table(spark, sf_dir, "events")).select("ord", "v")))
+    shown = relation(sketched(counts)).where(~F.col("path").startswith(".seen."))
+    exact = counts.groupBy("path").agg(F.count_distinct("text").alias("distinct_values"))
     near = F.abs(F.col("distinct") - F.col("distinct_values")) <= F.greatest(F.lit(1.0), 0.06 * F.col("distinct_values"))
     return shown.join(exact, "path").select("path", "n", "last", "distinct_values", near.alias("near"))
 
