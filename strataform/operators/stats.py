@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from math import ceil, exp, log
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,27 @@ def groups(values: DataFrame) -> DataFrame:
     return found.select("*", *(parts[c].alias(c) for c in _COUNTED)).drop("counted")
 
 
+def shape_tables(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values, buckets) with what shapes are built of and nothing else, from values (with v as ``element_value`` gives it):
+    ``n``, ``first``, ``last``, sizes, and as buckets lengths of arrays and signatures of elements. The values are looked at
+    once (and those elements again whose type doesn't tell their signature), texts and numbers not at all; the few groups
+    they come to are persisted."""
+    holds = F.col("kind").isin("object", "array")
+    schema = F.when(F.col("kind") == "object", F.schema_of_variant("v"))
+    of_type = F.when(F.col("v").isNull(), "").when(F.coalesce(type_tells(schema), F.lit(False)), schema).otherwise(_UNTOLD)
+    # short keys: what a value counts as is one text, as ``groups`` has it
+    rows = values.withColumn("counted", F.when(holds, F.concat(F.col("size").cast("string"), F.lit("\n"), of_type)))
+    found = rows.groupBy(*VALUE_COLUMNS, "counted").agg(F.count("*").alias("n"), F.min("ord").alias("first"), F.max("ord").alias("last"))
+    size, text = F.substring_index("counted", "\n", 1).cast("int"), F.nullif(F.regexp_replace("counted", r"\A[^\n]*\n", ""), F.lit(""))
+    found = found.select(*VALUE_COLUMNS, size.alias("size"), F.when(holds, text).alias("type"), "n", "first", "last").persist(StorageLevel.MEMORY_AND_DISK)
+    table = found.groupBy(*VALUE_COLUMNS).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("size").alias("min_size"), F.max("size").alias("max_size"),
+        F.sum(F.col("size") * F.col("n")).alias("sum_size"),
+    )
+    lengths = found.where("kind = 'array'").groupBy("path", F.lit("length").alias("measure"), F.col("size").cast("string").alias("bucket")).agg(F.sum("n").alias("n"))
+    return table, lengths.union(signature_table(found, values))
+
+
 def bucket_table(found: DataFrame, table: DataFrame) -> DataFrame:
     """Counts of (path, measure, bucket) of groups and, for keys, the value table; not of signatures."""
     pair = lambda measure, bucket: F.struct(F.lit(measure).alias("measure"), bucket.cast("string").alias("bucket"))
@@ -144,5 +166,6 @@ def merge(*parts: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     for v, b in parts[1:]:
         values, buckets = values.unionByName(v), buckets.unionByName(b)
     least, most = ("first", "min", "min_len", "min_size"), ("last", "max", "max_len", "max_size")
-    merged = values.groupBy(*VALUE_COLUMNS).agg(*(F.sum(c).alias(c) for c in _SUMS), *(F.min(c).alias(c) for c in least), *(F.max(c).alias(c) for c in most))
+    here = lambda columns: [c for c in columns if c in values.columns]
+    merged = values.groupBy(*VALUE_COLUMNS).agg(*(F.sum(c).alias(c) for c in here(_SUMS)), *(F.min(c).alias(c) for c in here(least)), *(F.max(c).alias(c) for c in here(most)))
     return merged, buckets.groupBy("path", "measure", "bucket").agg(F.sum("n").alias("n"))

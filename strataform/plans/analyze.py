@@ -25,6 +25,13 @@ def statistics(docs: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame,
     return table, stats.bucket_table(found, table).unionByName(stats.signature_table(found, values))
 
 
+def shape_of(docs: DataFrame, policy: Policy = Policy(), driver_rows: int = DRIVER_ROWS) -> Shape:
+    """The shape that ``analyze`` finds, from those statistics alone that it is built of, in one pass over the values."""
+    some, _ = bounded(docs, policy)
+    kept = stats.element_value(F.col("kind"), F.col("is_index"), F.col("v"))
+    return outcome_of(*stats.shape_tables(opened(some, kept=kept)), policy, driver_rows=driver_rows).shape
+
+
 @dataclass
 class Outcome:
     """What an analysis found."""

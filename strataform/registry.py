@@ -17,17 +17,17 @@ from .operators.moments import quantiles as moment_quantiles
 from .operators.signatures import element_signature
 from .operators.walk import levels, values_of, walk
 from .plans import itemsets
-from .plans.analyze import analyze
+from .plans.analyze import analyze, shape_of
 from .plans.assertions import Assertion, exceptions, violations
 from .plans.predicates import Compare, Exists, IsKind, skipping
 from .plans.relation import leaf_counts, relation, sketched
 from .plans.report import epoch_guess
-from .plans.shape import is_map, tuple_length
+from .plans.shape import is_map, to_spark, tuple_length
 from .plans.stored import from_nodes, nodes
 from .plans.tiling import blooms, documents_of, headers, may_hold, promotion
 from .sources.decoders import JsonLines as Decoder
 from .sources.decoders import records
-from .sources.documents import at, from_columns, from_json
+from .sources.documents import at, from_columns, from_json, levels_of
 from .sources.shredded import layout_of, read, whole, write
 from .sources.storage import materialize, shared_dir
 from .streaming.sessions import close_open, session_events, session_stream, state_store
@@ -182,7 +182,9 @@ def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _day_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.count("*").alias("n"))
     docs = users.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct(F.col("user_id").cast("string"), F.struct("n")))).alias("m"))
-    return from_json(docs.select(F.datediff("day", F.lit("1970-01-01")).alias("ord"), F.to_json("m").alias("doc")), "doc", "ord")
+    found = from_json(docs.select(F.datediff("day", F.lit("1970-01-01")).alias("ord"), F.to_json("m").alias("doc")), "doc", "ord")
+    found.strataform_levels = levels_of(docs.schema["m"].dataType)
+    return found
 
 
 @query("""
@@ -291,7 +293,7 @@ def shape_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Spark types found for events and orders."""
     events = table(spark, sf_dir, "events").withColumn("props", F.parse_json("props")).select("event_id", "user_id", "event_type", "value", F.to_json("props").alias("props"))
     found = {"events": from_columns(events, "event_id"), "orders": order_docs(spark, sf_dir), "users by day": _day_maps(spark, sf_dir)}
-    return spark.createDataFrame([(name, analyze(d).spark_type().simpleString()) for name, d in found.items()], "docs string, type string")
+    return spark.createDataFrame([(name, to_spark(shape_of(d)).simpleString()) for name, d in found.items()], "docs string, type string")
 
 
 def _event_json() -> Column:

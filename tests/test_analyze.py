@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from strataform.generate.documents import chaos
 from strataform.operators import stats
-from strataform.plans.analyze import Analyzer, analyze, outcome_of, statistics
+from strataform.plans.analyze import Analyzer, analyze, outcome_of, shape_of, statistics
 from strataform.plans.shape import Policy
 from strataform.sources.documents import from_columns, from_json
 
@@ -149,3 +149,29 @@ def test_statistics_tables(spark):
     values, buckets = statistics(docs(spark, [{"a": "x-1"}, {"a": "y"}]))
     assert {(r["path"], r["kind"], r["n"]) for r in values.collect()} == {(".", "object", 2), (".a", "string", 2)}
     assert ("skeleton", "A-9") in {(r["measure"], r["bucket"]) for r in buckets.collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_the_shape_alone_is_that_of_the_analysis(spark, seed):
+    r = random.Random(seed)
+    found = docs(spark, [chaos(r, 3, 4) for _ in range(25)] + [{"l": [{"x": i}, [2**63]], f"k{i}": [i] * i} for i in range(5)])
+    policy = Policy(record_cap=r.randint(1, 6), position_cap=r.randint(0, 4))
+    want = analyze(found, policy).shape.as_dict()
+    assert shape_of(found, policy).as_dict() == want == shape_of(found, policy, driver_rows=0).as_dict()
+    assert shape_of(found.where("false")).kind == "absent"
+
+
+def test_the_shape_alone_takes_one_pass_and_no_texts(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(i, "2024-01-01" if i % 2 else "x y") for i in range(40)], "i long, t string")
+    made = from_columns(rows.select("i", F.array(F.struct("t", F.col("i").alias("k"))).alias("l")), "i")
+    found = made.withColumn("ord", F.udf(look, "long")("ord"))
+    found.strataform_levels = made.strataform_levels
+    monkeypatch.setattr(stats, "detect_format", None)
+    assert shape_of(found).text() == "{l: ({k: i64, t: string})}"
+    assert seen.value == 40
